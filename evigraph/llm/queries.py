@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import jaccard, langid, licenses, line_dedup, mixing, packing, quality, suffix, url_filter
+from evigraph.llm import jaccard, langid, licenses, line_dedup, mixing, packing, quality, suffix, topk, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +55,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     return jaccard.join_near(table(spark, sf_dir, "documents"))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_top_k": op6_top_k,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
@@ -120,4 +126,9 @@ SQL: dict[str, str] = {
         SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)), '') END) AS kept_sha256
         FROM l LEFT JOIN c ON l.doc_id = c.doc_id""",
+    "op6_top_k": r"""
+        WITH v AS (SELECT vec_id AS id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS query_id, b.id AS vec_id, list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
 }
