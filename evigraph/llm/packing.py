@@ -114,7 +114,7 @@ class Index:
 
     def __init__(self, terms: list[np.ndarray], idf: np.ndarray, mean: float):
         found = [np.unique(t, return_counts=True) for t in terms]
-        sizes = np.array([len(t) for t, _ in found])
+        sizes = np.array([len(t) for t, _ in found], np.int64)
         term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int32)
         tf = np.concatenate([c for _, c in found]).astype(np.float32) if found else np.zeros(0, np.float32)
         doc = np.repeat(np.arange(len(terms)), sizes)
@@ -247,6 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     shard, texts, size = [], [], 0
                     yield done()
         if id_type is not None:
+            # may be empty, if the last batch filled a shard
             pack_shard(packer, shard, texts, encode, weights, mean, end_id)
             packer.close()
             yield done()
