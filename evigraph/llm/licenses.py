@@ -57,7 +57,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 
 #: A line of its own that states a copyright or a licence's title is no part of the wording.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(?:copyright\b(?! notice| holder| owner)|\(c\)\s*(?:copyright\b|\d{4})|©|all rights reserved\b|portions copyright\b)"
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(?:copyright\s+(?!notice|holder|owner)\S|\(c\)\s*(?:copyright\b|\d{4})|©|all rights reserved\b|portions copyright\s)"
 #: Known digests up to this many are broadcast (about 150 bytes each); more are joined by shuffle.
 BROADCAST_KNOWN = 50_000
 

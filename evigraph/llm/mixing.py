@@ -107,7 +107,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     def copy(k: int) -> Column:
         at = start + F.col("source_size") * k
         words = F.greatest(F.lit(0), F.least(F.col("size"), want - at)).cast("long")
-        share = (at + words / 2) / F.col("target")
+        share = F.try_divide(at + words / 2, F.col("target"))
         time = F.lit(None).cast("double")
         for turn, knots in enumerate(schedules):
             time = F.when(F.col("turn") % len(schedules) == turn, invert_demand(share, knots)).otherwise(time)

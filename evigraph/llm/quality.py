@@ -70,7 +70,7 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def default_rules() -> dict[str, Column]:
     """Votes over text_measures(): 1 good, 0 bad, null abstains where the text is too short to tell."""
-    words, mean = F.col("n_words"), F.col("word_chars") / F.col("n_words")
+    words, chars = F.col("n_words"), F.col("word_chars")
 
     def vote(good: Column, bad: Column, applies: Column) -> Column:
         return F.when(applies & good, 1).when(applies & bad, 0)
@@ -78,7 +78,7 @@ def default_rules() -> dict[str, Column]:
     some = words >= 10
     return {
         "length": vote(words >= 50, words < 20, F.lit(True)),
-        "word_length": vote((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 12), some),
+        "word_length": vote((chars >= 3 * words) & (chars <= 10 * words), (2 * chars < 5 * words) | (chars > 12 * words), some),
         "symbols": vote(F.col("n_symbols") * 20 <= words, F.col("n_symbols") * 10 > words, some),
         "lines": vote(F.col("n_dup_lines") * 10 <= F.col("n_lines"), F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"), F.col("n_lines") >= 3),
         "repeats": vote(F.col("n_repeat_words") * 10 <= words, F.col("n_repeat_words") * 5 > words, some),
