@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 
@@ -28,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more, which it does after garbage collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(name: str) -> None:
     """Let Python workers receive the functions of module `name` by value: executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[name])

@@ -11,7 +11,8 @@ own, is scanned against the existing levels, where of equal stretches the later
 joins them as the newest level; levels of like size merge, so there are logarithmically many. The
 arrays of all tasks merge in one sorting shuffle by anchor, whose scan finds the first of each
 stretch in the corpus. First stretches that share an anchor with different ones, which happens where
-copies begin, end or differ, are told apart string by string.
+copies begin, end or differ, are told apart string by string, all those of an anchor in one place, or
+by their own hashes where very many share it.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words
-from evigraph.llm.common import checkpointed, ship
+from evigraph.llm.common import checkpointed, let, release_shuffles, ship
 
 ship(__name__)
 
 K = 32
 #: Stretches that a task's family holds before it is handed on; bounds its memory.
 FAMILY = 1 << 20
+#: Stretches that may share an anchor and still be told apart in one task; larger groups are dealt out by string.
+GROUP = 1 << 16
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -79,8 +82,31 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def tag(text_hash: np.ndarray, start: np.ndarray, count: np.ndarray | int = 0) -> np.ndarray:
-    """One long that sorts by text hash (22 bits), start (32 bits), and holds a number of starts."""
-    return (text_hash << 40) | (start << 8) | count
+    """One long that sorts by text hash (17 bits), start (32 bits), and holds a number of starts (14 bits)."""
+    return (text_hash << 46) | (start << 14) | count
+
+
+def starts_of(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First start and number of starts."""
+    return (tags >> 14) & 0xFFFFFFFF, tags & 0x3FFF
+
+
+def joined_runs(doc: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of starts that follow each other in a text, as few as hold in tags."""
+    order = np.lexsort((tags, doc))
+    doc, tags = doc[order], tags[order]
+    if not len(doc):
+        return doc, tags
+    start, count = starts_of(tags)
+    text = tags >> 46
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    # a run of 8192 starts and the stretch that ends it fit; longer runs are parted
+    before = np.cumsum(count) - count
+    part = (before - before[np.flatnonzero(new)][np.cumsum(new) - 1]) >> 13
+    new[1:] |= part[1:] != part[:-1]
+    first = np.flatnonzero(new)
+    return doc[first], tag(text[first], start[first], np.add.reduceat(count, first))
 
 
 class Family:
@@ -134,6 +160,11 @@ def indexer(length: int):
             s = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(anchor[s].view(np.int64)), pa.array(content[s].view(np.int64)), pa.array(doc[s]), pa.array(tags[s]), pa.array(np.full(len(doc[s]), settled))], schema=ROW)
 
+    def settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, tags = joined_runs(rows[2], rows[3])
+        none = np.zeros(len(doc), U)
+        return out([none, none, doc, tags], True)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
@@ -141,7 +172,7 @@ def indexer(length: int):
             for first, data, ends in words.blocks(batch.column("text")):
                 text, start, count, anchor, content = stretches(data, ends, length)
                 text = text + first
-                yield from out(family.add([content, anchor, docs[text], tag(hashes[text], start, count)]), True)
+                yield from settled(family.add([content, anchor, docs[text], tag(hashes[text], start, count)]))
             if len(family) > FAMILY:
                 for level in family.levels:
                     yield from out(level, False)
@@ -153,20 +184,20 @@ def indexer(length: int):
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over stretches sorted by anchor, content, doc, tag: (doc, tag, open).
+    """For mapInArrow over stretches sorted by anchor, content, doc, tag: (doc, tag, anchor, open).
 
     Later stretches come out with open false: all their strings are repeated. First ones whose anchor
     other first ones share come out with open true. The last first one waits for what follows.
     """
     last, held = None, None
 
-    def out(doc, tags, is_open):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tags), pa.array(np.full(len(doc), is_open))], names=["doc", "tag", "open"])
+    def out(doc, tags, anchor, is_open):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tags), pa.array(anchor), pa.array(np.full(len(doc), is_open))], names=["doc", "tag", "anchor", "open"])
 
     for batch in batches:
         anchor, content, doc, tags = (batch.column(k).to_numpy() for k in range(4))
         settled = batch.column(4).to_numpy(zero_copy_only=False)
-        yield out(doc[settled], tags[settled], False)
+        yield out(doc[settled], tags[settled], anchor[settled], False)
         anchor, content, doc, tags = (x[~settled] for x in (anchor, content, doc, tags))
         if not len(anchor):
             continue
@@ -174,7 +205,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         new[0] = last != (anchor[0], content[0])
         last = (anchor[-1], content[-1])
-        yield out(doc[~new], tags[~new], False)
+        yield out(doc[~new], tags[~new], anchor[~new], False)
         rows = [anchor[new], doc[new], tags[new], np.zeros(int(new.sum()), bool)]
         if held is not None:
             rows = [np.concatenate([[h], x]) for h, x in zip(held, rows)]
@@ -186,54 +217,81 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[:-1] |= same
         held = [x[-1] for x in rows[:3]] + [shared[-1]]
         shared = shared[:-1]
-        yield out(rows[1][:-1][shared], rows[2][:-1][shared], True)
+        yield out(rows[1][:-1][shared], rows[2][:-1][shared], rows[0][:-1][shared], True)
     if held is not None and held[3]:
-        yield out(np.array([held[1]]), np.array([held[2]]), True)
+        yield out(*(np.array([x]) for x in (held[1], held[2], held[0])), True)
 
 
-def expand(tags: np.ndarray) -> np.ndarray:
-    """All starts of stretches."""
-    count = tags & 0xFF
-    before = np.cumsum(count) - count
-    return np.repeat((tags >> 8) & 0xFFFFFFFF, count) + np.arange(int(count.sum())) - np.repeat(before, count)
+def strings_of(data: list[bytes], doc: np.ndarray, tags: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(h1, h2, doc, tag) of every string of some stretches, whose bytes are data."""
+    size = np.array([len(x) for x in data], np.int64)
+    start, count = starts_of(tags)
+    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(np.cumsum(size) - size, count) + within
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    h = [Hashed(whole, seed)(begin, begin + length).view(np.int64) for seed in (0, 1)]
+    return *h, np.repeat(doc, count), tag(np.repeat(tags >> 46, count), np.repeat(start, count) + within, 1)
 
 
-def as_bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def resolver(length: int):
+    """For mapInArrow over stretches sorted by anchor: (doc, tag) of the runs of strings that also start earlier.
 
+    Equal strings have equal anchors, so whole groups of an anchor are settled together, several at a
+    time; a group at the end of a batch waits for the next.
+    """
 
-def string_hasher(length: int):
-    """For mapInArrow: doc, hash, text, tags to (h1, h2, doc, tag) of each string of the stretches."""
+    def later(rows: pa.Table) -> pa.RecordBatch:
+        h1, h2, doc, tags = strings_of(rows.column("bytes").to_pylist(), rows.column("doc").to_numpy(), rows.column("tag").to_numpy(), length)
+        order = np.lexsort((tags, doc, h2, h1))
+        h1, h2, doc, tags = (x[order] for x in (h1, h2, doc, tags))
+        again = np.zeros(len(h1), bool)
+        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        doc, tags = joined_runs(doc[again], tags[again])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tags, pa.int64())], names=["doc", "tag"])
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            anchor = rows.column("anchor").to_numpy()
+            new = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            first = 0
+            for k in range(0, len(new), 512):
+                end = int(new[min(k + 511, len(new) - 1)])
+                yield later(rows.slice(first, end - first))
+                first = end
+            held = rows.slice(first)
+        if held is not None and held.num_rows:
+            yield later(held)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return resolve
+
+
+def string_rows(length: int):
+    """For mapInArrow over stretches: (h1, h2, doc, tag) of each string."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text_hash, text, tags in zip(*(batch.column(k).to_pylist() for k in ("doc", "hash", "text", "tags"))):
-                data = np.frombuffer(as_bytes(text), np.uint8)
-                start = expand(np.array(tags, np.int64))
-                h = [Hashed(data, seed)(start, start + length).view(np.int64) for seed in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(start), doc)), pa.array(tag(np.int64(text_hash), start))], names=["h1", "h2", "doc", "tag"])
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                got = strings_of(part.column("bytes").to_pylist(), part.column("doc").to_numpy(), part.column("tag").to_numpy(), length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["h1", "h2", "doc", "tag"])
 
-    return strings
+    return rows
 
 
 def remover(length: int):
     """For mapInArrow: cuts texts; see remove_repeats for the columns."""
 
-    def cut(text: str | None, later: list | None, undecided: list | None, first: list | None):
-        raw = as_bytes(text)
-        if not later and not undecided:
+    def cut(text: str | None, *later: list | None):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        tags = np.array([t for x in later for t in x or ()], np.int64)
+        if not len(tags):
             return len(raw), 0, 0, raw
         mark = np.zeros(len(raw) + 1, np.int64)
-        if later:
-            t = np.array(later, np.int64)
-            start, count = (t >> 8) & 0xFFFFFFFF, t & 0xFF
-            np.add.at(mark, start, 1)
-            np.add.at(mark, start + count - 1 + length, -1)
-        if undecided:
-            start = expand(np.array(undecided, np.int64))
-            start = start[~np.isin(start, (np.array(first or [], np.int64) >> 8) & 0xFFFFFFFF)]
-            np.add.at(mark, start, 1)
-            np.add.at(mark, start + length, -1)
+        start, count = starts_of(tags)
+        np.add.at(mark, start, 1)
+        np.add.at(mark, start + count - 1 + length, -1)
         gone = np.cumsum(mark)[:-1] > 0
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         return len(raw), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), kept
@@ -242,7 +300,7 @@ def remover(length: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                done = [cut(*row) for row in zip(*(part.column(c).to_pylist() for c in ("text", "later", "undecided", "first")))]
+                done = [cut(*row) for row in zip(*(part.column(c).to_pylist() for c in ("text", "later", "more")))]
                 cols = [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -263,20 +321,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 64 <= length <= 255:
         raise ValueError("length must be from 64 to 255")
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("hash", F.xxhash64("text").bitwiseAND(F.lit((1 << 22) - 1)))
-    rows = base.select("doc", "hash", "text").mapInArrow(indexer(length), "anchor bigint, content bigint, doc bigint, tag bigint, settled boolean")
+    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("hash", F.xxhash64("text").bitwiseAND(F.lit((1 << 17) - 1)))
+
+    found = base.select("doc", "hash", "text").mapInArrow(indexer(length), "anchor bigint, content bigint, doc bigint, tag bigint, settled boolean")
     # settled rows only pass through and are spread by their place
-    rows = rows.repartition(F.when(F.col("settled"), F.xxhash64("doc", "tag")).otherwise(F.col("anchor")))
-    found = rows.sortWithinPartitions("anchor", "content", "doc", "tag").mapInArrow(scan, "doc bigint, tag bigint, open boolean")
-    found = checkpointed(found.withColumn("hash", F.shiftright("tag", 40)))
-
-    undecided = found.filter("open").groupBy("doc", "hash").agg(F.collect_set("tag").alias("undecided"))
-    later = found.filter(~F.col("open")).groupBy("doc", "hash").agg(F.collect_set("tag").alias("later"))
-    strings = base.join(undecided.withColumnRenamed("undecided", "tags"), ["doc", "hash"]).select("doc", "hash", "text", "tags")
-    strings = strings.mapInArrow(string_hasher(length), "h1 bigint, h2 bigint, doc bigint, tag bigint")
-    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tag")).alias("f")).select("f.*")
-    first = first.groupBy("doc", F.shiftright("tag", 40).alias("hash")).agg(F.collect_list("tag").alias("first"))
-    known = later.join(undecided, ["doc", "hash"], "full").join(first, ["doc", "hash"], "left")
-    rows = base.join(known, ["doc", "hash"], "left").select("doc_id", "text", "later", "undecided", "first")
+    found = found.repartition(F.when(F.col("settled"), F.xxhash64("doc", "tag")).otherwise(F.col("anchor")))
+    found = found.sortWithinPartitions("anchor", "content", "doc", "tag").mapInArrow(scan, "doc bigint, tag bigint, anchor bigint, open boolean")
+    found = found.groupBy("doc", F.shiftright("tag", 46).alias("hash")).agg(
+        F.collect_list(F.when(~F.col("open"), F.col("tag"))).alias("later"),
+        F.collect_list(F.when(F.col("open"), F.struct("tag", "anchor"))).alias("open"),
+    )
+    found = checkpointed(found)
+    release_shuffles(spark)
+
+    # strings of large groups meet by their hashes, those of others by their anchors
+    large = found.select(F.explode("open.anchor").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
+    large = checkpointed(large.select("anchor", F.lit(True).alias("large")))
+    any_large = not large.isEmpty()
+
+    def bytes_of(b, o):
+        start = F.shiftright(o["tag"], 14).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        count = o["tag"].bitwiseAND(F.lit(0x3FFF)).cast("int")
+        return F.struct(o["anchor"].alias("anchor"), o["tag"].alias("tag"), F.substring(b, start + 1, count - 1 + length).alias("bytes"))
+
+    opened = base.join(found.filter(F.size("open") > 0).select("doc", "hash", "open"), ["doc", "hash"])
+    opened = opened.select("doc", F.inline(let(F.col("text").cast("binary"), lambda b: F.transform("open", lambda o: bytes_of(b, o)))))
+    more = opened
+    if any_large:
+        opened = checkpointed(opened.join(large, "anchor", "left"))
+        more = opened.filter(F.col("large").isNull()).drop("large")
+    more = more.repartition("anchor").sortWithinPartitions("anchor").select("doc", "tag", "anchor", "bytes").mapInArrow(resolver(length), "doc bigint, tag bigint")
+    if any_large:
+        strings = checkpointed(opened.filter("large").select("doc", "tag", "bytes").mapInArrow(string_rows(length), "h1 bigint, h2 bigint, doc bigint, tag bigint"))
+        first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tag")).alias("f")).select("h1", "h2", "f.doc", "f.tag")
+        more = more.unionByName(strings.join(first, ["h1", "h2", "doc", "tag"], "left_anti").select("doc", "tag"))
+    more = checkpointed(more.groupBy("doc", F.shiftright("tag", 46).alias("hash")).agg(F.collect_list("tag").alias("more")))
+    del opened
+    release_shuffles(spark)
+
+    known = found.select("doc", "hash", "later").join(more, ["doc", "hash"], "left")
+    rows = base.join(known, ["doc", "hash"], "left").select("doc_id", "text", "later", "more")
     return rows.mapInArrow(remover(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
