@@ -67,11 +67,19 @@ def conform(df: DataFrame, spec: Spec) -> DataFrame:
     return df.na.drop(subset=list(spec.not_null)) if spec.not_null else df
 
 
+def _read_csv(spark: SparkSession, path: str, names: Sequence[str], **options) -> DataFrame:
+    """All columns as text; CORRUPT holds a row of another length. Rows are parsed whole, whatever is asked of them."""
+    schema = ", ".join(f"`{n}` string" for n in [*names, "__bad"])
+    df = spark.read.options(columnPruning=False, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", quote='"', escape='"', **options).schema(schema).csv(path)
+    # Spark refuses to read the record of a bad row alone, so it is read with the first column
+    record = F.concat(F.col("__bad"), F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
+    return df.withColumn(CORRUPT, record).drop("__bad")
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", limit: int | None = None) -> DataFrame:
     """All columns as text, header first. Rows of another length stay, marked in CORRUPT."""
     header = spark.read.csv(path, sep=sep, header=True, inferSchema=False).schema
-    schema = ", ".join(f"`{f.name}` string" for f in header)
-    df = spark.read.csv(path, sep=sep, header=True, schema=f"{schema}, `{CORRUPT}` string", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=False, quote='"', escape='"')
+    df = _read_csv(spark, path, [f.name for f in header], sep=sep, header=True)
     return df if limit is None else df.limit(limit)
 
 
@@ -96,8 +104,7 @@ def read_commented(spark: SparkSession, path: str, fallback: Sequence[str], sep:
     """
     head = [r[0] for r in spark.read.text(path).limit(peek + 1).collect()]
     names = header_after_comment(head, sep, tokens if tokens is not None else fallback[:2], fallback)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    df = spark.read.csv(path, sep=sep, comment="#", schema=f"{schema}, `{CORRUPT}` string", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, quote='"', escape='"')
+    df = _read_csv(spark, path, names, sep=sep, comment="#")
     if names and not any(line.startswith("#") for line in head):
         df = df.filter(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) != names[0])
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
