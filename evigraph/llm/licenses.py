@@ -80,12 +80,17 @@ def canonical_digest(text: Column) -> Column:
     return F.sha2(F.array_join(F.filter(canonical_lines(text), lambda x: x != ""), " "), 256)
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
+def known_rows() -> list[tuple[str, str, str]]:
     """(license, unit, text): wordings of whole documents, and notices that stand as a line."""
     rows = [(k, "document", v) for k, v in TEXTS.items()]
     for license_id, names in NAMES.items():
         rows += [(license_id, "line", f"{s}{v} under {t}{n}") for n, s, v, t in product(names, SUBJECTS, VERBS, ("", "the "))]
-    return spark.createDataFrame(rows, "license string, unit string, text string")
+    return rows
+
+
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """known_rows() as a table."""
+    return spark.createDataFrame(known_rows(), "license string, unit string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

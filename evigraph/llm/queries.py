@@ -97,6 +97,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+
+def license_sql() -> str:
+    """SQL of the licence query; its texts and spellings are those of the operator."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    spellings = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in licenses.SPELLINGS.items())
+    known = ", ".join(f"({quote(k)}, {quote(u)}, {quote(t)})" for k, u, t in licenses.known_rows())
+    begin = r"^[^\p{L}\p{N}©(]*"
+    dropped = rf"(regexp_matches(x, '{begin}(copyright\s+\S|\(c\)\s*(copyright\b|\d{{4}})|©|all rights reserved\b|portions copyright\s)') AND NOT regexp_matches(x, '{begin}copyright\s+(notice|holder|owner)'))"
+    words = r"list_filter(string_split(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    lines = rf"[CASE WHEN {dropped} THEN '' ELSE array_to_string([coalesce(m[w], w) FOR w IN {words}], ' ') END FOR x IN string_split(regexp_replace(lower(text), '\r\n|\r', chr(10), 'g'), chr(10))]"
+    whole = "sha256(coalesce(array_to_string(list_filter(ls, lambda x: x <> ''), ' '), ''))"
+    return rf"""
+        WITH sp AS (SELECT MAP {{{spellings}}} AS m), k0(license, unit, text) AS (VALUES {known}),
+        k AS (SELECT unit, digest, min(license) AS license FROM (SELECT license, unit, {whole} AS digest FROM (SELECT license, unit, {lines} AS ls FROM k0, sp)) GROUP BY unit, digest),
+        d AS (SELECT doc_id, text, {lines} AS ls FROM documents, sp),
+        w AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {whole} END AS digest, ls FROM d),
+        n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM (SELECT doc_id, sha256(unnest(list_filter(ls, lambda x: x <> ''))) AS line_digest FROM w) JOIN k ON k.digest = line_digest AND unit = 'line' GROUP BY doc_id)
+        SELECT w.doc_id, w.digest, k.license, coalesce(notices, '') AS notices FROM w LEFT JOIN k ON k.unit = 'document' AND k.digest = w.digest LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+
 SQL: dict[str, str] = {
     "op2_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
@@ -131,4 +151,5 @@ SQL: dict[str, str] = {
                    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT a.id AS query_id, b.id AS vec_id, list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op4_license_scan": license_sql(),
 }
