@@ -9,7 +9,7 @@ from evigraph import lexicons as L
 from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import mining, relational
+from evigraph.operators import mining, paths, relational
 
 #: Genes that need no gene word in their sentence, and the one that beverage words rule out.
 NO_CONTEXT = ("CYP1A2", "ADORA2A")
@@ -126,12 +126,38 @@ def search_classes(papers: DataFrame, base: str, classes: dict[str, tuple[str, .
     return relational.ordered_union(lists, "pmid", "pos").orderBy("list_no", "pos").limit(max_papers)
 
 
-def result_stats(found: DataFrame, effects: DataFrame) -> DataFrame:
-    """One row: totals, strong ones, distinct genes and diseases, mean confidence, and counts by kind."""
+def counted(rows: DataFrame, value, name: str, top: int | None = None) -> DataFrame:
+    """One row: a map of values to their counts, the most frequent `top` of them (ties by value)."""
+    n = rows.select(value.alias("k")).filter(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    n = n.orderBy(F.desc("n"), "k").limit(top) if top else n
+    return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+
+def result_stats(found: DataFrame, effects: DataFrame, papers: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row: totals, strong ones, distinct genes and diseases, mean confidence, dropped ones, and counts by kind, species, publication type and alert.
+
+    before: interactions before the filter by confidence, to count those that it dropped.
+    """
     a = found.agg(F.count(F.lit(1)).alias("interactions"), F.count_if(F.col("strength") == "strong").alias("strong"), F.countDistinct("gene").alias("genes"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
-    kinds = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
     b = effects.agg(F.count(F.lit(1)).alias("effects"), F.countDistinct("disease").alias("diseases"))
-    return _one_row(a, kinds, b)
+    used = papers.join(found.select("pmid").distinct(), "pmid", "left_semi")
+    alerts = used.filter(F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit("coffee"))))
+    out = _one_row(
+        a, b, counted(found, F.col("kind"), "by_kind"), counted(found, F.col("species"), "by_species", 6),
+        counted(used, F.explode("publication_types"), "by_publication_type", 6), counted(alerts, F.lit("coffee_keyword"), "alerts"),
+        (found if before is None else before).agg(F.count(F.lit(1)).alias("before_filter")),
+    )
+    return out.withColumn("filtered_out", F.col("before_filter") - F.col("interactions"))
+
+
+def top_findings(effects: DataFrame, n: int = 12) -> DataFrame:
+    """The surest effects, ties by name."""
+    return effects.orderBy(F.desc("path_confidence"), "compound", "gene", "disease").limit(n)
+
+
+def compound_graph(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, weight): compounds to genes, genes to diseases."""
+    return paths.weighted_graph(found, links, "compound", "gene", "disease", "evidence_count")
 
 
 def _one_row(*tables: DataFrame) -> DataFrame:
