@@ -77,9 +77,11 @@ def default_rules() -> dict[str, Column]:
 
     some = words >= 10
     return {
-        "length": vote(words >= 50, words < 20, F.lit(True)),
+        "length": F.when(words >= 50, 1),
         "word_length": vote((chars >= 3 * words) & (chars <= 10 * words), (2 * chars < 5 * words) | (chars > 12 * words), some),
         "symbols": vote(F.col("n_symbols") * 20 <= words, F.col("n_symbols") * 10 > words, some),
+        "symbol_share": vote(F.col("n_symbols") * 100 <= chars, F.col("n_symbols") * 50 > chars, some),
+        "many_symbols": vote(F.col("n_symbols") * 10 <= words, F.col("n_symbols") * 4 > words, some),
         "lines": vote(F.col("n_dup_lines") * 10 <= F.col("n_lines"), F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"), F.col("n_lines") >= 3),
         "repeats": vote(F.col("n_repeat_words") * 10 <= words, F.col("n_repeat_words") * 5 > words, some),
     }
@@ -130,16 +132,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a document: its measures, base_failed, p_good (posterior) and kept.
 
     base_failed: fewer than 10 words, or more than a fifth of the words repeated; such documents are
-    never kept. Others are kept if p_good is at least one half. The model is fitted on all documents.
+    never kept. Others are kept if p_good is at least one half; the model is fitted on all of these.
 
     Null and empty text: no words, so base_failed. Null and repeated ids: each row counts for itself.
     Empty table: no rows. Other columns are not read.
     """
     rules = default_rules() if rules is None else dict(rules)
     measures = checkpointed(text_measures(docs, id_col, text_col))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     votes = measures.withColumns({f"vote_{n}": v.cast("int") for n, v in rules.items()})
     names = [f"vote_{n}" for n in rules]
-    model = fit_votes(votes, names)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    model = fit_votes(votes.filter(~base), names)
     p = 1 / (1 + F.exp(-log_odds(names, model)))
     return votes.withColumn("base_failed", base).withColumn("p_good", p).withColumn("kept", ~base & (p >= 0.5)).drop(*names)
