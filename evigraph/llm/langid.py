@@ -103,15 +103,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A classifier from at most per_language texts of each language, those with the least hash of the id.
 
     Rows with a null language, or a null text or one without a letter, and held-out rows teach
-    nothing. The best of each task are found first, so that a large language is not one task's work.
+    nothing. A language's rows are thinned by hash to about four times the number wanted before they
+    are ranked, so that a large language is not one task's work.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
-    picked = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "salt"], ["lang"]):
-        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("r") <= per_language)
-    picked = checkpointed(picked.select("lang", "h").distinct())
-    sample = rows.withColumn("h", F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "h")
-    got: pd.DataFrame = sample.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
+    named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
+    counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    rows = named.filter(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("h"))
+    near = F.shiftrightunsigned("h", 32) * F.col("n") <= (1 << 32) * 4 * per_language
+    picked = rows.select("lang", "h").join(counts, "lang").filter(near).select("lang", "h").distinct()
+    picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h"))).filter(F.col("r") <= per_language)
+    picked = checkpointed(picked.select("lang", "h"))
+    # about 50 bytes a row; a corpus of very many languages is joined by shuffle
+    picked = F.broadcast(picked) if picked.count() <= 100_000 else picked
+    sample = rows
+    got: pd.DataFrame = sample.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
     return Classifier(got["text"].tolist(), got["lang"].tolist(), landmarks, ridge)
 
 
