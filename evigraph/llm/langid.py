@@ -99,6 +99,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for broadcast if it is checked to have few rows, of about 50 bytes here; else as it is."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 64, ridge: float = 1e-4) -> Classifier:
     """A classifier from at most per_language texts of each language, those with the least hash of the id.
 
@@ -109,14 +114,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     rows = named.filter(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("h"))
-    near = F.shiftrightunsigned("h", 32) * F.col("n") <= (1 << 32) * 4 * per_language
+    counts = small(checkpointed(counts))
+    near = F.shiftrightunsigned("h", 32).cast("double") * F.col("n") <= 4.0 * (1 << 32) * per_language
     picked = rows.select("lang", "h").join(counts, "lang").filter(near).select("lang", "h").distinct()
     picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h"))).filter(F.col("r") <= per_language)
-    picked = checkpointed(picked.select("lang", "h"))
-    # about 50 bytes a row; a corpus of very many languages is joined by shuffle
-    picked = F.broadcast(picked) if picked.count() <= 100_000 else picked
-    sample = rows
-    got: pd.DataFrame = sample.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
+    picked = small(checkpointed(picked.select("lang", "h")))
+    got: pd.DataFrame = rows.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
     return Classifier(got["text"].tolist(), got["lang"].tolist(), landmarks, ridge)
 
 
