@@ -180,3 +180,8 @@ def polarity(text: Column, positive: str | None = None, negative: str | None = N
     """positive, negative or neutral: one of the first two kinds of cue without the other; else neutral."""
     pos, neg = text.rlike(positive or L.cue("positive")), text.rlike(negative or L.cue("negative"))
     return F.when(pos & ~neg, "positive").when(neg & ~pos, "negative").otherwise("neutral")
+
+
+def species_label(gene: Column, species: Column, known: Column) -> Column:
+    """The gene, with its species in parentheses unless it is in the lexicon or the species is unspecified."""
+    return F.when(known | (F.coalesce(species, F.lit("unspecified")) == "unspecified"), gene).otherwise(F.concat(gene, F.lit(" ("), species, F.lit(")")))

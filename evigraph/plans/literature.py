@@ -43,7 +43,7 @@ def gene_mentions(papers: DataFrame, aliases: DataFrame | None) -> DataFrame:
 
 
 def interactions(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, require_intervention: bool = True) -> DataFrame:
-    """compound, pmid, gene, kind, score, direct_hits, strength, confidence, context, species: votes of sentences about both."""
+    """compound, pmid, gene, gene_display, kind, score, direct_hits, strength, confidence, context, species: votes of sentences about both."""
     sentences = checkpointed(article_sentences(papers))
     genes = gene_mentions(papers, aliases)
     named = sentences.select("pmid", "idx", F.explode(T.word_phrases(F.col("sentence"), 1)).alias("word")).select("pmid", "idx", F.explode(T.linked_spans(F.col("word"))).alias("word"))
@@ -63,7 +63,8 @@ def interactions(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | N
     votes = mining.vote(hits, keys, cues=cues, genetic="genetic")
     near = sentences.select("pmid", F.col("idx").alias("near"), F.col("sentence").alias("near_sentence"))
     context = mining.contexts(hits.join(near, ["pmid", "near"]), keys, "sentence", "near_sentence")
-    return votes.join(context, keys, "left").join(papers.select("pmid", F.col("primary_species").alias("species"), "species_tags"), "pmid")
+    rows = votes.join(context, keys, "left").join(papers.select("pmid", F.col("primary_species").alias("species"), "species_tags"), "pmid")
+    return rows.withColumn("gene_display", T.species_label(F.col("gene"), F.col("species"), F.lit(aliases is not None)))
 
 
 def disease_mentions(papers: DataFrame) -> DataFrame:

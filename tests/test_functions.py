@@ -119,6 +119,11 @@ def test_species(spark):
     assert evaluate(spark, rows, "h array<string>", T.primary_species(tags)) == ["Human", "unspecified", "unspecified"]
 
 
+def test_species_labels(spark):
+    rows = [("TNF", "Mouse", True), ("Xyz", "Mouse", False), ("Xyz", None, False)]
+    assert evaluate(spark, rows, "g string, s string, k boolean", T.species_label(F.col("g"), F.col("s"), F.col("k"))) == ["TNF", "Xyz (Mouse)", "Xyz"]
+
+
 def test_partial_dates(spark):
     rows = [("2021", "Mar", "7"), ("2021", "13", "40"), ("2021", None, None), (None, "1", "1"), ("", "x", "y"), ("2020", "December", "0")]
     got = evaluate(spark, rows, "y string, m string, d string", T.partial_date(F.col("y"), F.col("m"), F.col("d")))
