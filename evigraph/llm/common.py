@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for broadcast if it is checked to have at most so many rows (narrow ones, here); else as it is."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more, which it does after garbage collections."""
     gc.collect()
@@ -40,6 +46,15 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def worker_store(name: str) -> dict:
+    """A dict of the process, for what tasks may share: their functions, and all they refer to, arrive anew with each task."""
+    name = f"_evigraph_{name}"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
+ship(__name__)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body refers to it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words
-from evigraph.llm.common import checkpointed, ship
+from evigraph.llm.common import checkpointed, release_shuffles, ship, small
 from evigraph.llm.components import components
 
 ship(__name__)
@@ -187,6 +187,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     signed = checkpointed(base.mapInArrow(signer(runs * depth), "doc_id bigint, key binary, path array<bigint>").withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))
     classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("path").alias("path"))
     classes = checkpointed(classes)
+    spark = docs.sparkSession
 
     steps = [F.struct(F.lit(r).alias("run"), *[F.col("path")[r * depth + k].alias(f"p{k}") for k in range(depth)]) for r in range(runs)]
     open_rows = classes.select("key", "node", "copies", F.inline(F.array(*steps)))
@@ -212,7 +213,9 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     fresh = leaves.groupBy("leaf").agg(F.first("run").alias("run"), F.array(*ends).alias("ends"))
     fresh = fresh.filter(~F.exists("ends", lambda e: (e["run"] < F.col("run")) & (e["low"] == e["high"]) & (e["low"] != 0))).select("leaf")
     leaves = checkpointed(leaves.join(fresh, "leaf", "left_semi"))
-    wanted = leaves.select(F.col("node").alias("doc_id")).distinct()
+    wanted = small(checkpointed(leaves.select(F.col("node").alias("doc_id")).distinct()), 1_000_000)
+    del open_rows, sized, full, sizes, by_run, fresh
+    release_shuffles(spark)
     sets = base.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets_of, "key binary, shingles binary")
     sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
@@ -223,6 +226,8 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     cells = cells.select("key", "node", "copies", "run", "leaf", "leaves", "block", "left", "right").join(sets, "key").drop("key")
     ordered = cells.repartition("leaf", "left", "right").sortWithinPartitions("leaf", "left", "right", "node")
     found = checkpointed(ordered.mapInArrow(comparer(similarity), "node bigint, links bigint, root bigint"))
+    del sets, cells, ordered
+    release_shuffles(spark)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import checkpointed, ship
+from evigraph.llm.common import checkpointed, ship, small
 
 ship(__name__)
 
@@ -99,11 +99,6 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def small(table: DataFrame, most: int = 100_000) -> DataFrame:
-    """The table marked for broadcast if it is checked to have few rows, of about 50 bytes here; else as it is."""
-    return F.broadcast(table) if table.count() <= most else table
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 64, ridge: float = 1e-4) -> Classifier:
     """A classifier from at most per_language texts of each language, those with the least hash of the id.
 
