@@ -1,12 +1,13 @@
 """Lexical retrieval packing: documents that share rare words share training sequences.
 
 Two passes. The first counts, over all documents, in how many each hashed word occurs; the table has
-a fixed size. The second range-partitions documents by a min-hash of their words and their id, so
-that related documents lie together and a group of copies is cut wherever a partition is full. Each
-partition is worked through shard by shard. A shard of a bounded number of words holds a BM25
-inverted index of its documents: the document that opens a sequence is the query, and its unused
-neighbours, best first, fill the window. A document that does not fit is cut, and what is left opens
-the next sequence. So sequences are full; only the last of a partition is split at powers of two.
+a fixed size. The second range-partitions documents by their last word in code-point order, mostly a
+rare one, and their id, so that documents of like words lie together and a group of copies is cut
+wherever a partition is full. Each partition is worked through shard by shard. A shard of a bounded
+number of words holds a BM25 inverted index of its documents: the document that opens a sequence is
+the query, and its unused neighbours, best first, fill the window. A document that does not fit is
+cut, and what is left opens the next sequence. So sequences are full; only the last of a partition
+is split at powers of two.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from __future__ import annotations
 import json
 import math
 import struct
-import sys
-import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import words
-from evigraph.llm.common import ship
+from evigraph.llm.common import ship, worker_store
 
 ship(__name__)
 
@@ -76,15 +76,13 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.fast is None or any(x in text for x in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.asarray(ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's encoder; made once, as functions arrive anew with each task."""
-    store = sys.modules.setdefault("_evigraph_encoders", types.ModuleType("_evigraph_encoders")).__dict__
+    """The worker's encoder."""
+    store = worker_store("encoders")
     if path not in store:
         store[path] = Encoder(path)
     return store[path]
@@ -113,22 +111,20 @@ class Index:
     """BM25 inverted index of a shard's documents, under the corpus' statistics."""
 
     def __init__(self, terms: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [np.unique(t, return_counts=True) for t in terms]
-        sizes = np.array([len(t) for t, _ in found], np.int64)
-        term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int32)
-        tf = np.concatenate([c for _, c in found]).astype(np.float32) if found else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(len(terms)), sizes)
+        self.n = n = max(len(terms), 1)
+        length = np.array([len(t) for t in terms], np.int64)
+        key = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int64) * n + np.repeat(np.arange(len(terms)), length)
         # words in more than half of all documents have no weight
-        use = idf[term] > 0 if len(term) else np.zeros(0, bool)
-        term, tf, doc = term[use], tf[use], doc[use]
-        length = np.array([len(t) for t in terms], np.float32)[doc]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
-        order = np.argsort(term, kind="stable")
-        self.n = len(terms)
-        self.doc, self.weight = doc[order], weight[order]
-        _, local, self.size = np.unique(term, return_inverse=True, return_counts=True)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
-        self.local, self.bounds = local, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))])
+        key = np.sort(key[idf[key // n] > 0])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(key))).astype(np.float32)
+        term, self.doc = key[first] // n, key[first] % n
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc].astype(np.float32) / max(mean, 1.0))) if len(key) else tf
+        starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(key) else first
+        self.start, self.size = starts, np.diff(np.append(starts, len(term)))
+        local = np.repeat(np.arange(len(starts)), self.size)
+        self.local = local[np.argsort(self.doc.astype(np.int16 if n < 1 << 15 else np.int64), kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
 
     def scores(self, d: int) -> np.ndarray:
         """Score of every document for document d as the query."""
@@ -183,7 +179,9 @@ class Packer:
 
 def pack_shard(packer: Packer, docs: list, texts: list[str], encode, idf: np.ndarray, mean: float, end_id: int) -> None:
     """Places every document of a shard, neighbours of the open sequence's first document first."""
-    ids = [encode(t) + struct.pack("<I", end_id) for t in texts]
+    # copies lie together, and are encoded once
+    known = {t: encode(t) + struct.pack("<I", end_id) for t in dict.fromkeys(texts)}
+    ids = [known[t] for t in texts]
     index = Index(list(terms_of(pa.array(texts, pa.large_string()))), idf, mean)
     free, following, scores = np.ones(len(docs), bool), 0, None
     for _ in range(len(docs)):
@@ -252,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             packer.close()
             yield done()
 
-    near = F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    near = F.substring(F.array_max(F.split("text", " ")), 1, 32)
     parts = max(1, math.ceil((n_words + n_docs) / partition_words))
     placed = rows.withColumn("near", near).repartitionByRange(parts, "near", "doc_id").sortWithinPartitions("near", "doc_id")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from evigraph.llm.common import ship
+from evigraph.llm.common import ship, worker_store
 
 ship(__name__)
 
@@ -28,10 +28,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base to 0 .. n-1, modulo 2 to 64."""
-    out = np.ones(1, np.uint64)
+    """base to 0 .. n-1, modulo 2 to 64; the worker keeps those that a block needs."""
+    known = worker_store("powers")
+    out = known.get(base, np.ones(1, np.uint64))
     while len(out) < n:
         out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    if len(out) <= 2 * BLOCK:
+        known[base] = out
     return out[:n]
 
 
