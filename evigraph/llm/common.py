@@ -4,32 +4,23 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.checkpoint import checkpointed
+from evigraph.functions.text import let
+
+__all__ = ["SPACES", "WORD", "checkpointed", "identity", "let", "release_shuffles", "ship", "small", "worker_store"]
+
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, for translate().
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through reliable storage, so that several readers share one computation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(table: DataFrame, most: int = 100_000) -> DataFrame:
     """The table marked for broadcast if it is checked to have at most so many rows (narrow ones, here); else as it is."""
     return F.broadcast(table) if table.count() <= most else table
@@ -55,11 +46,6 @@ def worker_store(name: str) -> dict:
 ship(__name__)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often body refers to it inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def identity(id_col: str, text_col: str) -> list[Column]:
     """What tells rows apart: the id, and a hash of the text for ids that several texts share."""
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash")]
