@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
 from evigraph.checkpoint import checkpointed
-from evigraph.functions import scoring as S
 from evigraph.functions import text as T
 from evigraph.operators import mining, paths, relational
 
