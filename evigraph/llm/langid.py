@@ -124,14 +124,17 @@ def identify(docs: DataFrame, model: Classifier, text_col: str = "text") -> Data
     Null text or one without a letter, and every text if nothing was learned: "und" and 0. Repeated
     rows get the same. Ties go to the first language by name. Empty table: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays, so that workers need no copy of this package; of a size that the landmarks bound
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.drop("lang_pred", "score")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Classifier.__new__(Classifier)
+        vars(own).update(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                langs, scores = shared.value.predict(part.column(part.schema.get_field_index(text_col)).to_pylist())
+                langs, scores = own.predict(part.column(part.schema.get_field_index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
