@@ -424,7 +424,7 @@ def cue_flags(spark, sf):
           coalesce(bool_or(direct) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), false) AS direct_near FROM c""")
 def band_window(spark, sf):
     """First flagged sentence near each sentence."""
-    rows = mining.band(cue_sentences(spark, sf), "doc_id", "neutral", 1)
+    rows = mining.band(cue_sentences(spark, sf).drop("sentence"), "doc_id", "neutral", 1)
     return mining.any_in_band(rows, "doc_id", "direct", 1, "direct_near").select("doc_id", "idx", "near", "direct_near")
 
 
@@ -439,7 +439,8 @@ VOTE_SQL = CUE_SQL + TERM_SQL + """, w AS (SELECT *, min(CASE WHEN neutral THEN
 
 
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    s = mining.any_in_band(mining.band(cue_sentences(spark, sf), "doc_id", "neutral", 1), "doc_id", "direct", 1, "direct_near")
+    # the texts have given their flags, and stay behind
+    s = mining.any_in_band(mining.band(cue_sentences(spark, sf).drop("sentence"), "doc_id", "neutral", 1), "doc_id", "direct", 1, "direct_near")
     hits = s.join(term_hits(doc_sentences(spark, sf)), ["doc_id", "idx"])
     return mining.vote(hits, ["doc_id", "term"], cues={"upregulation": "up", "downregulation": "down", "binding": "bind"})
 
