@@ -14,8 +14,8 @@ from evigraph.llm import jaccard, langid, line_dedup, mixing, packing
 from evigraph.llm.common import checkpointed
 from evigraph.llm.queries import tokenizer_path
 
-#: Documents whose language is less sure than this are rejected; 0.5 stands halfway between no and yes.
-MIN_LANGUAGE_SCORE = 0.2
+#: Documents are rejected whose best language leads by less than in all but this share of the training sample's texts of their size.
+LANGUAGE_LOSS = 0.02
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language; null texts have none."""
-    rows = langid.identify(docs, langid.fit(docs))
-    return rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Drops documents without a recognisable language: null and letterless texts, junk, languages that no document teaches."""
+    rows = langid.identify(docs, langid.fit(docs, loss=LANGUAGE_LOSS))
+    return rows.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,11 @@ the rest. A batch of texts is scored by two matrix products: presence by landmar
 
 The classifier learns from a bounded sample, a stated number of texts of each language; scoring
 reads every whole text.
+
+A best language is always found, so a text in a language that was never taught, or junk, is told by
+its lead: the best margin less the second. Texts unlike all landmarks get the same few margins and
+nearly no lead. What lead to ask for is learned from the sample: each half of it is scored by the
+other, whole and cut to the lengths in CUTS, as short texts lead by less.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ FEATURES = 1 << 15
 #: Texts scored by one matrix product.
 ROWS = 64
 UNKNOWN = "und"
+#: Characters to which texts of the sample are cut to learn what lead texts of a size have.
+CUTS = (8, 16, 32, 64, 128, 256, 1024, None)
 
 
 def has_letter(text: str | None) -> bool:
@@ -53,7 +60,7 @@ class Classifier:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int, ridge: float):
         self.names = sorted(set(langs))
-        self.features = self.weights = None
+        self.features = self.weights = self.limits = None
         if not self.names:
             return
         y = np.array([self.names.index(x) for x in langs])
@@ -76,10 +83,49 @@ class Classifier:
         w = np.linalg.solve(phi.T @ (phi * weight[:, None]) + penalty, phi.T @ (goal * weight[:, None]))
         self.weights, self.bias = (to_map @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of each text, and the number of its n-grams."""
         x = presence(texts)
-        own = np.sqrt(np.maximum(x.sum(1, dtype=np.float32), 1))[:, None]
-        return (x.astype(np.float32) @ self.features / own) @ self.weights + self.bias
+        size = x.sum(1, dtype=np.float32)
+        return (x.astype(np.float32) @ self.features / np.sqrt(np.maximum(size, 1))[:, None]) @ self.weights + self.bias, size
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.measure(texts)[0]
+
+    def learn_limits(self, texts: list[str], langs: list[str], landmarks: int, ridge: float, loss: float) -> None:
+        """From now on texts are "und" whose lead is less than that of all but the share `loss` of the sample's of their size.
+
+        The lead of a text of the sample is that of its own language over the best other one, scored
+        by a classifier of the other half. A limit is never below 0, so where the sample's languages
+        cannot be told apart nothing is rejected; nor is it with one language, or one too small to halve.
+        """
+        if len(self.names) < 2:
+            return
+        y = np.array([self.names.index(x) for x in langs])
+        sizes, leads = [[] for _ in CUTS], [[] for _ in CUTS]
+        for half in (0, 1):
+            known, asked = np.arange(1 - half, len(y), 2), np.arange(half, len(y), 2)
+            other = Classifier([texts[i] for i in known], [langs[i] for i in known], landmarks, ridge)
+            if other.names != self.names:
+                return
+            for k, cut in enumerate(CUTS):
+                for at in range(0, len(asked), ROWS):
+                    some = asked[at : at + ROWS]
+                    margins, size = other.measure([texts[i][:cut] for i in some])
+                    own = margins[np.arange(len(some)), y[some]]
+                    margins[np.arange(len(some)), y[some]] = -np.inf
+                    sizes[k] += size.tolist()
+                    leads[k] += (own - margins.max(1)).tolist()
+        size = np.maximum.accumulate([np.median(x) for x in sizes])
+        lead = np.maximum.accumulate([max(0.0, np.quantile(x, loss)) for x in leads])
+        self.limits = size, lead
+
+    def unsure(self, margins: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether a text leads by less than texts of its size do."""
+        if self.limits is None:
+            return np.zeros(len(size), bool)
+        second, best = np.sort(margins, 1)[:, -2:].T
+        return best - second < np.interp(np.log(np.maximum(size, 1)), np.log(self.limits[0]), self.limits[1])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: 1 and 0 stand for clear yes and no of the regression."""
@@ -87,9 +133,11 @@ class Classifier:
         at = [i for i, t in enumerate(texts) if has_letter(t)] if self.names else []
         for k in range(0, len(at), ROWS):
             some = at[k : k + ROWS]
-            margins = self.score([texts[i] for i in some])
+            margins, size = self.measure([texts[i] for i in some])
             best = margins.argmax(1)
-            for i, b, m in zip(some, best, margins[np.arange(len(some)), best]):
+            for i, b, m, no in zip(some, best, margins[np.arange(len(some)), best], self.unsure(margins, size)):
+                if no:
+                    continue
                 langs[i], scores[i] = self.names[b], min(1.0, max(0.0, (float(m) + 1) / 2))
         return langs, scores
 
@@ -99,12 +147,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 64, ridge: float = 1e-4) -> Classifier:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 64, ridge: float = 1e-4, loss: float | None = None) -> Classifier:
     """A classifier from at most per_language texts of each language, those with the least hash of the id.
 
     Rows with a null language, or a null text or one without a letter, and held-out rows teach
     nothing. A language's rows are thinned by hash to about four times the number wanted before they
-    are ranked, so that a large language is not one task's work.
+    are ranked, so that a large language is not one task's work. With loss, texts that are not sure
+    to be in a language of the sample become "und", at the cost of about that share of those that are.
     """
     named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -115,14 +164,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h"))).filter(F.col("r") <= per_language)
     picked = small(checkpointed(picked.select("lang", "h")))
     got: pd.DataFrame = rows.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
-    return Classifier(got["text"].tolist(), got["lang"].tolist(), landmarks, ridge)
+    sample = got["text"].tolist(), got["lang"].tolist()
+    model = Classifier(*sample, landmarks, ridge)
+    if loss is not None:
+        model.learn_limits(*sample, landmarks, ridge, loss)
+    return model
 
 
 def identify(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1); other columns are kept, these two replaced.
 
-    Null text or one without a letter, and every text if nothing was learned: "und" and 0. Repeated
-    rows get the same. Ties go to the first language by name. Empty table: no rows.
+    Null text or one without a letter, text below the model's limits if it learned any, and every
+    text if nothing was learned: "und" and 0. Repeated rows get the same. Ties go to the first language by name. Empty table: no rows.
     """
     # plain arrays, so that workers need no copy of this package; of a size that the landmarks bound
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before has kept."""
 
+import random
+
 import corpus_pipeline
 from evigraph.llm import jaccard
 from tests.llm.test_operators import dedup_by_hand, ids_of, word_list
@@ -37,3 +39,20 @@ def test_stages(spark, docs, corpus, tmp_path):
     assert total - 10 <= taken <= total
     t = Tokenizer.from_file(tokenizer_path())
     assert sum(r.length for r in kept["packing"]) == sum(len(ids_of(t, r.text)) for r in kept["mixing"])
+
+
+def test_unknown_languages_and_junk_are_rejected(spark):
+    syllables = {"aa": ["ba", "do", "ki"], "bb": ["zu", "pe", "ri"], "cc": ["ço", "lé", "na"], "dd": ["mü", "sta", "gi"]}
+
+    def text(r, parts, n):
+        return " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+    rows = [(i, text(random.Random(i), syllables["abcd"[i % 4] * 2], 10 + i % 60), "abcd"[i % 4] * 2) for i in range(400)]
+    r = random.Random(1)
+    letters = [chr(x) for x in range(97, 123)]
+    bad = ["これは日本語の文章です。今日はとても良い天気ですから、公園に散歩に行きましょう。", "Это русский текст, который написан для проверки языка.", text(r, ["wx", "yv", "fh"], 60), text(r, letters, 200), " ".join(f"{r.getrandbits(128):032x}" for _ in range(9))]
+    rows += [(1000 + k, t, None) for k, t in enumerate(bad)] + [(2000, "12 34", "aa"), (2001, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "unused").collect()}
+    assert not {i for i in kept if i >= 1000}
+    assert len(kept) >= 0.96 * 400
