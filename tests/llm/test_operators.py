@@ -226,6 +226,24 @@ def test_license_titles_are_wording(spark):
     assert licenses.scan_licenses(docs.limit(0), known).count() == 0 and licenses.scan_licenses(docs, known.limit(0)).first().license is None
 
 
+def test_license_files_and_headers(spark):
+    known = licenses.known_licenses(spark)
+    bsd = licenses.bsd_wordings(3)[0]
+    rows = [(1, "MIT License\nCopyright (c) 2020 Someone\n" + licenses.TEXTS["MIT"], "MIT"), (2, "BSD 3-Clause License\n\nCopyright (c) 2021, A\nAll rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause"), (3, licenses.bsd_wordings(2)[0].upper(), "BSD-2-Clause"), (4, bsd + "\nand more", None)]
+    for k in licenses.TITLE_LINES:
+        text = (licenses.FOLDER / f"{k}.txt").read_text()
+        rows += [(10 * len(rows), text, k), (10 * len(rows) + 1, "\n".join(text.split("\n")).replace("\n", "\r\n  ").upper(), k), (10 * len(rows) + 2, text.strip().split("\n", 1)[1], k), (10 * len(rows) + 3, text + "\nmore", None)]
+    apache = (licenses.FOLDER / "Apache-2.0.txt").read_text()
+    rows += [(1001, apache[: apache.index("   APPENDIX")], "Apache-2.0"), (1002, apache.replace("[yyyy] [name of copyright owner]", "2020 Some One"), "Apache-2.0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, want string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs, known).collect()}
+    assert got == {i: want for i, _, want in rows}
+    assert set(licenses.NAMES) - {k for k, _ in licenses.wordings()} == {"CC-BY-4.0", "CC-BY-NC-4.0"}
+    heads = [("# SPDX-License-Identifier: GPL-3.0-or-later\nx = 1", "GPL-3.0"), ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use', "Apache-2.0"), ("/* This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. */", "GPL-2.0"), (" * License, v. 2.0. If a copy of the MPL was not distributed with this\n", "MPL-2.0")]
+    found = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(heads)], "doc_id bigint, text string"), known).collect()
+    assert {r.doc_id: r.notices for r in found} == {i: [k] for i, (_, k) in enumerate(heads)}
+
+
 # ---- lines ----
 
 
