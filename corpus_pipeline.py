@@ -16,6 +16,8 @@ from evigraph.llm.queries import tokenizer_path
 
 #: Documents are rejected whose best language leads by less than in all but this share of the training sample's texts of their size.
 LANGUAGE_LOSS = 0.02
+#: Slices of training time within which packing may bring documents together; between them the mix's order stays.
+TIME_SLICES = 64
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -48,8 +50,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens, with their token ids."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Pieces of documents in sequences of 1024 tokens, with their token ids.
+
+    docs is the mix, whose order is that of its stored rows; sequences are numbered by slice of it.
+    """
+    return packing.pack_documents(packing.with_slices(docs, TIME_SLICES), tokenizer_path(), slice_col="slice")
 
 
 STAGES = [

@@ -8,6 +8,9 @@ number of words holds a BM25 inverted index of its documents: the document that
 the query, and its unused neighbours, best first, fill the window. A document that does not fit is
 cut, and what is left opens the next sequence. So sequences are full; only the last of a partition
 is split at powers of two.
+
+Where documents come in a training order, they are dealt out to slices of it first, each of as many
+documents, and all this is done within slices: sequences follow the order from slice to slice.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import words
-from evigraph.llm.common import ship, worker_store
+from evigraph.llm.common import checkpointed, ship, small, worker_store
 
 ship(__name__)
 
@@ -200,19 +204,42 @@ def pack_shard(packer: Packer, docs: list, texts: list[str], encode, idf: np.nda
             scores[d] = 0.0
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, window: int = 1024, end_id: int = 0, shard_words: int = 1 << 18, partition_words: int = 1 << 20) -> DataFrame:
+def with_slices(docs: DataFrame, slices: int, name: str = "slice") -> DataFrame:
+    """docs with the slice, 0 to slices - 1, of their own order; each slice holds as many rows, or one more or less.
+
+    The order is that in which the rows are stored: files by name and rows in a file, as readers do
+    not keep it, or partitions and their rows where docs is not a plain scan of files.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__part"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        # read twice, so the partitions have to be the same
+        placed = checkpointed(docs).select("*", F.format_string("%010d", F.shiftright(at, 33)).alias("__part"), at.bitwiseAND((1 << 33) - 1).alias("__row"))
+    counts = placed.groupBy("__part").agg((F.max("__row") + 1).alias("__n"))
+    # a row for each file or partition
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    total = F.sum("__n").over(Window.partitionBy())
+    offsets = small(checkpointed(counts.select("__part", before.alias("__before"), total.alias("__total"))))
+    rank = F.col("__before") + F.col("__row")
+    return placed.join(offsets, "__part").withColumn(name, F.floor(rank * slices / F.col("__total")).cast("int")).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, window: int = 1024, end_id: int = 0, shard_words: int = 1 << 18, partition_words: int = 1 << 20, slice_col: str | None = None) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     A document is its tokens and end_id; ids holds a piece's ids as little-endian unsigned 32-bit
     bytes. Each id lies in exactly one piece, pieces of a sequence follow each other without gaps,
-    and a sequence has `window` ids, or fewer, a power of two, at the end of a partition.
+    and a sequence has `window` ids, or fewer, a power of two, at the end of a partition or slice.
+    slice_col: a number; documents of lower ones get lower sequence_ids, and a sequence holds one
+    slice's documents only.
     shard_words and partition_words bound the memory and the work of a task.
 
     Null and empty text: end_id alone. Null and repeated ids: each row is a document of its own.
     Documents without a common word are packed in order. Empty table: no rows. Other columns are
     not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(0) if slice_col is None else F.col(slice_col)).cast("int").alias("slice"))
     found = rows.select("text").mapInArrow(count_terms, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS + 2, np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
@@ -225,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, weights = encoder(tokenizer_path), shared.value
         packer = Packer(window, TaskContext.get().partitionId() << 32)
-        shard, texts, size = [], [], 0
+        shard, texts, size, part = [], [], 0, None
 
         def done():
             cols = list(zip(*packer.rows)) or [()] * 7
@@ -236,7 +263,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("slice").to_pylist()):
+                if own != part:
+                    if part is not None:
+                        pack_shard(packer, shard, texts, encode, weights, mean, end_id)
+                        packer.close()
+                        shard, texts, size = [], [], 0
+                        yield done()
+                    part = own
                 shard.append(doc)
                 texts.append(text)
                 size += text.count(" ") + 1
@@ -252,6 +286,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     near = F.substring(F.array_max(F.split("text", " ")), 1, 32)
     parts = max(1, math.ceil((n_words + n_docs) / partition_words))
-    placed = rows.withColumn("near", near).repartitionByRange(parts, "near", "doc_id").sortWithinPartitions("near", "doc_id")
+    keys = ["near", "doc_id"] if slice_col is None else ["slice", "near", "doc_id"]
+    placed = rows.withColumn("near", near).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return placed.select("doc_id", "text").mapInArrow(pack, schema)
+    return placed.select("doc_id", "text", "slice").mapInArrow(pack, schema)

@@ -1,9 +1,12 @@
 """The pipeline's stages, each on what the one before has kept."""
 
 import random
+import statistics
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evigraph.llm import jaccard
+from evigraph.llm import jaccard, packing
 from tests.llm.test_operators import dedup_by_hand, ids_of, word_list
 
 
@@ -56,3 +59,28 @@ def test_unknown_languages_and_junk_are_rejected(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "unused").collect()}
     assert not {i for i in kept if i >= 1000}
     assert len(kept) >= 0.96 * 400
+
+
+def test_sequences_follow_the_curriculum(spark, tmp_path):
+    rows = [(i, f"zz{i % 7} " + " ".join(f"w{(i * 13 + k) % 97}" for k in range(60)), "ax", f"s{i % 3}", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "unused")
+    mixed.write.parquet(f"{tmp_path}/mix")
+    stored = spark.read.parquet(f"{tmp_path}/mix")
+    for read in (stored, corpus_pipeline.checkpointed(mixed)):
+        out = corpus_pipeline.packing_stage(spark, read, "unused").collect()
+        source = {i: x for i, _, _, x, _ in rows}
+        order = sorted({r.sequence_id for r in out})
+        rank = {s: k / len(order) for k, s in enumerate(order)}
+        mean = {x: statistics.fmean(rank[r.sequence_id] for r in out if source[r.doc_id] == x) for x in ("s0", "s1", "s2")}
+        assert mean["s0"] < 0.47 and abs(mean["s1"] - 0.5) < 0.08 and mean["s2"] > 0.54
+
+
+def test_slices_follow_the_stored_order(spark, tmp_path):
+    docs = spark.range(0, 1000, 1, 7).withColumn("x", F.col("id") % 5)
+    docs.write.parquet(f"{tmp_path}/rows")
+    for read in (spark.read.parquet(f"{tmp_path}/rows"), docs):
+        out = packing.with_slices(read, 8)
+        assert out.columns == ["id", "x", "slice"]
+        assert {r.id: r.slice for r in out.collect()} == {i: i * 8 // 1000 for i in range(1000)}
+    assert packing.with_slices(docs.limit(0), 8).count() == 0
