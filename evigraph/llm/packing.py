@@ -20,6 +20,7 @@ import math
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ ship(__name__)
 #: Word hashes; their document frequencies are the corpus statistics of BM25.
 BUCKETS = 1 << 17
 K1, B = 1.2, 0.75
+#: A text counts as a word for each so many bytes at least, where sizes bound memory: texts may have no blanks.
+WORD_BYTES = 8
 # Fixed value: the pieces that byte-level tokenizers of this kind merge within.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -63,21 +66,26 @@ class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     Byte-level tokenizers are run by the faster of two public libraries, which gives the same ids;
-    texts that spell a special token, and other tokenizers, go to the one that owns the file.
+    texts that spell a special token, and other tokenizers, go to the one that owns the file. It is
+    loaded for these only.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
+        self.path, self.fast = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = None
         if ranks := byte_ranks(spec):
             from tiktoken import Encoding
 
             self.fast = Encoding("byte_level", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         if self.fast is None or any(x in text for x in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,18 +103,21 @@ def encoder(path: str) -> Encoder:
 def terms_of(texts: pa.Array) -> Iterator[np.ndarray]:
     """Hashed words of each text, in order: runs of letters and digits, A-Z as a-z."""
     for _, hashes, ends in words.word_hashes(texts, words.MARKS, fold=True):
-        yield from np.split((hashes % np.uint64(BUCKETS)).astype(np.int32), ends[1:-1])
+        yield from np.split((hashes & np.uint64(BUCKETS - 1)).astype(np.int32), ends[1:-1])
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of a partition, at BUCKETS the documents and after it the words."""
-    counts = np.zeros(BUCKETS + 2, np.int64)
+    """Document frequencies of a partition, at BUCKETS the documents, after it the words, and the words by which sizes are planned."""
+    counts = np.zeros(BUCKETS + 3, np.int64)
     for batch in batches:
-        for _, hashes, ends in words.word_hashes(batch.column(0), words.MARKS, fold=True):
-            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            pairs = np.unique(doc * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
-            counts[:BUCKETS] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-            counts[BUCKETS:] += (len(ends) - 1, len(hashes))
+        size = np.diff(words.text_bytes(batch.column(0))[1])
+        for first, hashes, ends in words.word_hashes(batch.column(0), words.MARKS, fold=True):
+            n = np.diff(ends)
+            pairs = np.sort(np.repeat(np.arange(len(n)) * BUCKETS, n) + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64))
+            new = np.ones(len(pairs), bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            counts[:BUCKETS] += np.bincount(pairs[new] & (BUCKETS - 1), minlength=BUCKETS)
+            counts[BUCKETS:] += (len(n), len(hashes), int(np.maximum(n + 1, size[first : first + len(n)] // WORD_BYTES).sum()))
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
 
@@ -120,11 +131,11 @@ class Index:
         key = np.concatenate([*terms, np.zeros(0, np.int32)]).astype(np.int64) * n + np.repeat(np.arange(len(terms)), length)
         # words in more than half of all documents have no weight
         key = np.sort(key[idf[key // n] > 0])
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+        tf = np.diff(np.append(first, len(key))).astype(np.float64)
         term, self.doc = key[first] // n, key[first] % n
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc].astype(np.float32) / max(mean, 1.0))) if len(key) else tf
-        starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(key) else first
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1.0)))
+        starts = np.flatnonzero(np.concatenate([np.ones(min(len(term), 1), bool), term[1:] != term[:-1]]))
         self.start, self.size = starts, np.diff(np.append(starts, len(term)))
         local = np.repeat(np.arange(len(starts)), self.size)
         self.local = local[np.argsort(self.doc.astype(np.int16 if n < 1 << 15 else np.int64), kind="stable")]
@@ -233,7 +244,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     and a sequence has `window` ids, or fewer, a power of two, at the end of a partition or slice.
     slice_col: a number; documents of lower ones get lower sequence_ids, and a sequence holds one
     slice's documents only.
-    shard_words and partition_words bound the memory and the work of a task.
+    shard_words and partition_words bound the memory and the work of a task; a text counts as a word
+    for each WORD_BYTES at least.
 
     Null and empty text: end_id alone. Null and repeated ids: each row is a document of its own.
     Documents without a common word are packed in order. Empty table: no rows. Other columns are
@@ -241,9 +253,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(0) if slice_col is None else F.col(slice_col)).cast("int").alias("slice"))
     found = rows.select("text").mapInArrow(count_terms, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS + 2, np.int64)
+    counts = np.zeros(BUCKETS + 3, np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    n_docs, n_words = int(counts[BUCKETS]), int(counts[BUCKETS + 1])
+    n_docs, n_words, planned = (int(x) for x in counts[BUCKETS:])
     df = counts[:BUCKETS]
     idf = np.log(np.maximum((n_docs - df + 0.5) / (df + 0.5), 1.0)).astype(np.float32)
     mean = n_words / max(n_docs, 1)
@@ -273,7 +285,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     part = own
                 shard.append(doc)
                 texts.append(text)
-                size += text.count(" ") + 1
+                size += max(text.count(" ") + 1, len(text) // WORD_BYTES)
                 if size >= shard_words:
                     pack_shard(packer, shard, texts, encode, weights, mean, end_id)
                     shard, texts, size = [], [], 0
@@ -285,8 +297,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield done()
 
     near = F.substring(F.array_max(F.split("text", " ")), 1, 32)
-    parts = max(1, math.ceil((n_words + n_docs) / partition_words))
-    keys = ["near", "doc_id"] if slice_col is None else ["slice", "near", "doc_id"]
-    placed = rows.withColumn("near", near).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    parts = max(1, math.ceil(planned / partition_words))
+    # the hash parts texts that share an id, as all without one do
+    keys = [*([] if slice_col is None else ["slice"]), "near", "doc_id", "text_hash"]
+    placed = rows.withColumn("near", near).withColumn("text_hash", F.xxhash64("text")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     return placed.select("doc_id", "text", "slice").mapInArrow(pack, schema)

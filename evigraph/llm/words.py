@@ -17,7 +17,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 WHITE = bytes([32, *range(9, 14)])
 MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 #: Bytes of text that are worked on at a time, or one text.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
