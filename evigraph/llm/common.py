@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import sys
 import types
 
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.checkpoint import checkpointed
+from evigraph.columns import own_names
 from evigraph.functions.text import let
 
-__all__ = ["SPACES", "WORD", "checkpointed", "identity", "let", "release_shuffles", "ship", "small", "worker_store"]
+__all__ = ["SPACES", "WORD", "checkpointed", "identity", "let", "own_names", "release_shuffles", "row_key", "ship", "small", "worker_store"]
 
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,9 +30,13 @@ def small(table: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that nothing refers to any more, which it does after garbage collections."""
+    """Let Spark delete the shuffle files of steps that nothing refers to any more, which it does after garbage collections.
+
+    Only a driver that runs the JVM beside it can ask for one; elsewhere Spark's own interval holds.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(PySparkException, AttributeError):
+        spark.sparkContext._jvm.System.gc()
 
 
 def ship(name: str) -> None:
@@ -49,3 +56,9 @@ ship(__name__)
 def identity(id_col: str, text_col: str) -> list[Column]:
     """What tells rows apart: the id, and a hash of the text for ids that several texts share."""
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash")]
+
+
+def row_key(*columns: str) -> list[Column]:
+    """Two longs, never null, that are equal for rows alike in all these columns, nulls included."""
+    whole = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *whole) for k in (1, 2)]

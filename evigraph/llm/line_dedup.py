@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import identity, let
+from evigraph.llm.common import identity, let, own_names
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -52,14 +52,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = docs.select(*identity(id_col, text_col), F.col(text_col).alias("text"))
     windows = ids.filter(F.col("text").isNotNull()).select("doc_id", "text_hash", F.inline(window_hashes(F.col("text"), width)))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("f")).select("f.*")
-    own = first.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__first"))
+    own = first.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("first"))
 
-    rest = docs.drop("n_lines", "n_removed").withColumn("__hash", F.xxhash64(text_col)).alias("d")
-    rows = rest.join(own.alias("o"), F.col(f"d.{id_col}").eqNullSafe(F.col("o.doc_id")) & (F.col("d.__hash") == F.col("o.text_hash")), "left").select("d.*", "o.__first")
-    later = F.array_except(F.transform(window_hashes(F.col(text_col), width), lambda w: w["pos"]), F.coalesce("__first", F.array().cast("array<int>")))
+    rest = docs.drop("n_lines", "n_removed")
+    text, (key, kept, gone) = F.col(f"`{text_col}`"), own_names(rest.columns, "hash", "first", "gone")
+    d = rest.withColumn(key, F.xxhash64(text)).alias("d")
+    rows = d.join(own.alias("o"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("o.doc_id")) & (F.col(f"d.{key}") == F.col("o.text_hash")), "left").select("d.*", F.col("o.first").alias(kept))
+    later = F.array_except(F.transform(window_hashes(text, width), lambda w: w["pos"]), F.coalesce(kept, F.array().cast("array<int>")))
     covered = F.array_distinct(F.flatten(F.transform(later, lambda p: F.array(*[p + k for k in range(width)]))))
-    rows = rows.withColumn("__gone", covered)
-    cut = F.when(F.size("__gone") > 0, let(F.split(F.col(text_col), "\n", -1), lambda lines: F.array_join(without_lines(lines, F.col("__gone")), "\n"))).otherwise(F.col(text_col))
-    n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
-    out = rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    return out.withColumn(text_col, cut).drop("__hash", "__first", "__gone")
+    rows = rows.withColumn(gone, covered)
+    cut = F.when(F.size(gone) > 0, let(F.split(text, "\n", -1), lambda lines: F.array_join(without_lines(lines, F.col(gone)), "\n"))).otherwise(text)
+    n_lines = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0))
+    out = rows.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(n_lines).cast("long")).withColumn("n_removed", F.when(text.isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    return out.withColumn(text_col, cut).drop(key, kept, gone)

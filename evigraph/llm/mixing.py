@@ -6,8 +6,9 @@ schedule is integrated to cumulative demand, and demand is inverted: a document
 word c of its source's stream gets the time at which the source has asked for c words. Sorting
 by that time, by range, is the training order.
 
-Running sums over a source are split by hash buckets, so a hot source is never one task's work:
-a bucket's rows are summed by one window, and the buckets' offsets by another over bucket totals.
+Documents stand in the order of a hash of their ids. Running sums over a source are split by ranges
+of that order, so a hot source is never one task's work: the rows of a range are summed by one window,
+and the ranges' offsets by another over their totals.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import WORD, checkpointed
+from evigraph.llm.common import WORD, checkpointed, own_names, row_key
 
 #: Shapes over training time, (time, relative weight), dealt to sources in turn: fading, steady, growing.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75)))
@@ -78,31 +79,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeats: int)
     return s.select("source", "source_size", "turn", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES, digits: int = 2) -> DataFrame:
-    """One row a document: doc_id, text_hash, source, size, source_size, target, taken, copies.
-
-    copies: array of (words, position), a copy of the document each, position its time 0..1. The
-    words taken of a source are its target, rounded down: at most one document a source is cut.
-    Documents of a source stand in the order of a hash of their ids; its first `digits` hexadecimal
-    digits part a source into 16 to that power buckets for the running sums.
-
-    Null text and text without words: size 0, never taken. Null source: a source of its own. Null
-    and repeated ids: each row counts for itself; rows alike in id, text and source are dealt in any
-    order, which gives the same set of rows. Empty table: no rows. Other columns are not read.
-    """
-    sizes = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_repeats: int, schedules) -> DataFrame:
+    """plan_mix() with the key (k1, k2) of rows alike in id, text and source."""
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    k1, k2 = row_key("doc_id", "text", "source")
+    sizes = checkpointed(d.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), k1.alias("k1"), k2.alias("k2")))
     order = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sizes.withColumn("order", order).withColumn("bucket", F.substring("order", 1, digits))
     targets = source_targets(sizes, weights, max_repeats)
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
+    # stored, since a second run might cut the ranges elsewhere
+    place = ["source", "order", "size", "text_hash"]
+    rows = checkpointed(sizes.withColumn("order", order).repartitionByRange(*place).withColumn("range", F.spark_partition_id()))
+    totals = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.*", "t.source_size", "t.target", "t.turn")
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "range").orderBy("order", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.alias("r").join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.bucket") == F.col("o.bucket"))).select("r.*", "o.bucket_start", "o.source_size", "o.target", "o.turn")
+    rows = rows.alias("r").join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.range") == F.col("o.range"))).select("r.*", "o.range_start", "o.source_size", "o.target", "o.turn")
     want = F.floor("target").cast("long")
-    start = F.col("bucket_start") + F.col("inside")
+    start = F.col("range_start") + F.col("inside")
 
     def copy(k: int) -> Column:
         at = start + F.col("source_size") * k
@@ -115,7 +110,21 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     copies = F.filter(F.array(*[copy(k) for k in range(max_repeats)]), lambda c: c["words"] > 0)
     rows = rows.withColumn("copies", copies)
-    return rows.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "copies")
+    return rows.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES) -> DataFrame:
+    """One row a document: doc_id, text_hash, source, size, source_size, target, taken, copies.
+
+    copies: array of (words, position), a copy of the document each, position its time 0..1. The
+    words taken of a source are its target, rounded down: at most one document a source is cut.
+
+    Null text and text without words: size 0, never taken. Null source: a source of its own. Null
+    and repeated ids: each row counts for itself; rows alike in id, text and source are dealt in any
+    order, which gives the same set of rows. Empty table: no rows. Other columns are not read.
+    """
+    rows = _planned(docs, id_col, text_col, source_col, weights, max_repeats, schedules)
+    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", "copies")
 
 
 def range_sorted(rows: DataFrame, *keys) -> DataFrame:
@@ -128,18 +137,24 @@ def first_words(text: Column, words: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words.cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, in training order: a row of docs for each copy taken, all columns kept.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES) -> DataFrame:
+    """The mix itself, in training order: a row of docs for each copy taken, all columns kept, whatever their names.
 
-    A copy of which fewer words are taken ends after them. Documents not taken are gone. Rows that
-    share id and text are told apart by nothing: each gets the copies of one of them.
+    A copy of which fewer words are taken ends after them. Documents not taken are gone, as are null
+    texts and those without words. Rows alike in id, text and source are numbered, and each gets the
+    copies of one of them. Null ids and sources: as in plan_mix(). Empty table: no rows.
     """
-    plan = plan_mix(docs, id_col, text_col, source_col, **options)
-    one = plan.groupBy("doc_id", "text_hash", "source").agg(F.max(F.struct("taken", "copies"))["copies"].alias("copies"))
-    taken = one.filter(F.size("copies") > 0)
-    d = docs.withColumn("__hash", F.xxhash64(text_col)).alias("d")
-    on = F.col(f"d.{id_col}").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__hash") == F.col("p.text_hash")) & F.col(f"d.{source_col}").eqNullSafe(F.col("p.source"))
-    rows = d.join(taken.alias("p"), on).select("d.*", F.explode("p.copies").alias("__copy"))
-    cut = F.when(F.col("__copy.words") < word_count(F.col(text_col)), first_words(F.col(text_col), F.col("__copy.words"))).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, cut).withColumn("__position", F.col("__copy.position"))
-    return range_sorted(rows, "__position", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    k1, k2, number, copy, position = own_names(docs.columns, "k1", "k2", "number", "copy", "position")
+    plan = _planned(docs, id_col, text_col, source_col, weights, max_repeats, schedules)
+    # the keys are hashes, so that both sides are dealt out and sorted once
+    alike = Window.partitionBy("k1", "k2").orderBy("k1")
+    taken = plan.select("k1", "k2", F.row_number().over(alike).alias("number"), "copies").filter(F.size("copies") > 0)
+    a, b = row_key(f"`{id_col}`", f"`{text_col}`", f"`{source_col}`")
+    d = docs.withColumn(k1, a).withColumn(k2, b)
+    d = d.withColumn(number, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))).alias("d")
+    on = (F.col(f"d.{k1}") == F.col("p.k1")) & (F.col(f"d.{k2}") == F.col("p.k2")) & (F.col(f"d.{number}") == F.col("p.number"))
+    text = F.col(f"`{text_col}`")
+    rows = d.join(taken.alias("p"), on).select("d.*", F.explode("p.copies").alias(copy))
+    cut = F.when(F.col(f"{copy}.words") < word_count(text), first_words(text, F.col(f"{copy}.words"))).otherwise(text)
+    rows = rows.withColumn(text_col, cut).withColumn(position, F.col(f"{copy}.position"))
+    return range_sorted(rows, position, F.col(f"`{id_col}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
