@@ -33,7 +33,7 @@ K = 32
 #: Stretches that a task's family holds before it is handed on; bounds its memory.
 FAMILY = 1 << 20
 #: Stretches that may share an anchor and still be told apart in one task; larger groups are dealt out by string.
-GROUP = 1 << 16
+GROUP = 1 << 13
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -81,9 +81,9 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     return text[first], first - ends[text[first]], count, gram[a], content
 
 
-def tag(text_hash: np.ndarray, start: np.ndarray, count: np.ndarray | int = 0) -> np.ndarray:
-    """One long that sorts by text hash (17 bits), start (32 bits), and holds a number of starts (14 bits)."""
-    return (text_hash << 46) | (start << 14) | count
+def tag(bits: np.ndarray, start: np.ndarray, count: np.ndarray | int = 0) -> np.ndarray:
+    """One long that sorts by 17 more bits of the text's hash, then start (32 bits), and holds a number of starts (14 bits)."""
+    return (bits << 46) | (start << 14) | count
 
 
 def starts_of(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,26 +91,28 @@ def starts_of(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (tags >> 14) & 0xFFFFFFFF, tags & 0x3FFF
 
 
-def joined_runs(doc: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of starts that follow each other in a text, as few as hold in tags."""
-    order = np.lexsort((tags, doc))
-    doc, tags = doc[order], tags[order]
-    if not len(doc):
-        return doc, tags
+def joined_runs(*rows: np.ndarray) -> list[np.ndarray]:
+    """Runs of starts that follow each other in a text, as few as hold in tags. Columns: what tells texts apart, and tags."""
+    order = np.lexsort(rows[::-1])
+    rows = [x[order] for x in rows]
+    if not len(order):
+        return rows
+    *texts, tags = rows
     start, count = starts_of(tags)
-    text = tags >> 46
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    new = np.ones(len(order), bool)
+    new[1:] = start[1:] != start[:-1] + count[:-1]
+    for x in (*texts, tags >> 46):
+        new[1:] |= x[1:] != x[:-1]
     # a run of 8192 starts and the stretch that ends it fit; longer runs are parted
     before = np.cumsum(count) - count
     part = (before - before[np.flatnonzero(new)][np.cumsum(new) - 1]) >> 13
     new[1:] |= part[1:] != part[:-1]
     first = np.flatnonzero(new)
-    return doc[first], tag(text[first], start[first], np.add.reduceat(count, first))
+    return [*(x[first] for x in texts), tag(tags[first] >> 46, start[first], np.add.reduceat(count, first))]
 
 
 class Family:
-    """Levels of (content, anchor, doc, tag), each sorted by content, sizes growing geometrically."""
+    """Levels of (content, anchor, doc, text, tag), each sorted by content, sizes growing geometrically. Earlier is what sorts first by all columns."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
@@ -120,9 +122,18 @@ class Family:
 
     def add(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """Indexes a batch; returns the rows, new or old, of which an equal earlier one is known."""
-        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+        order = np.argsort(rows[0], kind="stable")
         rows = [x[order] for x in rows]
-        new = np.ones(len(order), bool)
+        # among rows of equal content the earliest comes first
+        same = np.zeros(len(order), bool)
+        same[1:] = rows[0][1:] == rows[0][:-1]
+        same[:-1] |= same[1:]
+        if len(some := np.flatnonzero(same)):
+            part = [x[some] for x in rows]
+            order = np.lexsort(part[::-1])
+            for x, y in zip(rows, part):
+                x[some] = y[order]
+        new = np.ones(len(rows[0]), bool)
         new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
         later = [[x[~new] for x in rows]]
         rows = [x[new] for x in rows]
@@ -130,9 +141,12 @@ class Family:
             at = np.minimum(np.searchsorted(level[0], rows[0]), len(level[0]) - 1)
             same = (level[0][at] == rows[0]) & (level[1][at] == rows[1])
             mine, theirs = np.flatnonzero(same), at[same]
-            earlier = (rows[2][mine] < level[2][theirs]) | ((rows[2][mine] == level[2][theirs]) & (rows[3][mine] < level[3][theirs]))
+            earlier = np.zeros(len(mine), bool)
+            for k in reversed(range(2, len(rows))):
+                a, b = rows[k][mine], level[k][theirs]
+                earlier = (a < b) | ((a == b) & earlier)
             # the earlier of two keeps the place in the level
-            for k in (2, 3):
+            for k in range(2, len(rows)):
                 old, fresh = level[k][theirs], rows[k][mine]
                 level[k][theirs] = np.where(earlier, fresh, old)
                 rows[k][mine] = np.where(earlier, old, fresh)
@@ -148,31 +162,31 @@ class Family:
         return [np.concatenate(x) for x in zip(*later)]
 
 
-ROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("settled", pa.bool_())])
+ROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("text", pa.int64()), ("tag", pa.int64()), ("settled", pa.bool_())])
 
 
 def indexer(length: int):
     """For mapInArrow: doc, hash, text to stretches; settled ones have an equal earlier one in the same task."""
 
     def out(rows: list[np.ndarray], settled: bool) -> Iterator[pa.RecordBatch]:
-        content, anchor, doc, tags = rows
+        content, anchor, doc, text, tags = rows
         for k in range(0, len(doc), 1 << 16):
             s = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[s].view(np.int64)), pa.array(content[s].view(np.int64)), pa.array(doc[s]), pa.array(tags[s]), pa.array(np.full(len(doc[s]), settled))], schema=ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[s].view(np.int64)), pa.array(content[s].view(np.int64)), pa.array(doc[s]), pa.array(text[s]), pa.array(tags[s]), pa.array(np.full(len(doc[s]), settled))], schema=ROW)
 
     def settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc, tags = joined_runs(rows[2], rows[3])
+        doc, text, tags = joined_runs(*rows[2:])
         none = np.zeros(len(doc), U)
-        return out([none, none, doc, tags], True)
+        return out([none, none, doc, text, tags], True)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
-            docs, hashes = batch.column("doc").to_numpy(), batch.column("hash").to_numpy()
+            docs, hashes, bits = (batch.column(c).to_numpy() for c in ("doc", "hash", "bits"))
             for first, data, ends in words.blocks(batch.column("text")):
                 text, start, count, anchor, content = stretches(data, ends, length)
                 text = text + first
-                yield from settled(family.add([content, anchor, docs[text], tag(hashes[text], start, count)]))
+                yield from settled(family.add([content, anchor, docs[text], hashes[text], tag(bits[text], start, count)]))
             if len(family) > FAMILY:
                 for level in family.levels:
                     yield from out(level, False)
@@ -184,70 +198,73 @@ def indexer(length: int):
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over stretches sorted by anchor, content, doc, tag: (doc, tag, anchor, open).
+    """For mapInArrow over stretches sorted by anchor, content, doc, text, tag: (doc, text, tag, anchor, open).
 
     Later stretches come out with open false: all their strings are repeated. First ones whose anchor
     other first ones share come out with open true. The last first one waits for what follows.
     """
     last, held = None, None
 
-    def out(doc, tags, anchor, is_open):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tags), pa.array(anchor), pa.array(np.full(len(doc), is_open))], names=["doc", "tag", "anchor", "open"])
+    def out(doc, text, tags, anchor, is_open):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(tags), pa.array(anchor), pa.array(np.full(len(doc), is_open))], names=["doc", "text", "tag", "anchor", "open"])
 
     for batch in batches:
-        anchor, content, doc, tags = (batch.column(k).to_numpy() for k in range(4))
-        settled = batch.column(4).to_numpy(zero_copy_only=False)
-        yield out(doc[settled], tags[settled], anchor[settled], False)
-        anchor, content, doc, tags = (x[~settled] for x in (anchor, content, doc, tags))
+        cols = [batch.column(k).to_numpy() for k in range(5)]
+        settled = batch.column(5).to_numpy(zero_copy_only=False)
+        anchor, content, doc, text, tags = (x[settled] for x in cols)
+        yield out(doc, text, tags, anchor, False)
+        anchor, content, doc, text, tags = (x[~settled] for x in cols)
         if not len(anchor):
             continue
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         new[0] = last != (anchor[0], content[0])
         last = (anchor[-1], content[-1])
-        yield out(doc[~new], tags[~new], anchor[~new], False)
-        rows = [anchor[new], doc[new], tags[new], np.zeros(int(new.sum()), bool)]
+        yield out(doc[~new], text[~new], tags[~new], anchor[~new], False)
+        rows = [anchor[new], doc[new], text[new], tags[new], np.zeros(int(new.sum()), bool)]
         if held is not None:
             rows = [np.concatenate([[h], x]) for h, x in zip(held, rows)]
         if not len(rows[0]):
             continue
         same = rows[0][1:] == rows[0][:-1]
-        shared = rows[3].astype(bool)
+        shared = rows[4].astype(bool)
         shared[1:] |= same
         shared[:-1] |= same
-        held = [x[-1] for x in rows[:3]] + [shared[-1]]
+        held = [x[-1] for x in rows[:4]] + [shared[-1]]
         shared = shared[:-1]
-        yield out(rows[1][:-1][shared], rows[2][:-1][shared], rows[0][:-1][shared], True)
-    if held is not None and held[3]:
-        yield out(*(np.array([x]) for x in (held[1], held[2], held[0])), True)
+        yield out(*(x[:-1][shared] for x in (rows[1], rows[2], rows[3], rows[0])), True)
+    if held is not None and held[4]:
+        yield out(*(np.array([x]) for x in (held[1], held[2], held[3], held[0])), True)
 
 
-def strings_of(data: list[bytes], doc: np.ndarray, tags: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(h1, h2, doc, tag) of every string of some stretches, whose bytes are data."""
+def strings_of(rows: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """(h1, h2, doc, text, tag) of every string of some stretches: doc, text, tag, bytes."""
+    data = rows.column("bytes").to_pylist()
+    doc, text, tags = (rows.column(c).to_numpy() for c in ("doc", "text", "tag"))
     size = np.array([len(x) for x in data], np.int64)
     start, count = starts_of(tags)
     within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     begin = np.repeat(np.cumsum(size) - size, count) + within
     whole = np.frombuffer(b"".join(data), np.uint8)
     h = [Hashed(whole, seed)(begin, begin + length).view(np.int64) for seed in (0, 1)]
-    return *h, np.repeat(doc, count), tag(np.repeat(tags >> 46, count), np.repeat(start, count) + within, 1)
+    return *h, np.repeat(doc, count), np.repeat(text, count), tag(np.repeat(tags >> 46, count), np.repeat(start, count) + within, 1)
 
 
 def resolver(length: int):
-    """For mapInArrow over stretches sorted by anchor: (doc, tag) of the runs of strings that also start earlier.
+    """For mapInArrow over stretches sorted by anchor: (doc, text, tag) of the runs of strings that also start earlier.
 
     Equal strings have equal anchors, so whole groups of an anchor are settled together, several at a
     time; a group at the end of a batch waits for the next.
     """
 
     def later(rows: pa.Table) -> pa.RecordBatch:
-        h1, h2, doc, tags = strings_of(rows.column("bytes").to_pylist(), rows.column("doc").to_numpy(), rows.column("tag").to_numpy(), length)
-        order = np.lexsort((tags, doc, h2, h1))
-        h1, h2, doc, tags = (x[order] for x in (h1, h2, doc, tags))
+        h1, h2, doc, text, tags = strings_of(rows, length)
+        order = np.lexsort((tags, text, doc, h2, h1))
+        h1, h2, doc, text, tags = (x[order] for x in (h1, h2, doc, text, tags))
         again = np.zeros(len(h1), bool)
         again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        doc, tags = joined_runs(doc[again], tags[again])
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tags, pa.int64())], names=["doc", "tag"])
+        runs = joined_runs(doc[again], text[again], tags[again])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in runs], names=["doc", "text", "tag"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -268,14 +285,13 @@ def resolver(length: int):
 
 
 def string_rows(length: int):
-    """For mapInArrow over stretches: (h1, h2, doc, tag) of each string."""
+    """For mapInArrow over stretches: (h1, h2, doc, text, tag) of each string."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                got = strings_of(part.column("bytes").to_pylist(), part.column("doc").to_numpy(), part.column("tag").to_numpy(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["h1", "h2", "doc", "tag"])
+                got = strings_of(batch.slice(k, 4096), length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["h1", "h2", "doc", "text", "tag"])
 
     return rows
 
@@ -323,13 +339,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be from 64 to 255")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("hash", F.xxhash64("text").bitwiseAND(F.lit((1 << 17) - 1)))
+    base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    # rows that share an id, as all without one do, are told apart by 81 bits of their texts' hashes
+    base = base.withColumn("hash", F.xxhash64("text")).withColumn("bits", F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit((1 << 17) - 1)))
+    same = ["doc", "hash", "bits"]
+    text = ["doc", F.col("text").alias("hash"), F.shiftright("tag", 46).alias("bits")]
 
-    found = base.select("doc", "hash", "text").mapInArrow(indexer(length), "anchor bigint, content bigint, doc bigint, tag bigint, settled boolean")
+    found = base.select(*same, "text").mapInArrow(indexer(length), "anchor bigint, content bigint, doc bigint, text bigint, tag bigint, settled boolean")
     # settled rows only pass through and are spread by their place
-    found = found.repartition(F.when(F.col("settled"), F.xxhash64("doc", "tag")).otherwise(F.col("anchor")))
-    found = found.sortWithinPartitions("anchor", "content", "doc", "tag").mapInArrow(scan, "doc bigint, tag bigint, anchor bigint, open boolean")
-    found = found.groupBy("doc", F.shiftright("tag", 46).alias("hash")).agg(
+    found = found.repartition(F.when(F.col("settled"), F.xxhash64("doc", "text", "tag")).otherwise(F.col("anchor")))
+    found = found.sortWithinPartitions("anchor", "content", "doc", "text", "tag").mapInArrow(scan, "doc bigint, text bigint, tag bigint, anchor bigint, open boolean")
+    found = found.groupBy(*text).agg(
         F.collect_list(F.when(~F.col("open"), F.col("tag"))).alias("later"),
         F.collect_list(F.when(F.col("open"), F.struct("tag", "anchor"))).alias("open"),
     )
@@ -346,21 +366,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         count = o["tag"].bitwiseAND(F.lit(0x3FFF)).cast("int")
         return F.struct(o["anchor"].alias("anchor"), o["tag"].alias("tag"), F.substring(b, start + 1, count - 1 + length).alias("bytes"))
 
-    opened = base.join(found.filter(F.size("open") > 0).select("doc", "hash", "open"), ["doc", "hash"])
-    opened = opened.select("doc", F.inline(let(F.col("text").cast("binary"), lambda b: F.transform("open", lambda o: bytes_of(b, o)))))
+    opened = base.join(found.filter(F.size("open") > 0).select(*same, "open"), same)
+    opened = opened.select("doc", F.col("hash").alias("text"), F.inline(let(F.col("text").cast("binary"), lambda b: F.transform("open", lambda o: bytes_of(b, o)))))
     more = opened
     if any_large:
         opened = checkpointed(opened.join(large, "anchor", "left"))
         more = opened.filter(F.col("large").isNull()).drop("large")
-    more = more.repartition("anchor").sortWithinPartitions("anchor").select("doc", "tag", "anchor", "bytes").mapInArrow(resolver(length), "doc bigint, tag bigint")
+    more = more.repartition("anchor").sortWithinPartitions("anchor").select("doc", "text", "tag", "anchor", "bytes").mapInArrow(resolver(length), "doc bigint, text bigint, tag bigint")
     if any_large:
-        strings = checkpointed(opened.filter("large").select("doc", "tag", "bytes").mapInArrow(string_rows(length), "h1 bigint, h2 bigint, doc bigint, tag bigint"))
-        first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tag")).alias("f")).select("h1", "h2", "f.doc", "f.tag")
-        more = more.unionByName(strings.join(first, ["h1", "h2", "doc", "tag"], "left_anti").select("doc", "tag"))
-    more = checkpointed(more.groupBy("doc", F.shiftright("tag", 46).alias("hash")).agg(F.collect_list("tag").alias("more")))
+        strings = checkpointed(opened.filter("large").select("doc", "text", "tag", "bytes").mapInArrow(string_rows(length), "h1 bigint, h2 bigint, doc bigint, text bigint, tag bigint"))
+        first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text", "tag")).alias("f")).select("h1", "h2", "f.*")
+        more = more.unionByName(strings.join(first, ["h1", "h2", "doc", "text", "tag"], "left_anti").select("doc", "text", "tag"))
+    more = checkpointed(more.groupBy(*text).agg(F.collect_list("tag").alias("more")))
     del opened
     release_shuffles(spark)
 
-    known = found.select("doc", "hash", "later").join(more, ["doc", "hash"], "left")
-    rows = base.join(known, ["doc", "hash"], "left").select("doc_id", "text", "later", "more")
+    known = found.select(*same, "later").join(more, same, "left")
+    rows = base.join(known, same, "left").select("doc_id", "text", "later", "more")
     return rows.mapInArrow(remover(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
