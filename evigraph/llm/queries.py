@@ -62,7 +62,7 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
-    return jaccard.join_near(table(spark, sf_dir, "documents"))
+    return jaccard.join_near(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
