@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.columns import own_names
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators.relational import best_per_key, lookup_join, top_k
+from evigraph.operators.relational import is_small, top_k
 
 #: Kinds of vote in the order in which they break ties, and the weight of a cue of each.
 VOTES = {"upregulation": 1.2, "downregulation": 1.2, "binding": 0.8, "modulation": 0.6}
@@ -25,12 +26,22 @@ def flag_cues(sentences: DataFrame, patterns: Mapping[str, str], text: str = "se
     return sentences.withColumns({n: F.col(text).rlike(p) for n, p in patterns.items()})
 
 
-def dictionary_hits(rows: DataFrame, tokens: Column, lexicon: DataFrame, keys: Sequence[str], form: str = "form", forms=None) -> DataFrame:
-    """Rows of keys for each token that the lexicon has, as it is or without hyphens, the first form that hits."""
+def dictionary_hits(rows: DataFrame, tokens: Column, lexicon: DataFrame, keys: Sequence[str], form: str = "form", forms=None, most: int = 2) -> DataFrame:
+    """Rows of keys for each distinct token that the lexicon has, as it is or without hyphens, the first form that hits.
+
+    forms: a token to its array of forms, of which the first `most` are looked up; the lexicon has
+    each form once. The lookups are joins of their own, so that rows stay where they are.
+    """
     forms = forms or (lambda t: F.array_distinct(F.array(F.upper(t), F.replace(F.upper(t), F.lit("-"), F.lit("")))))
-    t = rows.select(*keys, F.explode(tokens).alias("token")).select(*keys, "token", F.posexplode(forms(F.col("token"))).alias("form_pos", form))
-    hits = lookup_join(t, lexicon, form, "inner")
-    return best_per_key(hits, [*keys, "token"], [F.col("form_pos")]).drop("form_pos", form)
+    found, form_names = [c for c in lexicon.columns if c != form], [f"{form}_{i}" for i in range(most)]
+    t = rows.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
+    t = t.select("*", *[F.get(forms(F.col("token")), F.lit(i)).alias(n) for i, n in enumerate(form_names)])
+    narrow = is_small(lexicon)
+    for i, n in enumerate(form_names):
+        entry = lexicon.select(F.col(form).alias(n), F.struct(*found).alias(f"hit_{i}"))
+        t = t.join(F.broadcast(entry) if narrow else entry, n, "left")
+    hit = F.coalesce(*[F.col(f"hit_{i}") for i in range(most)])
+    return t.select(*keys, "token", hit.alias("hit")).filter(F.col("hit").isNotNull()).select(*keys, "token", "hit.*")
 
 
 def alias_index(genes: DataFrame, symbol: str, aliases: Sequence[str], order: str) -> DataFrame:
@@ -51,6 +62,31 @@ def any_in_band(sentences: DataFrame, doc: str, flag: str, width: int, name: str
     return sentences.withColumn(name, F.max(flag).over(Window.partitionBy(doc).orderBy("idx").rangeBetween(-width, width)))
 
 
+def banded_sentences(docs: DataFrame, id_col: str, text: Column, near: str, direct: str, width: int) -> DataFrame:
+    """(id, idx, sentence, near, direct_near): what band() and any_in_band() find for the patterns near and direct.
+
+    All sentences of a document are in one row to begin with, so their neighbours are found there,
+    and nothing is shuffled.
+    """
+    def around(flags: Column, i: Column) -> tuple[Column, Column]:
+        first = F.greatest(i - width, F.lit(0))
+        return first, F.slice(flags, first + 1, i + width + 1 - first)
+
+    def rows(parts: Column) -> Column:
+        def one(flags: Column) -> Column:
+            def place(x: Column, i: Column) -> Column:
+                first, seen = around(F.transform(flags, lambda f: f["near"]), i)
+                at = F.array_position(seen, True)
+                hint = F.array_contains(around(F.transform(flags, lambda f: f["direct"]), i)[1], True)
+                return F.struct(i.alias("idx"), x.alias("sentence"), F.when(at > 0, first + at - 1).cast("int").alias("near"), hint.alias("direct_near"))
+
+            return F.transform(parts, place)
+
+        return T.let(F.transform(parts, lambda x: F.struct(x.rlike(near).alias("near"), x.rlike(direct).alias("direct"))), one)
+
+    return docs.select(id_col, F.inline(T.let(T.sentences(text), rows)))
+
+
 def vote(hits: DataFrame, keys: Sequence[str], *, cues: Mapping[str, str], genetic: str | None = None, near: str = "near", direct: str = "direct_near") -> DataFrame:
     """One row a key: kind, score, direct_hits, strength, confidence.
 
@@ -61,17 +97,19 @@ def vote(hits: DataFrame, keys: Sequence[str], *, cues: Mapping[str, str], genet
     """
     same = F.col(near) == F.col("idx")
     base = F.when(same, 1.5).otherwise(0.5) * F.when(F.col(direct), 1.3).otherwise(1.0)
-    votes = [F.when(F.col(flag), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("no"), (F.lit(VOTES[kind]) * base).alias("w"))) for i, (kind, flag) in enumerate(cues.items())]
+    kinds = [(kind, flag, F.lit(VOTES[kind]) * base) for kind, flag in cues.items()]
     if genetic:
-        votes.append(F.when(F.col(genetic), F.struct(F.lit("genetic_association").alias("kind"), F.lit(len(cues)).alias("no"), (0.9 * F.when(same, 0.9).otherwise(0.6)).alias("w"))))
-    rows = hits.filter(F.col(near).isNotNull())
-    direct_hits = rows.groupBy(*keys).agg(F.count_if(direct).alias("direct_hits"))
-    cast = rows.select(*keys, "idx", F.explode(F.filter(F.array(*votes), lambda v: v.isNotNull())).alias("v"))
-    sums = cast.groupBy(*keys, F.col("v.kind").alias("kind")).agg(F.sum("v.w").alias("score"), F.min(F.struct("idx", "v.no")).alias("first"))
-    sums = sums.withColumn("score", F.round("score", 9))
-    best = best_per_key(sums, keys, [F.desc("score"), F.col("first")]).drop("first").join(direct_hits, list(keys))
+        kinds.append(("genetic_association", genetic, 0.9 * F.when(same, 0.9).otherwise(0.6)))
+    sums = [F.count_if(direct).alias("direct_hits")]
+    for i, (_, flag, weight) in enumerate(kinds):
+        sums += [F.sum(F.when(F.col(flag), weight)).alias(f"score_{i}"), F.min(F.when(F.col(flag), F.col("idx"))).alias(f"first_{i}")]
+    rows = hits.filter(F.col(near).isNotNull()).groupBy(*keys).agg(*sums)
+    # the least of these has the highest sum, then the first vote, then the first kind
+    ranked = [F.when(F.col(f"first_{i}").isNotNull(), F.struct((-F.round(f"score_{i}", 9)).alias("minus"), F.col(f"first_{i}").alias("first"), F.lit(i).alias("no"), F.lit(kind).alias("kind"))) for i, (kind, _, _) in enumerate(kinds)]
+    rows = rows.withColumn("best", F.array_min(F.array_compact(F.array(*ranked)))).filter(F.col("best").isNotNull())
+    rows = rows.select(*keys, F.col("best.kind").alias("kind"), (-F.col("best.minus")).alias("score"), "direct_hits")
     strength = S.vote_strength(F.col("kind"), F.col("score"), F.col("direct_hits"))
-    return best.withColumn("strength", strength).withColumn("confidence", S.vote_confidence(F.col("strength"), F.col("score")))
+    return rows.withColumn("strength", strength).withColumn("confidence", S.vote_confidence(F.col("strength"), F.col("score")))
 
 
 def contexts(hits: DataFrame, keys: Sequence[str], text: str = "sentence", near_text: str | None = None, k: int = 3) -> DataFrame:
@@ -79,24 +117,31 @@ def contexts(hits: DataFrame, keys: Sequence[str], text: str = "sentence", near_
     c = F.col(text)
     if near_text:
         c = F.when(F.col("near") != F.col("idx"), F.concat_ws(" || ", text, near_text)).otherwise(c)
-    rows = top_k(hits.withColumn("__c", c), keys, [F.col("idx")], k, "__r")
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "__c"))), lambda x: x["__c"]), " | ").alias("context"))
+    said, rank = own_names(hits.columns, "said", "rank")
+    rows = top_k(hits.withColumn(said, c), keys, [F.col("idx")], k, rank)
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", said))), lambda x: x[said]), " | ").alias("context"))
 
 
 def co_mentions(a: DataFrame, b: DataFrame, doc: str, left: str, right: str, polarity: str = "polarity") -> DataFrame:
-    """One row a pair named together in a sentence: evidence_count (documents), docs (first 3), votes by polarity, direction, relationship.
+    """links() of what is named in one sentence. a and b: (doc, idx, left or right); polarity is a column of a."""
+    return links(a.join(b, [doc, "idx"]), doc, left, right, polarity)
 
-    a and b: (doc, idx, left or right); polarity is a column of a.
+
+def links(pairs: DataFrame, doc: str, left: str, right: str, polarity: str = "polarity") -> DataFrame:
+    """One row a pair: evidence_count (documents), docs (first 3), votes by polarity, direction, relationship.
+
+    pairs: a row for each sentence that names both. Sentences are summed by document first, and of a
+    pair's documents each task keeps three, so that a pair in a third of all documents gathers nowhere.
     """
-    pairs = a.join(b, [doc, "idx"])
-    g = pairs.groupBy(left, right).agg(
-        F.countDistinct(doc).alias("evidence_count"),
-        F.slice(F.array_sort(F.collect_set(F.col(doc).cast("string"))), 1, 3).alias("docs"),
-        F.count_if(F.col(polarity) == "positive").alias("n_positive"),
-        F.count_if(F.col(polarity) == "negative").alias("n_negative"),
-    )
+    votes = [F.count_if(F.col(polarity) == x).alias(f"n_{x}") for x in ("positive", "negative")]
+    by_doc = pairs.groupBy(left, right, F.col(doc).alias("doc")).agg(*votes)
+    g = by_doc.groupBy(left, right).agg(F.count("doc").alias("evidence_count"), F.sum("n_positive").alias("n_positive"), F.sum("n_negative").alias("n_negative"))
+    named = by_doc.select(left, right, F.col("doc").cast("string").alias("doc")).filter(F.col("doc").isNotNull())
+    docs = top_k(named, [left, right], [F.col("doc")], 3).groupBy(left, right).agg(F.array_sort(F.collect_list("doc")).alias("docs"))
     direction = F.when(F.col("n_positive") > F.col("n_negative"), "positive").when(F.col("n_negative") > F.col("n_positive"), "negative").otherwise("neutral")
     relation = F.when(F.col("direction") == "positive", "risk_factor").when(F.col("direction") == "negative", "protective").otherwise("associated")
+    g = g.join(docs, [left, right], "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<string>")))
+    g = g.select(left, right, "evidence_count", "docs", "n_positive", "n_negative")
     return g.withColumn("direction", direction).withColumn("relationship", relation)
 
 
@@ -104,11 +149,12 @@ def main_interaction(rows: DataFrame, key, kind: str = "kind", strength: str = "
     """One row a key: main kind (strong 3, moderate 2, weak 1 summed; ties by kind), both directions seen, best confidence."""
     by = [key] if isinstance(key, str) else list(key)
     weight = S.choose(F.col(strength), {"strong": 3, "moderate": 2}, 1)
-    per_kind = rows.groupBy(*by, kind).agg(F.sum(weight).alias("__w"), F.max(confidence).alias("__c"))
+    total, best = own_names([*by, kind], "total", "best")
+    per_kind = rows.groupBy(*by, kind).agg(F.sum(weight).alias(total), F.max(confidence).alias(best))
     return per_kind.groupBy(*by).agg(
-        F.max_by(kind, F.struct(F.col("__w"), kind)).alias("main"),
+        F.max_by(kind, F.struct(F.col(total), kind)).alias("main"),
         (F.bool_or(F.col(kind) == "upregulation") & F.bool_or(F.col(kind) == "downregulation")).alias("conflicting"),
-        F.max("__c").alias("confidence"),
+        F.max(best).alias("confidence"),
     )
 
 

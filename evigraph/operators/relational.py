@@ -7,16 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.columns import own_names
 from evigraph.functions import text as T
 
-#: Lookup tables up to this many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Lookup tables up to this many rows and bytes of text are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a table may be broadcast, by its checked rows and bytes. Counting runs its plan: pass what is stored or literal."""
+    one = table.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
+    return one["rows"] <= BROADCAST_ROWS and (one["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     """Joins a lookup table, broadcast only if its checked size allows."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(table) if small else table, on, how)
+    return df.join(F.broadcast(table) if is_small(table) else table, on, how)
 
 
 def top_k(df: DataFrame, by, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -27,21 +33,24 @@ def top_k(df: DataFrame, by, order: Sequence[Column], k: int, rank: str = "rank"
 
 def best_per_key(df: DataFrame, keys, order: Sequence[Column]) -> DataFrame:
     """One row a key: the first in order."""
-    return top_k(df, keys, order, 1, "__best").drop("__best")
+    (rank,) = own_names(df.columns, "rank")
+    return top_k(df, keys, order, 1, rank).drop(rank)
 
 
 def priority_union(*ranked: DataFrame, keys, order: Sequence[Column] = ()) -> DataFrame:
     """Rows of several tables of the same columns; of a key only those of the first table that has it, of these the first in order."""
-    rows = ranked[0].withColumn("__prio", F.lit(0))
+    (place,) = own_names(ranked[0].columns, "place")
+    rows = ranked[0].withColumn(place, F.lit(0))
     for i, df in enumerate(ranked[1:], 1):
-        rows = rows.unionByName(df.withColumn("__prio", F.lit(i)))
-    return best_per_key(rows, keys, [F.col("__prio"), *order]).drop("__prio")
+        rows = rows.unionByName(df.withColumn(place, F.lit(i)))
+    return best_per_key(rows, keys, [F.col(place), *order]).drop(place)
 
 
 def fill_absent(derived: DataFrame, manual: DataFrame, key: str) -> DataFrame:
     """derived, and those rows of manual whose key, case ignored, derived lacks."""
-    have = derived.select(F.lower(key).alias("__key")).distinct()
-    return derived.unionByName(manual.join(have, F.lower(manual[key]) == F.col("__key"), "left_anti"), allowMissingColumns=True)
+    (own,) = own_names(manual.columns, "key")
+    have = derived.select(F.lower(key).alias(own)).distinct()
+    return derived.unionByName(manual.join(have, F.lower(manual[key]) == F.col(own), "left_anti"), allowMissingColumns=True)
 
 
 def ordered_union(ids: Sequence[DataFrame], key: str, pos: str) -> DataFrame:
@@ -57,9 +66,10 @@ def restrict(df: DataFrame, subset: DataFrame | None, key: str) -> DataFrame:
     if subset is None:
         return df
     keys = subset.select(key).distinct()
-    if keys.isEmpty():
-        return df
-    return df.join(keys, key, "left_semi")
+    (own,) = own_names(df.columns, "key")
+    rows = df.join(keys.select(F.col(key).alias(own)), F.col(key) == F.col(own), "left")
+    empty = subset.agg((F.count(F.lit(1)) == 0).alias("empty")).scalar()
+    return rows.filter(F.col(own).isNotNull() | empty).drop(own)
 
 
 def split_by_store(requested: DataFrame, store: DataFrame, key: str, saved_at: str, since) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +103,6 @@ def explode_synonyms(df: DataFrame, id_col: str, name_col: str, lists: Sequence[
 
 def keep_matching_else_all(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet a condition; all rows if none does."""
-    if df.filter(condition).isEmpty():
-        return df
-    return df.filter(condition)
+    met = F.coalesce(condition, F.lit(False))
+    none = df.agg((F.count_if(met) == 0).alias("none")).scalar()
+    return df.filter(met | none)

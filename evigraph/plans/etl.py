@@ -98,7 +98,7 @@ def run(spark: SparkSession, food_dir: str, vocabulary_dir: str, out: str, trait
         own = own.select(T.normalize_key(F.col("nutrient_name")).alias("name"), F.col("chemical_id").alias("id"), F.col("ctd_key").alias("key"))
         overrides = relational.priority_union(own, overrides, keys=["name"], order=[F.col("id"), F.col("key")])
     mapped = chemical_map(spark.read.parquet(f"{out}/fdc_food_nutrient"), synonyms, overrides, threshold)
-    IO.write_table(mapped, f"{out}/fdc_to_ctd_chemical_map")
+    IO.write_table(mapped.orderBy("fdc_nutrient_name", "unit_name"), f"{out}/fdc_to_ctd_chemical_map")
     IO.write_sorted_csv(spark.read.parquet(f"{out}/fdc_to_ctd_chemical_map"), f"{out}/mapping_audit_csv", F.asc("match_method"), F.desc_nulls_last("fuzzy_score"))
     if trait_file and (traits := IO.read_matching_columns(spark, trait_file, TRAIT_COLUMNS)) is not None:
         IO.write_table(traits, f"{out}/gwas_assoc_subset")

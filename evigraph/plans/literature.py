@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
 from evigraph.checkpoint import checkpointed
+from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import mining, paths, relational
+from evigraph.operators import mining, paths, relational, stats
+from evigraph.sources import tables as IO
 
 #: Genes that need no gene word in their sentence, and the one that beverage words rule out.
 NO_CONTEXT = ("CYP1A2", "ADORA2A")
@@ -23,9 +25,11 @@ def article_sentences(papers: DataFrame) -> DataFrame:
     return mining.flag_cues(rows, {n: L.cue(n) for n in names})
 
 
-def compound_sentences(sentences: DataFrame, compounds: DataFrame, require_intervention: bool = True) -> DataFrame:
-    """(compound, pmid, idx): sentences that name a compound, not an enzyme of like name, and an intervention if asked for."""
-    longest = compounds.select(F.max(F.size(F.split("synonym", " ")))).first()[0] or 1
+def compound_sentences(sentences: DataFrame, compounds: DataFrame, require_intervention: bool = True, longest: int = 4) -> DataFrame:
+    """(compound, pmid, idx): sentences that name a compound, not an enzyme of like name, and an intervention if asked for.
+
+    longest: words that a synonym has at most.
+    """
     spans = sentences.filter(~F.col("enzyme")).select("pmid", "idx", "sentence", "intervention", "coffee", F.explode(T.word_phrases(F.col("sentence"), longest)).alias("synonym"))
     hits = relational.lookup_join(spans, compounds, "synonym", "inner")
     proxy = (F.col("compound") == "caffeine") & F.col("coffee") & ~F.col("sentence").rlike(r"\bcaffein")
@@ -161,10 +165,10 @@ def compound_graph(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _one_row(*tables: DataFrame) -> DataFrame:
-    out = tables[0].withColumn("__one", F.lit(1))
+    out = tables[0]
     for t in tables[1:]:
-        out = out.join(t.withColumn("__one", F.lit(1)), "__one")
-    return out.drop("__one")
+        out = stats.with_row(out, t)
+    return out
 
 
 def study_context(papers: DataFrame) -> DataFrame:
@@ -182,6 +186,58 @@ def flat_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> DataFr
     snippets = relational.top_k(found, ["compound", "gene"], [F.desc("confidence"), F.col("pmid")], 3, "r")
     snippets = snippets.join(study_context(papers).withColumnRenamed("context", "study"), "pmid", "left")
     snippet = F.concat(F.col("pmid"), F.lit(": "), T.clip_label(F.coalesce("context", F.lit("")), 160, dots=True))
+    # at most three rows each
     per = snippets.groupBy("compound", "gene").agg(F.array_join(F.array_sort(F.collect_list(snippet)), " || ").alias("snippets"), F.array_join(F.array_sort(F.collect_set("study")), " ; ").alias("study_context"))
-    kinds = found.groupBy("compound", "gene", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("compound", "gene").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "n"))), ", ").alias("tags"))
-    return effects.join(per, ["compound", "gene"], "left").join(kinds, ["compound", "gene"], "left")
+    return effects.join(per, ["compound", "gene"], "left").join(kind_tags(found), ["compound", "gene"], "left")
+
+
+def kind_tags(found: DataFrame) -> DataFrame:
+    """(compound, gene, tags): counted kinds of interaction, of which there are few."""
+    kinds = found.groupBy("compound", "gene", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy("compound", "gene").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "n"))), ", ").alias("tags"))
+
+
+def nested_context(papers: DataFrame) -> DataFrame:
+    """(pmid, study): what an article says about its study, as one struct; at most 15 headings and 12 keywords."""
+    text = F.concat_ws(" ", "title", "abstract")
+    study = F.struct("publication_types", F.slice("mesh_terms", 1, 15).alias("mesh_terms"), F.slice("keywords", 1, 12).alias("keywords"), F.col("species_tags").alias("species"), T.dose_mentions(text).alias("doses"), T.time_mentions(text).alias("times"))
+    return papers.select("pmid", study.alias("study"))
+
+
+# Columns of the evidence file.
+EVIDENCE_COLUMNS = ("Compound", "Gene (species)", "Drug->Gene", "Gene->Disease", "Drug->Disease (predicted)", "Rule", "Confidence", "Species", "Study context", "Evidence snippets", "Evidence tags")
+
+
+def evidence_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> DataFrame:
+    """EVIDENCE_COLUMNS of each effect; snippets are those of the articles that link gene and disease, three at most, ids alone where the compound has none."""
+    pair = ["compound", "gene"]
+    surest = found.groupBy(*pair).agg(F.max_by("strength", S.choose(F.col("strength"), {"strong": 2, "moderate": 1}, 0)).alias("main_strength"), F.max("gene_display").alias("label"))
+    cited = effects.select(*pair, "disease", F.posexplode("docs").alias("place", "pmid"))
+    said = cited.join(found.select(*pair, F.col("pmid").cast("string").alias("pmid"), "context"), [*pair, "pmid"], "left")
+    said = said.join(study_context(papers).select(F.col("pmid").cast("string").alias("pmid"), F.col("context").alias("study")), "pmid", "left")
+    snippet = F.concat_ws(": ", "pmid", F.nullif(T.clip_label(F.col("context"), 160, dots=True), F.lit("")))
+    per = said.groupBy(*pair, "disease").agg(F.array_sort(F.collect_list(F.struct("place", snippet.alias("snippet")))).alias("snippets"), F.array_sort(F.collect_set(F.nullif(F.col("study"), F.lit("")))).alias("studies"))
+    rows = effects.join(surest, pair).join(per, [*pair, "disease"], "left").join(kind_tags(found), pair, "left")
+    values = [
+        F.col("compound"), F.col("label"), F.format_string("%s (%s)", "main", "main_strength"), F.format_string("%s (%s)", "relationship", "direction"), F.col("effect"), F.col("rule"), F.col("path_confidence"), F.col("species"),
+        F.array_join("studies", " ; "), F.array_join(F.transform("snippets", lambda x: x["snippet"]), " || "), F.col("tags"),
+    ]
+    return rows.select(*[v.alias(n) for v, n in zip(values, EVIDENCE_COLUMNS)])
+
+
+def ranked(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Interactions and links in the order of reports: surest first, most evidence first."""
+    return found.orderBy(F.desc("confidence"), "compound", "pmid", "gene"), links.orderBy(F.desc("evidence_count"), "gene", "disease")
+
+
+def write_results(found: DataFrame, links: DataFrame, effects: DataFrame, papers: DataFrame, out: str) -> None:
+    """The complete result: interactions with their studies, links and effects as JSON, an object a line, and the evidence as CSV.
+
+    All in the order of reports. Lines are nested, but no object gathers a whole compound.
+    """
+    with_study = found.join(nested_context(papers), "pmid", "left")
+    first, second = ranked(with_study, links)
+    first.write.mode("overwrite").json(f"{out}/interactions")
+    second.write.mode("overwrite").json(f"{out}/links")
+    effects.orderBy(F.desc("path_confidence"), "compound", "gene", "disease").write.mode("overwrite").json(f"{out}/effects")
+    IO.write_sorted_csv(evidence_rows(found, effects, papers), f"{out}/evidence_csv", F.desc("Confidence"), *[F.col(f"`{c}`") for c in EVIDENCE_COLUMNS[:4]])

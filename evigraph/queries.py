@@ -389,11 +389,14 @@ TERM_SQL = """, k AS (SELECT DISTINCT doc_id, idx, upper(token) AS term FROM (SE
           WHERE regexp_matches(token, '^[A-Z]') AND upper(token) IN ('""" + "', '".join(LEXICON) + "'))"
 
 
-def term_hits(sentences: DataFrame) -> DataFrame:
-    """(doc_id, idx, term): lexicon terms that begin with a capital."""
+def term_hits(sentences: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, idx, others, term): lexicon terms that begin with a capital; others are columns of the sentence."""
     lexicon = sentences.sparkSession.createDataFrame([(x, x) for x in LEXICON], "form string, term string")
     tokens = F.filter(F.array_distinct(F.regexp_extract_all("sentence", F.lit(T.LINKED), F.lit(0))), lambda t: t.rlike("^[A-Z]"))
-    return mining.dictionary_hits(sentences, tokens, lexicon, ["doc_id", "idx"]).select("doc_id", "idx", "term").distinct()
+    keys = ["doc_id", "idx", *others]
+    # a sentence is one row, so its terms are told apart within it; the lexicon has none with a hyphen
+    forms = F.array_distinct(F.transform(tokens, lambda t: F.replace(F.upper(t), F.lit("-"), F.lit(""))))
+    return mining.dictionary_hits(sentences, forms, lexicon, keys).select(*keys, "term")
 
 
 @query(SENT_SQL + TERM_SQL + " SELECT doc_id, idx, term FROM k")
@@ -439,9 +442,9 @@ VOTE_SQL = CUE_SQL + TERM_SQL + """, w AS (SELECT *, min(CASE WHEN neutral THEN
 
 
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    # the texts have given their flags, and stay behind
-    s = mining.any_in_band(mining.band(cue_sentences(spark, sf).drop("sentence"), "doc_id", "neutral", 1), "doc_id", "direct", 1, "direct_near")
-    hits = s.join(term_hits(doc_sentences(spark, sf)), ["doc_id", "idx"])
+    s = mining.banded_sentences(table(spark, sf, "documents"), "doc_id", F.col("text"), NEUTRAL_CUE, DIRECT_CUE, 1).filter("near is not null")
+    s = mining.flag_cues(s, {n: CUE_PATTERNS[n] for n in ("up", "down", "bind")})
+    hits = term_hits(s, "near", "direct_near", "up", "down", "bind")
     return mining.vote(hits, ["doc_id", "term"], cues={"upregulation": "up", "downregulation": "down", "binding": "bind"})
 
 
@@ -485,9 +488,11 @@ CO_SQL = CUE_SQL + TERM_SQL + r""", pol AS (SELECT doc_id, idx, CASE WHEN up AND
 
 def relations(spark: SparkSession, sf: str) -> DataFrame:
     s = doc_sentences(spark, sf)
-    pol = s.select("doc_id", "idx", T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE, NEUTRAL_CUE).alias("polarity"))
-    mention = suffix_rows(s).filter("source = 'suffix'").select("doc_id", "idx", "mention").distinct()
-    return mining.co_mentions(term_hits(s).join(pol, ["doc_id", "idx"]), mention, "doc_id", "term", "mention")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower))
+    s = s.select("doc_id", "idx", "sentence", F.filter(words, lambda w: w.rlike("(tion|ing)$") & ~w.isin(*STOP)).alias("mentions")).filter(F.size("mentions") > 0)
+    s = s.withColumn("polarity", T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE, NEUTRAL_CUE))
+    pairs = term_hits(s, "polarity", "mentions").select("doc_id", "term", "polarity", F.explode("mentions").alias("mention"))
+    return mining.links(pairs, "doc_id", "term", "mention")
 
 
 @query(CO_SQL + " SELECT * FROM co")

@@ -100,14 +100,15 @@ def header_after_comment(lines: Sequence[str], sep: str, tokens: Sequence[str],
 def read_commented(spark: SparkSession, path: str, fallback: Sequence[str], sep: str = "\t", tokens: Sequence[str] | None = None, peek: int = 400) -> DataFrame:
     """A delimited file whose header hides among leading "#" lines; lines that start with "#" are no rows.
 
-    A compressed file is one partition, so rows are dealt out anew right after reading.
+    A compressed file is one partition, so rows are dealt out anew right after reading, to as many
+    partitions as their size asks for under adaptive execution.
     """
     head = [r[0] for r in spark.read.text(path).limit(peek + 1).collect()]
     names = header_after_comment(head, sep, tokens if tokens is not None else fallback[:2], fallback)
     df = _read_csv(spark, path, names, sep=sep, comment="#")
     if names and not any(line.startswith("#") for line in head):
         df = df.filter(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) != names[0])
-    return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
+    return df.hint("rebalance") if path.endswith(".gz") else df
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def write_sorted_csv(df: DataFrame, path: str, *order) -> None:
 
 
 def write_nested_json(df: DataFrame, path: str, key: str, name: str = "items") -> None:
-    """One JSON object a key, its rows as a list."""
+    """One JSON object a key, its rows as a list: for keys whose rows fit in memory, as an object must. Rows of larger groups are written as lines."""
     rest = [c for c in df.columns if c != key]
     df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)).write.mode("overwrite").json(path)
 
