@@ -255,7 +255,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, recall: float = 0.9995, depth: int = 6) -> DataFrame:
+def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, recall: float = 0.99, depth: int = 6) -> DataFrame:
     """One row a document: doc_id, text_hash, class_id, n_links, copies, first.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at
@@ -288,10 +288,10 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     leaves = leaves.join(own, "key")
     # a leaf whose members all share an earlier leaf holds no new pair
     first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.array_min(F.filter("leaves", lambda x: F.shiftright(x, RUN_BITS) == r)))
-    with_first = leaves.select("leaf", "run", first.alias("firsts"))
-    ends = [F.struct(F.lit(r).alias("run"), F.min(F.col("firsts")[r]).alias("low"), F.max(F.col("firsts")[r]).alias("high"), F.count(F.col("firsts")[r]).alias("n")) for r in range(runs)]
-    fresh = with_first.groupBy("leaf").agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("all"), F.array(*ends).alias("ends"))
-    fresh = fresh.filter(~F.exists("ends", lambda e: (e["run"] < F.col("run")) & (e["low"] == e["high"]) & (e["n"] == F.col("all")))).select("leaf")
+    with_first = leaves.select("leaf", first.alias("firsts"))
+    ends = [F.struct(F.min(F.col("firsts")[r]).alias("low"), F.max(F.col("firsts")[r]).alias("high"), F.count(F.col("firsts")[r]).alias("n")) for r in range(runs)]
+    fresh = with_first.groupBy("leaf").agg(F.count(F.lit(1)).alias("all"), F.array(*ends).alias("ends"))
+    fresh = fresh.filter(~F.exists("ends", lambda e: (e["low"] < F.col("leaf")) & (e["low"] == e["high"]) & (e["n"] == F.col("all")))).select("leaf")
     leaves = checkpointed(leaves.join(fresh, "leaf", "left_semi"))
     wanted = small(checkpointed(leaves.select("key").distinct().join(classes, "key").select("low.*")), 1_000_000)
     del own, with_first, fresh
