@@ -1,18 +1,19 @@
-"""Removing long repeated byte strings with a logarithmic family of sparse suffix arrays.
-
-A string of `length` bytes is repeated if it also starts earlier. Only some suffixes are indexed: of
-the K-byte grams inside a string the one with the least hash is its anchor, which its content alone
-decides, so equal strings have equal anchors at equal places. Strings in a row with one anchor form a
-stretch, about one for every 35 bytes; equal stretches hold equal strings, and strings can only be
-equal across different stretches if those have the same anchor gram.
-
-Each task keeps a family of sorted arrays of stretches. A batch of documents becomes an array of its
-own, is scanned against the existing levels, where of equal stretches the later is settled, and
-joins them as the newest level; levels of like size merge, so there are logarithmically many. The
-arrays of all tasks merge in one sorting shuffle by anchor, whose scan finds the first of each
-stretch in the corpus. First stretches that share an anchor with different ones, which happens where
-copies begin, end or differ, are told apart string by string, all those of an anchor in one place, or
-by their own hashes where very many share it.
+"""Removing long repeated byte strings with a logarithmic family of indexes of anchored strings.
+
+A string of `length` bytes is repeated if it also starts earlier. A suffix array of every byte is
+beyond the means of a shuffle, so only some suffixes are indexed, and by hash: of the K-byte grams
+inside a string the one with the least hash is its anchor, which its content alone decides, so equal
+strings have equal anchors at equal places. Strings in a row with one anchor form a stretch, about
+one for every 35 bytes; equal stretches hold equal strings, and strings can only be equal across
+different stretches if those have the same anchor gram.
+
+Each task keeps a family of sorted levels of stretches. A batch of documents becomes a level of its
+own, is scanned against the existing ones, where of equal stretches the later is settled, and joins
+them as the newest; levels of like size merge, so there are logarithmically many. The levels of all
+tasks merge in one sorting shuffle by anchor, whose scan finds the first of each stretch in the
+corpus. First stretches that share an anchor with different ones, which happens where copies begin,
+end or differ, are told apart string by string, all those of an anchor in one place, or by their own
+hashes where very many share it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ K = 32
 #: Stretches that a task's family holds before it is handed on; bounds its memory.
 FAMILY = 1 << 20
 #: Stretches that may share an anchor and still be told apart in one task; larger groups are dealt out by string.
-GROUP = 1 << 13
+GROUP = 1 << 15
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -340,8 +341,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    # rows that share an id, as all without one do, are told apart by 81 bits of their texts' hashes
-    base = base.withColumn("hash", F.xxhash64("text")).withColumn("bits", F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit((1 << 17) - 1)))
+    # texts that share an id, as all without one do, are told apart by 81 bits of their hashes, of which those in a column of their own are 0 where no id has two texts
+    hashed = base.withColumn("hash", F.xxhash64("text"))
+    unlike = not hashed.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b").isEmpty()
+    base = hashed if unlike else base.withColumn("hash", F.lit(0).cast("bigint"))
+    base = base.withColumn("bits", F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit((1 << 17) - 1)))
     same = ["doc", "hash", "bits"]
     text = ["doc", F.col("text").alias("hash"), F.shiftright("tag", 46).alias("bits")]
 
