@@ -55,6 +55,12 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def scaled(texts: list[str]) -> np.ndarray:
+    """presence() with each row over the root of its sum."""
+    x = presence(texts).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 class Classifier:
     """Languages, landmark features (features x landmarks, scaled) and weights (landmarks x languages)."""
 
@@ -63,17 +69,17 @@ class Classifier:
         self.features = self.weights = self.limits = None
         if not self.names:
             return
-        y = np.array([self.names.index(x) for x in langs])
-        x = presence(texts).astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        number = {x: k for k, x in enumerate(self.names)}
+        y = np.array([number[x] for x in langs])
         # the same number of landmarks of each language
         each = max(1, landmarks // len(self.names))
         chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(self.names))])
-        self.features = np.ascontiguousarray(x[chosen].T)
-        values, vectors = np.linalg.eigh((x[chosen] @ x[chosen].T).astype(np.float64))
+        self.features = np.ascontiguousarray(np.concatenate([scaled(texts[i : i + 1]) for i in chosen]).T)
+        values, vectors = np.linalg.eigh((self.features.T @ self.features).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         to_map = vectors[:, keep] / np.sqrt(values[keep])
-        phi = (x @ self.features).astype(np.float64) @ to_map
+        # some texts at a time: of the whole sample only the landmarks' features are held
+        phi = np.concatenate([(scaled(texts[k : k + ROWS]) @ self.features).astype(np.float64) for k in range(0, len(texts), ROWS)]) @ to_map
         phi = np.hstack([phi, np.ones((len(phi), 1))])
         goal = np.where(y[:, None] == np.arange(len(self.names)), 1.0, -1.0)
         # each language weighs the same, however many texts it has
@@ -101,7 +107,8 @@ class Classifier:
         """
         if len(self.names) < 2:
             return
-        y = np.array([self.names.index(x) for x in langs])
+        number = {x: k for k, x in enumerate(self.names)}
+        y = np.array([number[x] for x in langs])
         sizes, leads = [[] for _ in CUTS], [[] for _ in CUTS]
         for half in (0, 1):
             known, asked = np.arange(1 - half, len(y), 2), np.arange(half, len(y), 2)
@@ -147,15 +154,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, landmarks: int = 64, ridge: float = 1e-4, loss: float | None = None) -> Classifier:
-    """A classifier from at most per_language texts of each language, those with the least hash of the id.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, longest: int = 1 << 17, landmarks: int = 64, ridge: float = 1e-4, loss: float | None = None) -> Classifier:
+    """A classifier from at most per_language texts of each language, of at most `longest` characters, those with the least hash of the id.
 
-    Rows with a null language, or a null text or one without a letter, and held-out rows teach
+    These whole texts are gathered on the driver; both bounds hold for any size of docs. Rows with a null language, or a null text or one without a letter, and held-out rows teach
     nothing. A language's rows are thinned by hash to about four times the number wanted before they
     are ranked, so that a large language is not one task's work. With loss, texts that are not sure
     to be in a language of the sample become "und", at the cost of about that share of those that are.
     """
-    named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
+    named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) <= longest))
     counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     rows = named.filter(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("h"))
     counts = small(checkpointed(counts))

@@ -5,6 +5,9 @@ of votes, at most 3 to the number of rules. Expectation-maximisation over these
 often each rule is right on good and on bad documents, and the share of good ones; each round is one
 aggregation of the pattern table, of which only the sums reach the driver. A document is kept if its
 posterior probability of being good is at least one half.
+
+The model takes rules as independent once it is known whether a document is good, so each rule judges
+a signal of its own: no two look at the same measure.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import SPACES, WORD, checkpointed, let
 
 SYMBOLS = "#*$%&|<>"
+#: What ends a sentence, also in scripts that have marks of their own.
+ENDS = ".!?。！？؟।"
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -50,40 +55,49 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long). Null text: all 0."""
+    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_ends, n_letters, n_letterless (long). Null text: all 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def count(signs: str) -> Column:
+        return (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
+
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     measures = let(
         F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")),
+        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"), F.size(F.filter(ws, lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_letterless")),
     )
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         measures.alias("m"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        count(SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         (F.size(lines)).cast("long").alias("n_lines"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+        count(ENDS).alias("n_ends"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))).cast("long").alias("n_letters"),
     )
-    return rows.select("doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_lines")
+    return rows.select("doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_lines", "n_capitals", "n_ends", "n_letters", "m.n_letterless")
 
 
 def default_rules() -> dict[str, Column]:
-    """Votes over text_measures(): 1 good, 0 bad, null abstains where the text is too short to tell."""
-    words, chars = F.col("n_words"), F.col("word_chars")
+    """Votes over text_measures(): 1 good, 0 bad, null abstains between the two, or where the text is too short to tell."""
+    words, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
 
     def vote(good: Column, bad: Column, applies: Column) -> Column:
         return F.when(applies & good, 1).when(applies & bad, 0)
 
     some = words >= 10
     return {
-        "length": F.when(words >= 50, 1),
-        "word_length": vote((chars >= 3 * words) & (chars <= 10 * words), (2 * chars < 5 * words) | (chars > 12 * words), some),
-        "symbols": vote(F.col("n_symbols") * 20 <= words, F.col("n_symbols") * 10 > words, some),
-        "symbol_share": vote(F.col("n_symbols") * 100 <= chars, F.col("n_symbols") * 50 > chars, some),
-        "many_symbols": vote(F.col("n_symbols") * 10 <= words, F.col("n_symbols") * 4 > words, some),
-        "lines": vote(F.col("n_dup_lines") * 10 <= F.col("n_lines"), F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"), F.col("n_lines") >= 3),
-        "repeats": vote(F.col("n_repeat_words") * 10 <= words, F.col("n_repeat_words") * 5 > words, some),
+        "length": vote(words >= 50, words < 20, some),
+        "word_length": vote((chars >= 3 * words) & (chars <= 8 * words), (2 * chars < 5 * words) | (chars > 12 * words), some),
+        "symbols": vote(F.col("n_symbols") * 20 <= words, F.col("n_symbols") * 4 > words, some),
+        "capitals": vote(F.col("n_capitals") * 10 <= chars, F.col("n_capitals") * 4 > chars, some),
+        "letters": vote(F.col("n_letters") * 20 >= 17 * chars, F.col("n_letters") * 4 < 3 * chars, some),
+        "letterless": vote(F.col("n_letterless") * 20 <= words, F.col("n_letterless") * 20 > 3 * words, some),
+        "ends": vote((F.col("n_ends") * 60 >= words) & (F.col("n_ends") * 4 <= words), F.col("n_ends") * 2 > words, words >= 20),
+        "lines": vote(F.col("n_dup_lines") * 20 <= lines, F.col("n_dup_lines") * 5 > lines, lines >= 4),
+        "repeats": vote(F.col("n_repeat_words") * 50 <= words, F.col("n_repeat_words") * 10 > words, words >= 50),
     }
 
 
