@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
+from evigraph import queries as evidence
 from evigraph.checkpoint import checkpoint_folder
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
@@ -454,3 +455,32 @@ def phrase_hits(spark, sf):
     p = table(spark, sf, "part")
     text = F.concat(F.lit("The "), F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("  \n"))), F.when(F.col("p_size") % 3 == 0, "s").otherwise(", too"))
     return p.select("p_partkey", F.regexp_like(text, T.phrase_pattern(F.col("p_name"))).alias("found"))
+
+
+@query("""SELECT 'p_name' AS "column", count(*) AS rows, count_if(p_name IS NULL)::BIGINT AS nulls, count(DISTINCT p_name) AS "distinct", count_if(p_name IS NOT NULL AND try_cast(p_name AS DOUBLE) IS NULL)::BIGINT AS non_numeric FROM part UNION ALL
+          SELECT 'p_size', count(*), count_if(p_size IS NULL)::BIGINT, count(DISTINCT p_size), 0::BIGINT FROM part""")
+def column_profile(spark, sf):
+    """Counts of columns, distinct values among them."""
+    return stats.profile(table(spark, sf, "part").select("p_name", "p_size"))
+
+
+@query("SELECT DISTINCT event_type AS value FROM events WHERE event_type IS NOT NULL AND try_cast(event_type AS DOUBLE) IS NULL ORDER BY value LIMIT 20")
+def bad_values(spark, sf):
+    """The first twenty distinct values of a column that are no numbers."""
+    rows = table(spark, sf, "events").filter(F.col("event_type").isNotNull() & F.col("event_type").try_cast("double").isNull())
+    return stats.column_samples(rows, "event_type")
+
+
+@query(evidence.PATHS_SQL + """ SELECT 'level' AS kind, level AS key, count(*) AS n FROM p GROUP BY level UNION ALL SELECT 'tier', CASE WHEN quality >= 0.75 THEN 'high' WHEN quality >= 0.6 THEN 'moderate' ELSE 'low' END, count(*) FROM p GROUP BY 2
+          UNION ALL SELECT 'total', 'paths', count(*) FROM p UNION ALL SELECT 'best', cust || '-' || ord || '-' || part || '-' || supp, 1 FROM (SELECT * FROM p ORDER BY quality DESC, cust::VARCHAR, part::VARCHAR, supp::VARCHAR, ord::VARCHAR LIMIT 8)""")
+def exported_report(spark, sf):
+    """What the export of scored paths writes: levels, tiers, the summary row and the eight best paths, read back."""
+    names = {"food": "cust", "nutrient": "part", "gene": "supp", "disease": "ord"}
+    rows = evidence.pathways(spark, sf).select(*[F.col(v).cast("string").alias(k) for k, v in names.items()], F.col("quality").alias("pathway_quality_score"), F.col("level").alias("evidence_level"), F.col("has_direct").alias("has_direct_evidence"), "evidence_count", "pubmed_count")
+    out = scratch(spark, "report")
+    pathways.export(rows, out)
+    levels = spark.read.parquet(f"{out}/levels").select(F.lit("level").alias("kind"), F.col("evidence_level").alias("key"), "n")
+    tiers = spark.read.parquet(f"{out}/pathways").groupBy(F.col("tier").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("tier").alias("kind"), "key", "n")
+    total = IO.split_rejects(IO.read_delimited(spark, f"{out}/summary_csv"))[0].select(F.lit("total").alias("kind"), F.lit("paths").alias("key"), F.col("total").cast("bigint").alias("n"))
+    best = spark.read.parquet(f"{out}/top_paths").select(F.lit("best").alias("kind"), F.concat_ws("-", "food", "disease", "nutrient", "gene").alias("key"), F.lit(1).cast("bigint").alias("n"))
+    return levels.unionByName(tiers).unionByName(total).unionByName(best)

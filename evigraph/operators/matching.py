@@ -52,7 +52,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     for df, key, name in ((left, left_key, "l"), (right, right_key, "r")):
         f = forms(df, key, name)
         sides.append((name, f.withColumn("g", grams(F.col("form")))))
-    counts = sides[1][1].select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(sides[1][1].select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     prefixes = []
     for name, f in sides:
         g = lookup_join(f.select(name, "form", F.explode("g").alias("gram")), counts, "gram")

@@ -68,21 +68,21 @@ def banded_sentences(docs: DataFrame, id_col: str, text: Column, near: str, dire
     All sentences of a document are in one row to begin with, so their neighbours are found there,
     and nothing is shuffled.
     """
-    def around(flags: Column, i: Column) -> tuple[Column, Column]:
-        first = F.greatest(i - width, F.lit(0))
-        return first, F.slice(flags, first + 1, i + width + 1 - first)
-
     def rows(parts: Column) -> Column:
-        def one(flags: Column) -> Column:
+        def flagged(pattern: str) -> Column:
+            return F.transform(parts, lambda x: x.rlike(pattern))
+
+        def one(nears: Column, directs: Column) -> Column:
             def place(x: Column, i: Column) -> Column:
-                first, seen = around(F.transform(flags, lambda f: f["near"]), i)
-                at = F.array_position(seen, True)
-                hint = F.array_contains(around(F.transform(flags, lambda f: f["direct"]), i)[1], True)
+                first = F.greatest(i - width, F.lit(0))
+                n = i + width + 1 - first
+                at = F.array_position(F.slice(nears, first + 1, n), True)
+                hint = F.array_contains(F.slice(directs, first + 1, n), True)
                 return F.struct(i.alias("idx"), x.alias("sentence"), F.when(at > 0, first + at - 1).cast("int").alias("near"), hint.alias("direct_near"))
 
             return F.transform(parts, place)
 
-        return T.let(F.transform(parts, lambda x: F.struct(x.rlike(near).alias("near"), x.rlike(direct).alias("direct"))), one)
+        return T.let(flagged(near), lambda nears: T.let(flagged(direct), lambda directs: one(nears, directs)))
 
     return docs.select(id_col, F.inline(T.let(T.sentences(text), rows)))
 

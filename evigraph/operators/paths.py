@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.operators import stats
+
 
 def chain(hops: Sequence[tuple[DataFrame, str, str, int]]) -> DataFrame:
     """Joins edge tables end to end: each hop is (edges, source column, target column, k).
@@ -45,13 +47,16 @@ def summary(paths: DataFrame, quality: str, distinct: Sequence[str], high: float
     """One row: totals, distinct counts, mean, median and 90 % quantile of quality, tier counts; 0 where there are no paths."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     aggs = [F.count(F.lit(1)).alias("total"), *[F.countDistinct(c).alias(f"n_{c}") for c in distinct]]
-    aggs += [zero(F.avg(quality)).alias("mean_quality"), zero(F.percentile(quality, F.lit(0.5))).alias("median_quality"), zero(F.percentile(quality, F.lit(0.9))).alias("p90_quality")]
+    aggs.append(zero(F.avg(quality)).alias("mean_quality"))
+    after = len(aggs)
     aggs += [F.count_if(F.col(quality) >= high).alias("n_high"), F.count_if(F.col(quality) < high).alias("n_rest")]
     if direct:
         aggs.append(F.count_if(F.col(direct)).alias("n_direct"))
     for c in averaged:
         aggs += [zero(F.avg(c)).alias(f"mean_{c}"), F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(f"max_{c}")]
-    return paths.agg(*aggs)
+    one = paths.agg(*aggs)
+    q = stats.quantiles(paths, {"q": F.col(quality)}, [0.5, 0.9]).select(zero(F.col("q")[0]).alias("median_quality"), zero(F.col("q")[1]).alias("p90_quality"))
+    return stats.with_row(one, q).select(*one.columns[:after], *q.columns, *one.columns[after:])
 
 
 def contributors(paths: DataFrame, key: str, quality: str, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
+from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
 from evigraph.operators import paths, relational, stats
@@ -69,9 +70,9 @@ def gene_edges(mapping: DataFrame, chem_genes: DataFrame, traits: DataFrame | No
     """nutrient, gene, chemical_id, ref_count, confidence, gene_direction, gwas_factor, gene_rank."""
     cg = chem_genes.select(T.normalize_id(F.col("ChemicalID")).alias("chemical_id"), F.col("GeneSymbol").alias("gene"), F.col("InteractionActions").alias("actions"), F.col("ref_count").cast("double").alias("ref_count"))
     cg = stats.with_row(cg, min_literature).filter(F.col("ref_count") >= F.col("min_literature")).drop("min_literature")
-    rows = relational.lookup_join(cg, mapping.filter(F.col("confidence") >= limits.mapping), "chemical_id", "inner")
+    rows = relational.lookup_join(cg, checkpointed(mapping.filter(F.col("confidence") >= limits.mapping)), "chemical_id", "inner")
     rows = rows.withColumn("gene_direction", T.direction(F.col("actions")))
-    hits = supported_genes(traits, rows).withColumn("hit", F.lit(True)).withColumnRenamed("gene", "hit_gene")
+    hits = checkpointed(supported_genes(traits, rows).select(F.lit(True).alias("hit"), F.col("gene").alias("hit_gene")))
     rows = relational.lookup_join(rows, hits, F.upper(rows["gene"]) == hits["hit_gene"]).withColumn("gwas_factor", F.when(F.col("hit"), 1.3).otherwise(1.0)).drop("hit", "hit_gene")
     order = [F.desc("confidence"), F.desc("ref_count"), F.desc("gwas_factor"), F.col("gene"), F.col("chemical_id"), F.col("actions")]
     if limits.distinct_genes:

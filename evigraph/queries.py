@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
 from evigraph.operators import matching, mining, paths, relational, stats
@@ -63,7 +64,7 @@ def dose_select_topk(spark, sf):
     """Amounts that count, and the five of each name that matter most against a reference amount."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_returnflag")
     rows = li.join(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
-    daily = rows.filter("l_returnflag = 'A'").groupBy("p_brand").agg(F.max("l_quantity").alias("dv"))
+    daily = checkpointed(rows.filter("l_returnflag = 'A'").groupBy("p_brand").agg(F.max("l_quantity").alias("dv")))
     rows = relational.lookup_join(rows, daily, "p_brand")
     amount = F.col("l_quantity") / 100
     rows = rows.withColumn("amount", amount).withColumn("ratio", F.coalesce(amount / (F.col("dv") * 2), F.lit(0.0)))
