@@ -34,7 +34,7 @@ WIDTH = 5
 #: Min-hashes of a class, the places that nodes choose from, and the share of nodes that choose two.
 PLACES, SECOND = 32, 4
 #: Classes a node may have before it splits; classes, and shingles in all, of a block of a leaf that stays larger.
-LEAF, BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 20
+LEAF, BLOCK, BLOCK_SHINGLES = 512, 1024, 1 << 20
 #: A node is not split further if one of its children has at least this share of it.
 AGREE = 0.8
 #: Pairs whose shingles are compared at a time, and shingles that are hashed at a time.
@@ -226,7 +226,8 @@ def tree_leaves(classes: DataFrame, runs: int, depth: int) -> DataFrame:
     start = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(0).cast("bigint").alias("at")) for r in range(runs)])
     rows = classes.select("key", "n", F.inline(F.transform(start, lambda x: F.struct(x["run"].alias("run"), children(x["run"], x["at"], F.col("places")).alias("at")))))
     rows = rows.select("key", "n", "run", F.explode("at").alias("at"))
-    sizes = rows.groupBy("run", "at").agg(*count).filter(F.col("members") > 1)
+    # tables of nodes are stored before they are joined, as only then a node with many classes can be split between tasks
+    sizes = checkpointed(rows.groupBy("run", "at").agg(*count).filter(F.col("members") > 1))
     rows, leaves = checkpointed(rows.join(sizes, ["run", "at"])), []
     as_leaf = ["key", "run", leaf_number(F.col("at")).alias("leaf"), "members", "shingles"]
     for _ in range(depth - 1):
@@ -241,7 +242,7 @@ def tree_leaves(classes: DataFrame, runs: int, depth: int) -> DataFrame:
         # one row a child of a large node
         agrees = (F.max("members").over(Window.partitionBy("run", "at")) >= AGREE * F.col("all")).alias("agrees")
         sizes = checkpointed(sizes.select("run", "at", "next", "members", "shingles", agrees).filter(F.col("agrees") | (F.col("members") > 1)))
-        dense = sizes.filter("agrees").select("run", "at").distinct()
+        dense = checkpointed(sizes.filter("agrees").select("run", "at").distinct())
         leaves.append(down.join(dense, ["run", "at"], "left_semi").select(*as_leaf))
         on = down.select("key", "n", "run", "at", F.explode("next").alias("next")).join(sizes.filter(~F.col("agrees")).drop("agrees"), ["run", "at", "next"])
         rows = checkpointed(on.select("key", "n", "run", F.col("next").alias("at"), "members", "shingles"))
@@ -292,6 +293,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     ends = [F.struct(F.min(F.col("firsts")[r]).alias("low"), F.max(F.col("firsts")[r]).alias("high"), F.count(F.col("firsts")[r]).alias("n")) for r in range(runs)]
     fresh = with_first.groupBy("leaf").agg(F.count(F.lit(1)).alias("all"), F.array(*ends).alias("ends"))
     fresh = fresh.filter(~F.exists("ends", lambda e: (e["low"] < F.col("leaf")) & (e["low"] == e["high"]) & (e["n"] == F.col("all")))).select("leaf")
+    fresh = checkpointed(fresh)
     leaves = checkpointed(leaves.join(fresh, "leaf", "left_semi"))
     wanted = small(checkpointed(leaves.select("key").distinct().join(classes, "key").select("low.*")), 1_000_000)
     del own, with_first, fresh

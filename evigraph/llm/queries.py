@@ -31,10 +31,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, in order of first use."""
+    """How many words of each document the mix takes, and when it takes each copy, in order of first use."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    rows = plan.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("first_position"))
-    return mixing.range_sorted(rows, F.col("first_position").asc_nulls_last(), "doc_id").drop("first_position")
+    positions = [F.round(F.get("copies", F.lit(k))["position"], 6).alias(f"position_{k + 1}") for k in range(3)]
+    rows = plan.select("doc_id", "size", "source_size", "target", "taken", *positions)
+    return mixing.range_sorted(rows, F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,18 @@ def license_sql() -> str:
         SELECT w.doc_id, w.digest, k.license, coalesce(notices, '') AS notices FROM w LEFT JOIN k ON k.unit = 'document' AND k.digest = w.digest LEFT JOIN n ON n.doc_id = w.doc_id"""
 
 
+def positions_sql() -> str:
+    """When each copy is taken: the schedules of the sources, integrated and inverted by hand."""
+    out = []
+    for k in range(3):
+        words = f"greatest(0, least(size, want - start - {k} * source_size))"
+        s = f"((start + {k} * source_size + {words} / 2) / target)"
+        fading = f"2 * {s} / (1.5 + sqrt(greatest(2.25 - 2 * {s}, 0)))"
+        growing = f"CASE WHEN {s} < 0.45 THEN 2 * {s} / (0.5 + sqrt(0.25 + {s} / 0.6)) ELSE 0.6 + least(0.4, 2 * ({s} - 0.45) / (1 + sqrt(greatest(1 + 3.75 * ({s} - 0.45), 0)))) END"
+        out.append(f"CASE WHEN {words} > 0 THEN round(CASE turn % 3 WHEN 0 THEN {fading} WHEN 1 THEN {s} ELSE {growing} END, 6) END AS position_{k + 1}")
+    return ", ".join(out)
+
+
 SQL: dict[str, str] = {
     "op2_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
@@ -126,11 +139,11 @@ SQL: dict[str, str] = {
         s3 AS (SELECT *, (SELECT sum(source_size) FROM s2) - coalesce((SELECT sum(cap) FROM s2 b WHERE b.r < a.r), 0) AS rest,
                       (SELECT sum(weight) FROM s2) - coalesce((SELECT sum(weight) FROM s2 b WHERE b.r < a.r), 0) AS weight_rest FROM s2 a),
         s4 AS (SELECT *, rest::DOUBLE * weight / weight_rest < cap AS open FROM s3),
-        s5 AS (SELECT source, source_size, CASE WHEN open THEN (SELECT rest::DOUBLE FROM s4 WHERE open ORDER BY r LIMIT 1) * weight / (SELECT weight_rest FROM s4 WHERE open ORDER BY r LIMIT 1) ELSE cap::DOUBLE END AS target FROM s4),
-        p AS (SELECT d.doc_id, size, source_size, target, floor(target)::BIGINT AS want, (sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+        s5 AS (SELECT source, turn, source_size, CASE WHEN open THEN (SELECT rest::DOUBLE FROM s4 WHERE open ORDER BY r LIMIT 1) * weight / (SELECT weight_rest FROM s4 WHERE open ORDER BY r LIMIT 1) ELSE cap::DOUBLE END AS target FROM s4),
+        p AS (SELECT d.doc_id, size, turn, source_size, target, floor(target)::BIGINT AS want, (sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
               FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
         SELECT doc_id, size, source_size, target,
-               (greatest(0, least(size, want - start)) + greatest(0, least(size, want - start - source_size)) + greatest(0, least(size, want - start - 2 * source_size)))::BIGINT AS taken FROM p""",
+               (greatest(0, least(size, want - start)) + greatest(0, least(size, want - start - source_size)) + greatest(0, least(size, want - start - 2 * source_size)))::BIGINT AS taken, @POSITIONS@ FROM p""".replace("@POSITIONS@", positions_sql()),
     "op3_url_filter": r"""
         WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
         p AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
