@@ -34,7 +34,7 @@ WIDTH = 5
 #: Min-hashes of a class, the places that nodes choose from, and the share of nodes that choose two.
 PLACES, SECOND = 32, 4
 #: Classes a node may have before it splits; classes, and shingles in all, of a block of a leaf that stays larger.
-LEAF, BLOCK, BLOCK_SHINGLES = 512, 1024, 1 << 20
+LEAF, BLOCK, BLOCK_SHINGLES = 512, 2048, 1 << 20
 #: A node is not split further if one of its children has at least this share of it.
 AGREE = 0.8
 #: Pairs whose shingles are compared at a time, and shingles that are hashed at a time.
