@@ -54,6 +54,9 @@ def robust_stats(df: DataFrame, measures: Mapping[str, Column], exact: bool = Tr
 
 def data_thresholds(literature: DataFrame, refs: str, inference: DataFrame, score: str) -> DataFrame:
     """One row: min_literature = max(1, half-even rounded upper quartile), min_inference = max(2.5, 80 % quantile)."""
+    if literature is inference:
+        both = quantiles(literature, {"refs": F.col(refs), "score": F.col(score)}, [0.75, 0.8])
+        return both.select(F.greatest(F.lit(1.0), F.bround(F.col("refs")[0], 0)).alias("min_literature"), F.greatest(F.lit(2.5), F.col("score")[1]).alias("min_inference"))
     a = quantiles(literature, {"refs": F.col(refs)}, [0.75]).select(F.greatest(F.lit(1.0), F.bround(F.col("refs")[0], 0)).alias("min_literature"))
     b = quantiles(inference, {"score": F.col(score)}, [0.8]).select(F.greatest(F.lit(2.5), F.col("score")[0]).alias("min_inference"))
     return with_row(a, b)
