@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import jaccard, langid, licenses, line_dedup, mixing, packing, quality, suffix, topk, url_filter
+from evigraph.llm import jaccard, langid, licenses, line_dedup, merkle, mixing, packing, quality, suffix, topk, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -85,6 +85,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest, and whether a copy, of which a third is tampered with, still leads to its root."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claimed = F.when(hit, merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], lowered))
+    return merkle.check_rows(merkle.build_manifest(docs, claimed=claimed))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mix_sources": op2_mix_sources,
@@ -96,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -130,6 +140,44 @@ def positions_sql() -> str:
     return ", ".join(out)
 
 
+def merkle_sql(levels: int = 7, group_levels: int = 3) -> str:
+    """SQL of the manifest, a step a level: groups of up to 8 to the number of levels rows."""
+    values = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars"))
+    leaf = lambda text: f"sha256(concat({values}, CASE WHEN {text} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END))"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "xor(list_reduce(list_prepend(4294967295, [ord(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
+    steps = []
+    # a lone node stays; rows of a level carry the run that they are in
+    for k in range(levels + group_levels):
+        steps.append(
+            f"r{k} AS (SELECT g, i // 8 AS run, string_agg(d, '' ORDER BY i) AS ds, count(*) = 1 AND count(*) OVER (PARTITION BY g) = 1 AS lone FROM n{k} GROUP BY g, i // 8), "
+            f"n{k + 1}a AS (SELECT g, run, CASE WHEN lone THEN ds ELSE sha256(ds) END AS d, lone, ds FROM r{k})"
+        )
+        if k == levels - 1:
+            steps.append(f"n{levels} AS (SELECT 'root' AS g, g AS lang, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, d FROM n{levels}a)")
+        else:
+            steps.append(f"n{k + 1} AS (SELECT g, run AS i, d FROM n{k + 1}a)")
+    walk = [f"w0 AS (SELECT p0.*, t.i AS place, leaf AS f0 FROM p0 JOIN n{levels} t ON t.lang IS NOT DISTINCT FROM p0.lang)"]
+    others = []
+    for k in range(levels + group_levels):
+        at = f"(i // {8**k})" if k < levels else f"(place // {8 ** (k - levels)})"
+        key = "w.lang IS NOT DISTINCT FROM a.g" if k < levels else "true"
+        cut = f"({at} % 8) * 64"
+        fold = f"CASE WHEN lone THEN f{k} ELSE sha256(substr(ds, 1, ({cut})::BIGINT) || f{k} || substr(ds, ({cut} + 65)::BIGINT)) END"
+        first = "CASE WHEN hit THEN tampered ELSE leaf END" if k == 0 else f"f{k}"
+        fold = fold.replace(f"f{k}", first) if k == 0 else fold
+        walk.append(f"w{k + 1} AS (SELECT w.*, {fold} AS f{k + 1}, CASE WHEN lone THEN '' ELSE substr(ds, 1, ({cut})::BIGINT) || substr(ds, ({cut} + 65)::BIGINT) END AS o{k} FROM w{k} w JOIN n{k + 1}a a ON {key} AND a.run = {at} // 8)")
+        others.append(f"o{k}")
+    last = levels + group_levels
+    return f"""
+        WITH t AS (SELECT [list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) for i in range(256)] AS tab),
+        p0 AS (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf(lowered)} AS tampered, coalesce({crc} % 3 = 0, false) AS hit,
+                      row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i FROM documents, t),
+        n0 AS (SELECT lang AS g, i, leaf AS d FROM p0), {", ".join(steps)}, {", ".join(walk)}
+        SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256({" || ".join(others)}) AS proof_sha256, f{last} AS folded_root, f{last} = r.d AS verified
+        FROM w{last} w JOIN n{levels} s ON s.lang IS NOT DISTINCT FROM w.lang, n{last} r"""
+
+
 SQL: dict[str, str] = {
     "op2_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
@@ -165,4 +213,5 @@ SQL: dict[str, str] = {
         s AS (SELECT a.id AS query_id, b.id AS vec_id, list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op4_license_scan": license_sql(),
+    "op11_merkle_manifest": merkle_sql(),
 }
