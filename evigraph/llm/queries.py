@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import jaccard, langid, licenses, line_dedup, merkle, mixing, negatives, packing, quality, suffix, topk, url_filter
+from evigraph.llm import jaccard, langid, licenses, line_dedup, merkle, mixing, negatives, packing, pii, quality, suffix, topk, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -94,6 +94,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_rows(merkle.build_manifest(docs, claimed=claimed))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    rows = pii.find_personal(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.spelt(F.col("base")), 256).alias("base_sha256"), pii.spelt(F.col("spans")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector; every seventh has the next label."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii": op12_pii,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
