@@ -2,9 +2,9 @@
 
 Each rule votes good (1), bad (0) or abstains (null) on a document. Documents are counted by pattern
 of votes, at most 3 to the number of rules. Expectation-maximisation over these counts estimates how
-often each rule is right on good and on bad documents, and the share of good ones; each round is one
-aggregation of the pattern table, of which only the sums reach the driver. A document is kept if its
-posterior probability of being good is at least one half.
+often each rule is right on good and on bad documents, and the share of good ones; the counted patterns
+reach the driver, which are as few for any corpus. A document is kept if its posterior probability of
+being good is at least one half.
 
 The model takes rules as independent once it is known whether a document is good, so each rule judges
 a signal of its own: no two look at the same measure.
@@ -15,10 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import SPACES, WORD, checkpointed, let
+from evigraph.llm.votes import fit_patterns
 
 SYMBOLS = "#*$%&|<>"
 #: What ends a sentence, also in scripts that have marks of their own.
@@ -117,29 +119,12 @@ def fit_votes(votes: DataFrame, names, *, rounds: int = 25, prior: float = 0.8,
     on that side (it votes 1 at least as often on good as on bad documents) and within `floor` of 0
     and 1. Without documents the start is the model.
     """
-    patterns = checkpointed(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model = {"prior": prior, "good": dict.fromkeys(names, 0.9), "bad": dict.fromkeys(names, 0.4)}
-    clip = lambda p: min(1 - floor, max(floor, p))
-    for _ in range(rounds):
-        good = F.col("n") / (1 + F.exp(-log_odds(names, model)))
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for n in names:
-            voted, one = F.col(n).isNotNull(), F.col(n) == 1
-            sums += [F.sum(F.when(voted, good)).alias(f"{n}_g"), F.sum(F.when(one, good)).alias(f"{n}_g1"), F.sum(F.when(voted, F.col("n") - good)).alias(f"{n}_b"), F.sum(F.when(one, F.col("n") - good)).alias(f"{n}_b1")]
-        s = patterns.agg(*sums).first()
-        if not s["n"]:
-            return model
-        # one imagined vote of the start's kind for each rule and class
-        new = {"prior": clip(s["good"] / s["n"]), "good": {}, "bad": {}}
-        for n in names:
-            g = clip(((s[f"{n}_g1"] or 0) + 0.9) / ((s[f"{n}_g"] or 0) + 1))
-            b = clip(((s[f"{n}_b1"] or 0) + 0.4) / ((s[f"{n}_b"] or 0) + 1))
-            new["good"][n], new["bad"][n] = g, min(g, b)
-        moved = max(abs(new["prior"] - model["prior"]), *(abs(new[k][n] - model[k][n]) for k in ("good", "bad") for n in names))
-        model = new
-        if moved < 1e-4:
-            break
-    return model
+    names = list(names)
+    patterns = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns.sort(key=lambda r: [-1 if r[n] is None else r[n] for n in names])
+    table = np.array([[-1 if r[n] is None else r[n] for n in names] for r in patterns]).reshape(len(patterns), len(names))
+    prior, good, bad = fit_patterns(table, [r["n"] for r in patterns], rounds=rounds, prior=prior, floor=floor)
+    return {"prior": prior, "good": dict(zip(names, good.tolist())), "bad": dict(zip(names, bad.tolist()))}
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: Mapping[str, Column] | None = None) -> DataFrame:
