@@ -122,7 +122,7 @@ class Family:
         return sum(len(x[0]) for x in self.levels)
 
     def add(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Indexes a batch; returns the rows, new or old, of which an equal earlier one is known."""
+        """Indexes a batch; returns the rows, new or old, of which an equal earlier one is known. Rows alike in all columns are one place."""
         order = np.argsort(rows[0], kind="stable")
         rows = [x[order] for x in rows]
         # among rows of equal content the earliest comes first
@@ -134,6 +134,9 @@ class Family:
             order = np.lexsort(part[::-1])
             for x, y in zip(rows, part):
                 x[some] = y[order]
+        if len(rows[0]):
+            other = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in rows], axis=0)])
+            rows = [x[other] for x in rows]
         new = np.ones(len(rows[0]), bool)
         new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
         later = [[x[~new] for x in rows]]
@@ -142,16 +145,16 @@ class Family:
             at = np.minimum(np.searchsorted(level[0], rows[0]), len(level[0]) - 1)
             same = (level[0][at] == rows[0]) & (level[1][at] == rows[1])
             mine, theirs = np.flatnonzero(same), at[same]
-            earlier = np.zeros(len(mine), bool)
+            earlier, other = np.zeros(len(mine), bool), np.zeros(len(mine), bool)
             for k in reversed(range(2, len(rows))):
                 a, b = rows[k][mine], level[k][theirs]
-                earlier = (a < b) | ((a == b) & earlier)
+                earlier, other = (a < b) | ((a == b) & earlier), other | (a != b)
             # the earlier of two keeps the place in the level
             for k in range(2, len(rows)):
                 old, fresh = level[k][theirs], rows[k][mine]
                 level[k][theirs] = np.where(earlier, fresh, old)
                 rows[k][mine] = np.where(earlier, old, fresh)
-            later.append([x[mine] for x in rows])
+            later.append([x[mine[other]] for x in rows])
             rows = [x[~same] for x in rows]
         if len(rows[0]):
             self.levels.append(rows)
@@ -202,7 +205,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over stretches sorted by anchor, content, doc, text, tag: (doc, text, tag, anchor, open).
 
     Later stretches come out with open false: all their strings are repeated. First ones whose anchor
-    other first ones share come out with open true. The last first one waits for what follows.
+    other first ones share come out with open true. The last first one waits for what follows. Rows
+    alike in all columns are one place, read from rows of the table that are alike.
     """
     last, held = None, None
 
@@ -215,12 +219,17 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, content, doc, text, tags = (x[settled] for x in cols)
         yield out(doc, text, tags, anchor, False)
         anchor, content, doc, text, tags = (x[~settled] for x in cols)
+        if not len(anchor):
+            continue
+        rows = [anchor, content, doc, text, tags]
+        other = np.concatenate([[last != tuple(x[0] for x in rows)], np.any([x[1:] != x[:-1] for x in rows], axis=0)])
+        before, last = last, tuple(x[-1] for x in rows)
+        anchor, content, doc, text, tags = (x[other] for x in rows)
         if not len(anchor):
             continue
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-        new[0] = last != (anchor[0], content[0])
-        last = (anchor[-1], content[-1])
+        new[0] = before is None or before[:2] != (anchor[0], content[0])
         yield out(doc[~new], text[~new], tags[~new], anchor[~new], False)
         rows = [anchor[new], doc[new], text[new], tags[new], np.zeros(int(new.sum()), bool)]
         if held is not None:
@@ -262,8 +271,11 @@ def resolver(length: int):
         h1, h2, doc, text, tags = strings_of(rows, length)
         order = np.lexsort((tags, text, doc, h2, h1))
         h1, h2, doc, text, tags = (x[order] for x in (h1, h2, doc, text, tags))
-        again = np.zeros(len(h1), bool)
-        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        # of equal strings the first is kept, and rows that are the same place
+        first = np.ones(len(h1), bool)
+        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        at = np.flatnonzero(first)[np.cumsum(first) - 1]
+        again = (doc != doc[at]) | (text != text[at]) | (tags != tags[at])
         runs = joined_runs(doc[again], text[again], tags[again])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in runs], names=["doc", "text", "tag"])
 
@@ -330,7 +342,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removes each byte covered by a string of `length` bytes that also starts earlier: in a document
     with a smaller id (null first), or in the same document at an earlier place; overlaps count.
     Strings are judged on the input and never cross documents. n_spans counts maximal removed runs.
-    A cut may part a character, so that kept is not text. Strings are compared by 128-bit hashes.
+    A cut may part a character, so that kept is not text. Stretches are compared by 64-bit hashes of
+    their content and of their anchor, single strings by two 64-bit hashes.
 
     Null text: empty. Texts shorter than `length` stay whole. Rows alike in id and text count as one
     document and come out alike; rows that share only the id are ordered by a hash of the text. Empty
@@ -343,7 +356,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
     # texts that share an id, as all without one do, are told apart by 81 bits of their hashes, of which those in a column of their own are 0 where no id has two texts
     hashed = base.withColumn("hash", F.xxhash64("text"))
-    unlike = not hashed.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b").isEmpty()
+    ids = hashed.groupBy("doc").agg((F.min("hash") != F.max("hash")).alias("unlike"), (F.count(F.lit(1)) > 1).alias("again")).agg(F.max("unlike"), F.max("again")).first()
+    unlike, again = (bool(x) for x in ids)
     base = hashed if unlike else base.withColumn("hash", F.lit(0).cast("bigint"))
     base = base.withColumn("bits", F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit((1 << 17) - 1)))
     same = ["doc", "hash", "bits"]
@@ -372,6 +386,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     opened = base.join(found.filter(F.size("open") > 0).select(*same, "open"), same)
     opened = opened.select("doc", F.col("hash").alias("text"), F.inline(let(F.col("text").cast("binary"), lambda b: F.transform("open", lambda o: bytes_of(b, o)))))
+    if again:
+        # rows alike are one document
+        opened = opened.dropDuplicates(["doc", "text", "tag"])
     more = opened
     if any_large:
         opened = checkpointed(opened.join(large, "anchor", "left"))
