@@ -18,7 +18,6 @@ length, both of bounded size; pairs of a group and a cell that cannot reach the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -233,8 +232,10 @@ def mine_negatives(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     if not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         rows = rows.dropDuplicates(["id", "label", "v"])
     rows = checkpointed(rows)
-    # of a cell, and of a group, of vectors of this width; at least so many cells as there are cores
-    cell, group = F.greatest(F.lit(1), F.floor(F.lit(CELL) / F.col("width"))), F.greatest(F.lit(1), F.floor(F.lit(GROUP) / F.col("width")))
+    # vectors of a cell, and of a group, of this width; cells are fewer only where there are enough for all cores
+    share = max(BUCKET, math.ceil(rows.count() / rows.sparkSession.sparkContext.defaultParallelism))
+    cell, group = (F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("width"))) for most in (CELL, GROUP))
+    cell = F.least(cell, F.lit(share))
     anchors = rows.filter(is_anchor(F.col("id")))
 
     # positives: anchors and vectors of one label
