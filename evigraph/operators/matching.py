@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.checkpoint import checkpointed
 from evigraph.functions import text as T
 from evigraph.operators.relational import best_per_key, lookup_join
+from evigraph.operators.weighted import best_weighted
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -71,13 +72,14 @@ def exact_variants(names: DataFrame, synonyms: DataFrame, name: str = "name", va
     return best_per_key(rows, name, [F.col("pos")]).select(name, "id", "key")
 
 
-def cascade_match(names: DataFrame, synonyms: DataFrame, overrides: DataFrame, name: str = "name", threshold: float = 85.0, strict: bool = False) -> DataFrame:
+def cascade_match(names: DataFrame, synonyms: DataFrame, overrides: DataFrame, name: str = "name", threshold: float = 85.0, strict: bool = False, weighted: bool = False) -> DataFrame:
     """One row a distinct name: id, matched_key, match_method, fuzzy_score.
 
     Tried in turn, each on what is left: an override of the normalised name, by id ("override_cid")
     or by key ("override_key"); an override of a variant ("override_variant"); a variant that is a
     synonym key ("exact"); the most similar key of the first variant ("fuzzy", ties to the smaller
-    key); else "none". overrides: (name, id, key); either of the last two may be null.
+    key); else "none". overrides: (name, id, key); either of the last two may be null. weighted: likeness
+    is that of best_weighted(), which knows partial alignments and sets of words, in place of fuzzy_join()'s.
     """
     first = checkpointed(synonyms.groupBy("key").agg(F.min("id").alias("id")))
     n = names.select(name).filter(F.col(name).isNotNull()).distinct()
@@ -100,8 +102,11 @@ def cascade_match(names: DataFrame, synonyms: DataFrame, overrides: DataFrame, n
     rest = rest.join(by_variant, name, "left_anti")
     exact = shape(exact_variants(rest, synonyms, name).withColumnRenamed("key", "matched_key"), F.lit("exact"), F.lit(100.0))
     rest = checkpointed(rest.join(exact, name, "left_anti").withColumn("v0", F.get("variants", F.lit(0))))
-    scored = fuzzy_join(rest.select("v0"), first, "v0", "key", threshold)
-    best = best_per_key(scored, "v0", [F.desc("score"), F.col("key")]).join(first, "key")
+    if weighted:
+        best = best_weighted(rest.select("v0"), first, "v0", "key", threshold)
+    else:
+        best = best_per_key(fuzzy_join(rest.select("v0"), first, "v0", "key", threshold), "v0", [F.desc("score"), F.col("key")])
+    best = best.join(first, "key")
     fuzzy = shape(rest.join(best, "v0").select(name, "id", F.col("key").alias("matched_key"), "score"), F.lit("fuzzy"), F.col("score"))
     none = shape(rest.join(fuzzy, name, "left_anti").select(name, null.cast("string").alias("id"), null.cast("string").alias("matched_key")), F.lit("none"), null)
     return by_name.unionByName(by_variant).unionByName(exact).unionByName(fuzzy).unionByName(none)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import matching, mining, paths, relational, stats
+from evigraph.operators import matching, mining, paths, relational, stats, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,6 +166,53 @@ def fuzzy_join(spark, sf):
     return matching.fuzzy_join(left, right, "name", "key", 80.0).withColumn("score", r6(F.col("score")))
 
 
+def common_sql(n: str, masks: str) -> str:
+    """Longest common subsequence of a text of n characters with another, given for each character of the other the bits of its places in the text."""
+    full = f"((1::BIGINT << ({n})::INTEGER) - 1)"
+    return f"(({n}) - bit_count(list_reduce(list_prepend({full}, {masks}), lambda s, c: ((s + (s & c)) | (s - (s & c))) & {full})))"
+
+
+def masks_sql(x: str, y: str) -> str:
+    return f"[coalesce(list_sum([CASE WHEN string_split({x}, '')[i] = z THEN 1::BIGINT << (i - 1)::INTEGER ELSE 0 END FOR i IN range(1, length({x}) + 1)]), 0)::BIGINT FOR z IN CASE WHEN {y} = '' THEN []::VARCHAR[] ELSE string_split({y}, '') END]"
+
+
+def partial_sql(x: str, y: str, m: str) -> str:
+    """m: masks of the longer text y in x."""
+    piece = f"{m}[greatest(1, q):(q + length({x}) - 1)]"
+    return f"CASE WHEN length({x}) <= length({y}) THEN list_max([200.0 * {common_sql(f'length({x})', piece)} / (length({x}) + len({piece})) FOR q IN range(2 - length({x}), length({y}) + 1)]) END"
+
+
+def weighted_sql(names: str, keys: str, threshold: float) -> str:
+    """SQL of best_weighted() over all pairs; names: (name), keys: (key)."""
+    pairs = (("a", "b"), ("sa", "sb"), ("oa", "ob"))
+    ratios = ", ".join(f"200.0 * {common_sql(f'length({x})', masks_sql(x, y))} / (length({x}) + length({y})) AS r_{x}" for x, y in pairs[:2])
+    masks = ", ".join(f"{masks_sql(x, y)} AS m_{x}{y}, {masks_sql(y, x)} AS m_{y}{x}" for x, y in pairs)
+    parts = ", ".join(f"greatest({partial_sql(x, y, f'm_{x}{y}')}, {partial_sql(y, x, f'm_{y}{x}')}) AS p_{x}" for x, y in pairs)
+    apart = f"(length(ra) + length(rb) - 2 * {common_sql('length(ra)', masks_sql('ra', 'rb'))})"
+    return f"""WITH p AS (SELECT name AS a, key AS b, list_sort(string_split(name, ' ')) AS wa, list_sort(string_split(key, ' ')) AS wb FROM ({names}) CROSS JOIN ({keys})),
+          w AS (SELECT a, b, array_to_string(wa, ' ') AS sa, array_to_string(wb, ' ') AS sb, array_to_string(list_sort(list_distinct(wa)), ' ') AS oa, array_to_string(list_sort(list_distinct(wb)), ' ') AS ob, len(list_distinct(wa)) < len(wa) OR len(list_distinct(wb)) < len(wb) AS again,
+                 coalesce(array_to_string(list_sort(list_intersect(wa, wb)), ' '), '') AS shared, coalesce(array_to_string(list_sort(list_distinct(list_filter(wa, lambda x: NOT list_contains(wb, x)))), ' '), '') AS ra, coalesce(array_to_string(list_sort(list_distinct(list_filter(wb, lambda x: NOT list_contains(wa, x)))), ' '), '') AS rb FROM p),
+          m AS (SELECT *, greatest(length(a), length(b)) / least(length(a), length(b)) AS far, {ratios}, {masks}, {apart} AS apart, length(shared) + (shared <> '')::INTEGER AS lead FROM w),
+          x AS (SELECT *, CASE WHEN far >= 1.5 THEN p_a END AS pa, CASE WHEN far >= 1.5 AND shared = '' THEN p_sa END AS ps, CASE WHEN far >= 1.5 AND shared = '' AND again THEN p_oa END AS po FROM (SELECT *, {parts} FROM m)),
+          t AS (SELECT a AS name, b AS key, far, r_a, r_sa, pa, ps, po, shared, CASE WHEN shared <> '' AND (ra = '' OR rb = '') THEN 100.0 ELSE greatest(100 - 100.0 * apart / (2 * lead + length(ra) + length(rb)),
+                 CASE WHEN shared <> '' THEN 100 - 100.0 * (1 + length(ra)) / (length(shared) + lead + length(ra)) END, CASE WHEN shared <> '' THEN 100 - 100.0 * (1 + length(rb)) / (length(shared) + lead + length(rb)) END) END AS st FROM x),
+          z AS (SELECT name, key, CASE WHEN far < 1.5 THEN greatest(r_a, 0.95 * r_sa, 0.95 * st) ELSE greatest(r_a, CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * greatest(pa, 0.95 * CASE WHEN shared <> '' THEN 100.0 ELSE greatest(ps, po) END)) END::DOUBLE AS score FROM t)
+          SELECT name, key, round(score, 6) AS score FROM z WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY name ORDER BY round(score, 9) DESC, key) = 1"""
+
+
+NAMED_SQL = "SELECT DISTINCT unnest([replace(p_name, 'a', 'o'), p_name || ' of ' || lower(p_type), lower(p_type) || ' ' || string_split(p_name, ' ')[2], string_split(p_name, ' ')[2] || 's']) AS name FROM part"
+
+
+@query(weighted_sql(NAMED_SQL, "SELECT DISTINCT p_name AS key FROM part", 85.0))
+def weighted_match(spark, sf):
+    """Altered, longer, mixed and shorter names, and the name that each is most like by the weighted score."""
+    part = table(spark, sf, "part")
+    p, kind, second = F.col("p_name"), F.lower("p_type"), F.split("p_name", " ")[1]
+    names = F.array(F.replace(p, F.lit("a"), F.lit("o")), F.concat(p, F.lit(" of "), kind), F.concat(kind, F.lit(" "), second), F.concat(second, F.lit("s")))
+    best = weighted.best_weighted(part.select(F.explode(names).alias("name")), part.select(p.alias("key")), "name", "key", 85.0)
+    return best.withColumn("score", r6(F.col("score")))
+
+
 @query(r"""SELECT p_partkey, nullif(upper(regexp_replace(regexp_replace(v, '^\s+|\s+$', '', 'g'), '^(MESH|CTD|PUBCHEM):', '', 'i')), '') AS id
           FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ' mesh:' || p_brand WHEN 1 THEN 'CTD:' || lower(p_brand) || ' ' WHEN 2 THEN 'MESH:CTD:' || p_brand ELSE '' END AS v FROM part)""")
 def id_normalize(spark, sf):
@@ -267,13 +314,13 @@ PATHS_SQL = f"""WITH {ROBUST_SQL},
           c AS (SELECT *, 1 / (1 + exp(-(ln(1 + price) - price_median) / price_scale)) AS c_dose, quantity / 50 AS c_mapping, least(1.0, pubmed_count / 5) AS c_literature, 1 / (1 + exp(-(inference - quantity_median) / quantity_scale)) AS c_inference,
                  CASE WHEN has_direct THEN least(1.0, 0.65 + 0.35 * least(1.0, (evidence_count - 1) / 3 + 0.5 * least(1.0, pubmed_count / 5))) ELSE least(0.6, 0.1 + 0.45 * least(1.0, (evidence_count - 1) / 3 + 0.5 * least(1.0, pubmed_count / 5))) END AS c_support FROM j, st),
           q AS (SELECT *, round(least(1.0, 0.2 * c_dose + 0.15 * least(1.0, c_mapping) + 0.15 * c_literature + 0.2 * c_inference + 0.2 * c_support + 0.1 * 0.5), 6) AS quality FROM c),
-          p AS (SELECT cust, ord, part, supp, quality, has_direct, evidence_count, pubmed_count,
+          p AS (SELECT cust, ord, part, supp, ord_rank, part_rank, supp_rank, quality, has_direct, evidence_count, pubmed_count,
                  CASE WHEN has_direct THEN 'Preliminary Evidence' WHEN evidence_count >= 3 AND pubmed_count >= 3 AND quality >= 0.6 AND c_inference >= 0.65 THEN 'Moderate Evidence' WHEN (evidence_count >= 2 AND quality >= 0.4) OR quality >= 0.3 THEN 'Preliminary Evidence' ELSE 'Weak Evidence' END AS level
-                FROM q WHERE quality >= 0.45 ORDER BY cust, ord_rank, part_rank, supp_rank LIMIT 6000)"""
+                FROM q WHERE quality >= 0.45)"""
 
 
 def pathways(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer, order, part, supplier: the best few of each hop, scored, the first 6000 in order."""
+    """Customer, order, part, supplier: the best few of each hop, scored."""
     li = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("ord"), "o_totalprice")
     h1 = relational.top_k(orders, "cust", [F.desc("o_totalprice"), F.col("ord")], 3, "ord_rank").drop("o_totalprice")
@@ -293,14 +340,14 @@ def pathways(spark: SparkSession, sf: str) -> DataFrame:
         "direction": F.lit(0.5),
     }
     rows = rows.withColumn("quality", r6(S.weighted(parts))).withColumn("level", S.evidence_level(F.col("has_direct"), none, F.col("pubmed_count"), F.col("evidence_count"), F.col("quality"), parts["inference"]))
-    rows = rows.filter("quality >= 0.45").orderBy("cust", "ord_rank", "part_rank", "supp_rank").limit(6000)
-    return rows.select("cust", "ord", "part", "supp", "quality", "has_direct", "evidence_count", "pubmed_count", "level")
+    return rows.filter("quality >= 0.45").select("cust", "ord", "part", "supp", "ord_rank", "part_rank", "supp_rank", "quality", "has_direct", "evidence_count", "pubmed_count", "level")
 
 
-@query(PATHS_SQL + " SELECT * FROM p")
+@query(PATHS_SQL + " SELECT cust, ord, part, supp, quality, has_direct, evidence_count, pubmed_count, level FROM p ORDER BY cust, ord_rank, part_rank, supp_rank LIMIT 6000")
 def multi_hop_pathways(spark, sf):
-    """The flagship: scored multi-hop paths."""
-    return pathways(spark, sf)
+    """The flagship: scored multi-hop paths, the first 6000 in order; the reports are about all of them."""
+    ranks = ("ord_rank", "part_rank", "supp_rank")
+    return pathways(spark, sf).orderBy("cust", *ranks).limit(6000).drop(*ranks)
 
 
 @query(PATHS_SQL + """ SELECT count(*) AS total, count(DISTINCT cust) AS n_cust, count(DISTINCT part) AS n_part, count(DISTINCT supp) AS n_supp, round(avg(quality), 6) AS mean_quality, round(quantile_cont(quality, 0.5), 6) AS median_quality,
