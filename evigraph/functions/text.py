@@ -104,13 +104,17 @@ def linked_spans(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(LINKED), F.lit(0)), spans)))
 
 
+def phrase_words(text: Column) -> Column:
+    """Lower-case words of a text in order, with commas, colons, hyphens and apostrophes inside."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w,:'-]*\w"), F.lit(0))
+
+
 def word_phrases(text: Column, longest: int = 4) -> Column:
     """Distinct lower-case phrases of one to `longest` words, for equi-joins with a phrase lexicon."""
     def phrases(words):
         return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
 
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w,:'-]*\w"), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(phrases(w))))
+    return let(phrase_words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(phrases(w))))
 
 
 def phrase_pattern(phrase: Column) -> Column:
@@ -176,7 +180,7 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(y == "", "").otherwise(F.concat_ws("-", y, two(m, 12), two(day.try_cast("int"), 31)))
 
 
-def polarity(text: Column, positive: str | None = None, negative: str | None = None, neutral: str | None = None) -> Column:
+def polarity(text: Column, positive: str | None = None, negative: str | None = None) -> Column:
     """positive, negative or neutral: one of the first two kinds of cue without the other; else neutral."""
     pos, neg = text.rlike(positive or L.cue("positive")), text.rlike(negative or L.cue("negative"))
     return F.when(pos & ~neg, "positive").when(neg & ~pos, "negative").otherwise("neutral")

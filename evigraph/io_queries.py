@@ -18,7 +18,7 @@ from evigraph.functions import scoring as S
 from evigraph.functions import text as T
 from evigraph.operators import mining, relational, stats
 from evigraph.plans import etl, literature, pathways
-from evigraph.sources import articles
+from evigraph.sources import articles, store
 from evigraph.sources import tables as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,60 @@ def r6(c):
     return F.round(c, 6)
 
 
+# ---- stores, samples, counts ----
+
+FIRST_SQL = "o_custkey AS key, o_orderdate AS saved_at, '{\"order\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS payload"
+SECOND_SQL = "o_custkey AS key, o_orderdate AS saved_at, '{\"order\":\"n' || o_orderkey || '\",\"who\":{\"id\":' || (o_custkey % 7) || '},\"tags\":[\"' || o_orderpriority || '\"]}' AS payload"
+STORE_SQL = f"""w AS (SELECT 1 AS write_no, {FIRST_SQL} FROM orders UNION ALL SELECT 2, {SECOND_SQL} FROM orders WHERE o_orderstatus = 'F'),
+          s AS (SELECT key, saved_at, payload::JSON AS j FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY write_no DESC, saved_at DESC, payload DESC) = 1)"""
+
+
+def order_store(spark: SparkSession, sf: str, compacted: bool = False) -> str:
+    """A store of customers' orders, written twice, with payloads of two shapes."""
+    name, orders = f"records_{uuid.uuid4().hex}", table(spark, sf, "orders")
+    store.create_store(spark, name, scratch(spark, "store"), "bigint", buckets=16)
+    order, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    first = F.concat(F.lit('{"order":'), order, F.lit(',"status":"'), status, F.lit('"}'))
+    second = F.concat(F.lit('{"order":"n'), order, F.lit('","who":{"id":'), (F.col("o_custkey") % 7).cast("string"), F.lit('},"tags":["'), "o_orderpriority", F.lit('"]}'))
+    store.upsert(orders, name, F.col("o_custkey"), first, F.col("o_orderdate"))
+    store.upsert(orders.filter(status == "F"), name, F.col("o_custkey"), second, F.col("o_orderdate"))
+    if compacted:
+        store.compact(spark, name, scratch(spark, "store"))
+    return name
+
+
+@query(f"""WITH {STORE_SQL} SELECT key, saved_at, try_cast(j->>'$.order' AS BIGINT) AS order_no, j->>'$.status' AS status, try_cast(j->>'$.who.id' AS BIGINT) AS who, j->>'$.tags[0]' AS tag FROM s""")
+def upsert_store(spark, sf):
+    """The last record of each key after two rounds of upserts and a compaction, its fields read by typed paths."""
+    rows = store.latest(spark, order_store(spark, sf, compacted=True))
+    fields = {"order_no": ("$.order", "bigint"), "status": ("$.status", "string"), "who": ("$.who.id", "bigint"), "tag": ("$.tags[0]", "string")}
+    return rows.select("key", "saved_at", *[store.field(*f).alias(n) for n, f in fields.items()])
+
+
+@query(f"""WITH {STORE_SQL} SELECT c_custkey AS key, s.key IS NOT NULL AS found FROM customer LEFT JOIN s ON s.key = c_custkey AND saved_at >= TIMESTAMP '1997-01-01'""")
+def store_lookup(spark, sf):
+    """Requested keys with a fresh record in the store, and those without."""
+    requested = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    have, lack = store.lookup(requested, order_store(spark, sf), "1997-01-01")
+    return have.select("key", F.lit(True).alias("found")).unionByName(lack.select("key", F.lit(False).alias("found")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, md5('42:{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}') AS h FROM lineitem) ORDER BY h LIMIT 5000""")
+def row_sample(spark, sf):
+    """A seeded sample of exactly 5000 rows."""
+    return IO.sample_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), 5000)
+
+
+@query("""SELECT 'kept' AS kind, event_type AS name, count(*) AS n FROM events WHERE value >= 10 GROUP BY event_type UNION ALL SELECT 'count', 'rows', count(*) FROM events
+          UNION ALL SELECT 'count', 'dropped', count(*) FROM events WHERE NOT coalesce(value >= 10, false) UNION ALL SELECT 'count', 'no_value', count(*) FROM events WHERE value IS NULL UNION ALL SELECT 'count', 'errors', count(*) FROM events WHERE event_type = 'error'""")
+def counted_write(spark, sf):
+    """Rows that a filter lets through, written and read back, and the counts of the same job: all rows, dropped ones, and two kinds."""
+    out = scratch(spark, "counted")
+    counts = IO.write_counted(table(spark, sf, "events"), out, F.col("value") >= 10, {"no_value": F.col("value").isNull(), "errors": F.col("event_type") == "error"})
+    kept = spark.read.parquet(out).groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("kind"), "name", "n")
+    return kept.unionByName(spark.createDataFrame([("count", k, v) for k, v in counts.items()], "kind string, name string, n bigint"))
+
+
 # ---- sources ----
 
 

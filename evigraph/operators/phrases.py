@@ -20,8 +20,8 @@ from evigraph.workers import ship
 
 ship(__name__)
 
-#: Marks the end of a phrase in the trie; no word is empty.
-END = ""
+#: Marks the end of a phrase in the trie; a word is a text.
+END = None
 
 
 def trie(phrases: Iterable[str]) -> dict:

@@ -9,7 +9,7 @@ from evigraph import lexicons as L
 from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import mining, paths, relational, stats
+from evigraph.operators import mining, paths, phrases, relational, stats
 from evigraph.sources import tables as IO
 
 #: Genes that need no gene word in their sentence, and the one that beverage words rule out.
@@ -30,8 +30,7 @@ def compound_sentences(sentences: DataFrame, compounds: DataFrame, require_inter
 
     longest: words that a synonym has at most.
     """
-    spans = sentences.filter(~F.col("enzyme")).select("pmid", "idx", "sentence", "intervention", "coffee", F.explode(T.word_phrases(F.col("sentence"), longest)).alias("synonym"))
-    hits = relational.lookup_join(spans, compounds, "synonym", "inner")
+    hits = phrases.phrase_hits(sentences.filter(~F.col("enzyme")), ["pmid", "idx", "sentence", "intervention", "coffee"], F.col("sentence"), compounds, "synonym", longest)
     proxy = (F.col("compound") == "caffeine") & F.col("coffee") & ~F.col("sentence").rlike(r"\bcaffein")
     hits = hits.filter(~proxy)
     return (hits.filter("intervention") if require_intervention else hits).select("compound", "pmid", "idx").distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import matching, mining, paths, relational, stats, weighted
+from evigraph.operators import matching, mining, paths, phrases, relational, stats, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -453,6 +453,25 @@ def dictionary_tag(spark, sf):
     return term_hits(doc_sentences(spark, sf))
 
 
+WORD_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_,:''-]*[\p{L}\p{M}\p{N}_]')"
+
+
+@query(rf"""WITH b AS (SELECT {WORD_SQL} AS ws, item_id FROM benchmark), l AS (SELECT DISTINCT array_to_string(ws[i:i + k - 1], ' ') AS phrase, k AS size FROM (SELECT ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM b, (VALUES (2), (3), (4)) t(k))),
+          d AS (SELECT doc_id, {WORD_SQL} AS ws FROM documents), p AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (VALUES (2), (3), (4)) t(k)))
+          SELECT doc_id, size, count(*) AS n, md5(string_agg(phrase, '|' ORDER BY encode(phrase))) AS digest FROM p JOIN l USING (phrase) GROUP BY doc_id, size""")
+def lexicon_phrases(spark, sf):
+    """Documents and the phrases of two to four words that they share with the benchmark, some ten thousand of them."""
+    lower = table(spark, sf, "benchmark").select(T.phrase_words(F.col("text")).alias("ws"))
+    lexicon = None
+    for k in (2, 3, 4):
+        starts = F.when(F.size("ws") >= k, F.sequence(F.lit(1), F.size("ws") - (k - 1)))
+        run = lower.select("ws", F.explode(starts).alias("i")).select(F.array_join(F.slice("ws", F.col("i"), F.lit(k)), " ").alias("phrase"), F.lit(k).alias("size")).distinct()
+        lexicon = run if lexicon is None else lexicon.unionByName(run)
+    hits = phrases.phrase_hits(table(spark, sf, "documents"), ["doc_id"], F.col("text"), checkpointed(lexicon))
+    g = hits.groupBy("doc_id", "size").agg(F.array_sort(F.collect_list("phrase")).alias("found"))
+    return g.select("doc_id", "size", F.size("found").cast("bigint").alias("n"), F.md5(F.array_join("found", "|")).alias("digest"))
+
+
 @query(r"""SELECT doc_id, regexp_matches(lower(text), 'that|with|from') AS metabolic, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])(THE|OF)([^A-Za-z0-9_]|$)') THEN 1.3 ELSE 1.0 END::DOUBLE AS factor FROM documents""")
 def dictionary_support(spark, sf):
     """Documents with a keyword, and a factor for those that name a term as a whole word."""
@@ -467,7 +486,7 @@ def dictionary_support(spark, sf):
 @query(CUE_SQL + """ SELECT doc_id, idx, up, down, bind, neutral, direct, CASE WHEN up AND NOT down THEN 'positive' WHEN down AND NOT up THEN 'negative' ELSE 'neutral' END AS polarity FROM c""")
 def cue_flags(spark, sf):
     """Cue families and polarity of each sentence."""
-    pol = T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE, NEUTRAL_CUE)
+    pol = T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE)
     return cue_sentences(spark, sf).withColumn("polarity", pol).drop("sentence")
 
 
@@ -538,7 +557,7 @@ def relations(spark: SparkSession, sf: str) -> DataFrame:
     s = doc_sentences(spark, sf)
     words = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower))
     s = s.select("doc_id", "idx", "sentence", F.filter(words, lambda w: w.rlike("(tion|ing)$") & ~w.isin(*STOP)).alias("mentions")).filter(F.size("mentions") > 0)
-    s = s.withColumn("polarity", T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE, NEUTRAL_CUE))
+    s = s.withColumn("polarity", T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE))
     pairs = term_hits(s, "polarity", "mentions").select("doc_id", "term", "polarity", F.explode("mentions").alias("mention"))
     return mining.links(pairs, "doc_id", "term", "mention")
 

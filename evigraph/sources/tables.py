@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from evigraph.columns import own_names
+
 #: Column that receives a row that does not fit the header.
 CORRUPT = "_corrupt"
 
@@ -159,6 +162,48 @@ def sampled(df: DataFrame, fraction: float | None, seed: int = 42) -> DataFrame:
     return df if fraction is None else df.sample(fraction=fraction, seed=seed)
 
 
+def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
+    """Exactly n rows, or all if there are no more: those of the least hashes of the seed and the columns `keys`, by default all.
+
+    The same rows and seed give the same sample, however they are dealt out. A first pass over the
+    hashes drops those far above the n-th least, so that no task sorts many more than n, and rows
+    themselves are only filtered. Rows alike in `keys` are taken or left in any choice.
+    """
+    if n <= 0:
+        return df.limit(0)
+    (name,) = own_names(df.columns, "hash")
+    rows = df.withColumn(name, F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys or df.columns])))))
+    total = df.count()
+    if total <= n:
+        return df
+    hashes, wanted = rows.select(name), n + 8 * math.sqrt(n) + 16
+    while True:
+        # the first eight of the 32 digits are spread evenly
+        bound = min(0xFFFFFFFF, int(wanted / total * (1 << 32)))
+        near = hashes.filter(F.substring(name, 1, 8) <= f"{bound:08x}")
+        if bound == 0xFFFFFFFF or near.count() >= n:
+            break
+        wanted *= 2
+    least = near.orderBy(name).limit(n)
+    last = least.agg(F.max(name)).first()[0]
+    ties, alike = least.filter(F.col(name) == last).count(), hashes.filter(F.col(name) == last).count()
+    if ties == alike:
+        return rows.filter(F.col(name) <= last).drop(name)
+    return rows.filter(F.col(name) < last).unionByName(rows.filter(F.col(name) == last).limit(ties)).drop(name)
+
+
+def write_counted(df: DataFrame, path: str, keep: Column, counts: Mapping[str, Column] | None = None) -> dict[str, int]:
+    """Writes the rows that meet `keep` as Parquet, and counts in the same job: rows, dropped, and those of all rows that meet each of `counts`.
+
+    A condition that is null is not met.
+    """
+    met = {k: F.coalesce(c, F.lit(False)) for k, c in (counts or {}).items()}
+    keep, seen = F.coalesce(keep, F.lit(False)), Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~keep).alias("dropped"), *[F.count_if(c).alias(k) for k, c in met.items()])
+    watched.filter(keep).write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
