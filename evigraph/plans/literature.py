@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
@@ -15,14 +15,16 @@ from evigraph.sources import tables as IO
 #: Genes that need no gene word in their sentence, and the one that beverage words rule out.
 NO_CONTEXT = ("CYP1A2", "ADORA2A")
 BEVERAGE_GENE = "SSB"
+#: The compound for which a keyword that names coffee is worth an alert.
+ALERTED = "caffeine"
 
 
 def article_sentences(papers: DataFrame) -> DataFrame:
-    """pmid, idx, sentence (lower case) and cue flags."""
+    """pmid, idx, sentence (lower case), cue flags and polarity."""
     text = F.concat_ws(" ", "title", "abstract")
     rows = mining.split_sentences(papers.filter("pmid is not null"), "pmid", text).withColumn("sentence", F.lower("sentence"))
     names = ("up", "down", "bind", "modulate", "direct", "genetic", "gene_context", "beverage", "intervention", "enzyme", "coffee")
-    return mining.flag_cues(rows, {n: L.cue(n) for n in names})
+    return mining.flag_cues(rows, {n: L.cue(n) for n in names}).withColumn("polarity", T.polarity(F.col("sentence")))
 
 
 def compound_sentences(sentences: DataFrame, compounds: DataFrame, require_intervention: bool = True, longest: int = 4) -> DataFrame:
@@ -44,9 +46,9 @@ def gene_mentions(papers: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return mining.dictionary_hits(rows, T.gene_tokens(F.col("text")), aliases, ["pmid"]).select("pmid", F.col("symbol").alias("gene")).distinct()
 
 
-def interactions(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, require_intervention: bool = True) -> DataFrame:
-    """compound, pmid, gene, gene_display, kind, score, direct_hits, strength, confidence, context, species: votes of sentences about both."""
-    sentences = checkpointed(article_sentences(papers))
+def interactions(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, require_intervention: bool = True, sentences: DataFrame | None = None) -> DataFrame:
+    """compound, pmid, gene, gene_display, kind, score, direct_hits, strength, confidence, context, species: votes of sentences about both. sentences: article_sentences(), stored, if at hand."""
+    sentences = checkpointed(article_sentences(papers)) if sentences is None else sentences
     genes = gene_mentions(papers, aliases)
     named = sentences.select("pmid", "idx", F.explode(T.word_phrases(F.col("sentence"), 1)).alias("word")).select("pmid", "idx", F.explode(T.linked_spans(F.col("word"))).alias("word"))
     in_sentence = genes.withColumn("word", F.lower("gene")).join(named, ["pmid", "word"]).select("pmid", "idx", "gene").distinct()
@@ -87,13 +89,25 @@ def disease_mentions(papers: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(stop.select(T.token(F.col("stop")).alias("normalized"))), "normalized", "left_anti")
 
 
-def gene_disease_links(papers: DataFrame, found: DataFrame) -> DataFrame:
-    """gene, disease, evidence_count, docs, votes, direction, relationship, species: genes of interactions and diseases in one sentence."""
-    s = mining.split_sentences(papers, "pmid", F.concat_ws(" ", "title", "abstract")).withColumn("sentence", F.lower("sentence"))
-    s = checkpointed(s.withColumn("polarity", T.polarity(F.col("sentence"))).withColumn("phrases", T.word_phrases(F.col("sentence"), 4)))
-    words = s.select("pmid", "idx", "polarity", F.explode(F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.array_union(F.array(p), T.linked_spans(p)))))).alias("phrase"))
-    genes = found.select("pmid", "gene").distinct().withColumn("phrase", F.lower("gene")).join(words, ["pmid", "phrase"]).select("pmid", "idx", "gene", "polarity").distinct()
-    diseases = disease_mentions(papers).withColumn("phrase", T.normalize_key(F.col("name"))).join(words, ["pmid", "phrase"]).select("pmid", "idx", F.col("normalized").alias("disease")).distinct()
+def gene_disease_links(papers: DataFrame, found: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+    """gene, disease, evidence_count, docs, votes, direction, relationship, species: genes of interactions and diseases in one sentence.
+
+    Only articles with an interaction are looked at, and only what may name a gene or disease of the
+    article leaves a sentence. sentences: article_sentences(), stored, if at hand.
+    """
+    s = checkpointed(article_sentences(papers)) if sentences is None else sentences
+    found = found.select("pmid", "gene").distinct()
+    named = found.select("pmid", F.lower("gene").alias("phrase"), "gene", F.lit(None).cast("string").alias("disease"))
+    named = named.unionByName(disease_mentions(papers.join(found, "pmid", "left_semi")).select("pmid", T.normalize_key(F.col("name")).alias("phrase"), F.lit(None).cast("string").alias("gene"), F.col("normalized").alias("disease")))
+    # an article's few names, in its own row
+    named = named.groupBy("pmid").agg(F.collect_list(F.struct("phrase", "gene", "disease")).alias("names"))
+    spans = T.let(T.word_phrases(F.col("sentence"), 4), lambda p: F.array_distinct(F.flatten(F.transform(p, lambda x: F.array_union(F.array(x), T.linked_spans(x))))))
+    hits = s.select("pmid", "idx", "polarity", "sentence").join(named, "pmid")
+    # words are told apart only in sentences that hold the first word of a name
+    hits = hits.withColumn("names", F.filter("names", lambda x: F.contains("sentence", F.split(x["phrase"], " ")[0]))).filter(F.size("names") > 0)
+    hits = checkpointed(hits.select("pmid", "idx", "polarity", F.inline(T.let(spans, lambda w: F.filter("names", lambda x: F.array_contains(w, x["phrase"]))))))
+    genes = hits.filter("gene IS NOT NULL").select("pmid", "idx", "gene", "polarity").distinct()
+    diseases = hits.filter("disease IS NOT NULL").select("pmid", "idx", "disease").distinct()
     links = mining.co_mentions(genes, diseases, "pmid", "gene", "disease")
     species = genes.join(diseases, ["pmid", "idx"]).select("pmid", "gene", "disease").distinct().join(papers.select("pmid", "primary_species"), "pmid")
     counts = species.groupBy("gene", "disease", "primary_species").agg(F.count(F.lit(1)).alias("n"))
@@ -105,13 +119,15 @@ def analyze(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None =
     """(interactions, gene-disease links, effects of compounds on diseases)."""
     if human_only:
         papers = papers.filter(F.array_contains("mesh_terms", "Humans"))
-    found = checkpointed(interactions(papers, compounds, aliases, window).filter(F.col("confidence") >= min_confidence))
-    links = checkpointed(gene_disease_links(papers, found))
+    sentences = checkpointed(article_sentences(papers))
+    found = checkpointed(interactions(papers, compounds, aliases, window, sentences=sentences).filter(F.col("confidence") >= min_confidence))
+    links = checkpointed(gene_disease_links(papers, found, sentences))
     counts = found.groupBy("compound", "gene", "species").agg(F.count(F.lit(1)).alias("n"))
     own = counts.groupBy("compound", "gene").agg(F.max_by("species", F.struct("n", "species")).alias("gene_species"))
-    rows = found.join(own, ["compound", "gene"])
-    relations = links.withColumnRenamed("species", "link_species")
-    effects = mining.compose(rows, relations.join(own.select("gene", "gene_species").distinct(), "gene").withColumn("species", F.when(F.col("link_species") == "unspecified", F.col("gene_species")).otherwise(F.col("link_species"))).drop("gene_species", "link_species").distinct(), ["compound", "gene"], "gene", "disease", min_evidence, "species")
+    # a link without a species takes that of the compound's articles about the gene
+    species = F.when(F.col("link_species") == "unspecified", F.col("gene_species")).otherwise(F.col("link_species"))
+    relations = links.withColumnRenamed("species", "link_species").join(own, "gene").withColumn("species", species).drop("gene_species", "link_species")
+    effects = mining.compose(found, relations, ["compound", "gene"], ["compound", "gene"], "disease", min_evidence, "species")
     return found, links, effects
 
 
@@ -144,7 +160,7 @@ def result_stats(found: DataFrame, effects: DataFrame, papers: DataFrame, before
     a = found.agg(F.count(F.lit(1)).alias("interactions"), F.count_if(F.col("strength") == "strong").alias("strong"), F.countDistinct("gene").alias("genes"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
     b = effects.agg(F.count(F.lit(1)).alias("effects"), F.countDistinct("disease").alias("diseases"))
     used = papers.join(found.select("pmid").distinct(), "pmid", "left_semi")
-    alerts = used.filter(F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit("coffee"))))
+    alerts = papers.join(found.filter(F.col("compound") == ALERTED).select("pmid").distinct(), "pmid", "left_semi").filter(coffee_keyword(F.col("keywords")))
     out = _one_row(
         a, b, counted(found, F.col("kind"), "by_kind"), counted(found, F.col("species"), "by_species", 6),
         counted(used, F.explode("publication_types"), "by_publication_type", 6), counted(alerts, F.lit("coffee_keyword"), "alerts"),
@@ -170,14 +186,24 @@ def _one_row(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def coffee_keyword(keywords: Column) -> Column:
+    return F.coalesce(F.exists(keywords, lambda k: F.contains(F.lower(k), F.lit("coffee"))), F.lit(False))
+
+
 def study_context(papers: DataFrame) -> DataFrame:
-    """pmid, context: publication types, amounts, durations and alerts of an article, labelled, those that it has."""
+    """pmid, context (publication types, amounts and durations of an article, labelled, those that it has), coffee (whether a keyword names it)."""
     text = F.concat_ws(" ", "title", "abstract")
     def part(label, items):
         return F.when(F.size(items) > 0, F.concat(F.lit(f"{label}:"), F.array_join(items, ",")))
 
-    coffee = F.when(F.exists("keywords", lambda k: F.contains(F.lower(k), F.lit("coffee"))), F.array(F.lit("coffee_keyword"))).otherwise(F.array().cast("array<string>"))
-    return papers.select("pmid", F.concat_ws(" | ", part("pub", F.slice(F.array_sort("publication_types"), 1, 3)), part("dose", T.dose_mentions(text)), part("time", T.time_mentions(text)), part("alerts", coffee)).alias("context"))
+    said = F.concat_ws(" | ", part("pub", F.slice(F.array_sort("publication_types"), 1, 3)), part("dose", T.dose_mentions(text)), part("time", T.time_mentions(text)))
+    return papers.select("pmid", said.alias("context"), coffee_keyword(F.col("keywords")).alias("coffee"))
+
+
+def with_alert(compound: Column) -> Column:
+    """The context of study_context(), and an alert where an article about caffeine is filed under coffee."""
+    alert = F.when((compound == ALERTED) & F.col("coffee"), "alerts:coffee_keyword")
+    return F.concat_ws(" | ", F.nullif(F.col("study"), F.lit("")), alert)
 
 
 def flat_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> DataFrame:
@@ -186,7 +212,7 @@ def flat_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> DataFr
     snippets = snippets.join(study_context(papers).withColumnRenamed("context", "study"), "pmid", "left")
     snippet = F.concat(F.col("pmid"), F.lit(": "), T.clip_label(F.coalesce("context", F.lit("")), 160, dots=True))
     # at most three rows each
-    per = snippets.groupBy("compound", "gene").agg(F.array_join(F.array_sort(F.collect_list(snippet)), " || ").alias("snippets"), F.array_join(F.array_sort(F.collect_set("study")), " ; ").alias("study_context"))
+    per = snippets.groupBy("compound", "gene").agg(F.array_join(F.array_sort(F.collect_list(snippet)), " || ").alias("snippets"), F.array_join(F.array_sort(F.collect_set(with_alert(F.col("compound")))), " ; ").alias("study_context"))
     return effects.join(per, ["compound", "gene"], "left").join(kind_tags(found), ["compound", "gene"], "left")
 
 
@@ -213,9 +239,9 @@ def evidence_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> Da
     surest = found.groupBy(*pair).agg(F.max_by("strength", S.choose(F.col("strength"), {"strong": 2, "moderate": 1}, 0)).alias("main_strength"), F.max("gene_display").alias("label"))
     cited = effects.select(*pair, "disease", F.posexplode("docs").alias("place", "pmid"))
     said = cited.join(found.select(*pair, F.col("pmid").cast("string").alias("pmid"), "context"), [*pair, "pmid"], "left")
-    said = said.join(study_context(papers).select(F.col("pmid").cast("string").alias("pmid"), F.col("context").alias("study")), "pmid", "left")
+    said = said.join(study_context(papers).select(F.col("pmid").cast("string").alias("pmid"), F.col("context").alias("study"), "coffee"), "pmid", "left")
     snippet = F.concat_ws(": ", "pmid", F.nullif(T.clip_label(F.col("context"), 160, dots=True), F.lit("")))
-    per = said.groupBy(*pair, "disease").agg(F.array_sort(F.collect_list(F.struct("place", snippet.alias("snippet")))).alias("snippets"), F.array_sort(F.collect_set(F.nullif(F.col("study"), F.lit("")))).alias("studies"))
+    per = said.groupBy(*pair, "disease").agg(F.array_sort(F.collect_list(F.struct("place", snippet.alias("snippet")))).alias("snippets"), F.array_sort(F.collect_set(F.nullif(with_alert(F.col("compound")), F.lit("")))).alias("studies"))
     rows = effects.join(surest, pair).join(per, [*pair, "disease"], "left").join(kind_tags(found), pair, "left")
     values = [
         F.col("compound"), F.col("label"), F.format_string("%s (%s)", "main", "main_strength"), F.format_string("%s (%s)", "relationship", "direction"), F.col("effect"), F.col("rule"), F.col("path_confidence"), F.col("species"),
@@ -225,8 +251,9 @@ def evidence_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> Da
 
 
 def ranked(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Interactions and links in the order of reports: surest first, most evidence first."""
-    return found.orderBy(F.desc("confidence"), "compound", "pmid", "gene"), links.orderBy(F.desc("evidence_count"), "gene", "disease")
+    """Interactions and links in the order of reports: surest first; most evidence first, of like evidence those with a direction."""
+    decided = F.when(F.col("direction") == "neutral", 1).otherwise(2)
+    return found.orderBy(F.desc("confidence"), "compound", "pmid", "gene"), links.orderBy(F.desc("evidence_count"), F.desc(decided), "gene", "disease")
 
 
 def write_results(found: DataFrame, links: DataFrame, effects: DataFrame, papers: DataFrame, out: str) -> None:
