@@ -198,21 +198,23 @@ def pack_shard(packer: Packer, docs: list, texts: list[str], encode, idf: np.nda
     known = {t: encode(t) + struct.pack("<I", end_id) for t in dict.fromkeys(texts)}
     ids = [known[t] for t in texts]
     index = Index(list(terms_of(pa.array(texts, pa.large_string()))), idf, mean)
-    free, following, scores = np.ones(len(docs), bool), 0, None
+    free, following = np.ones(len(docs), bool), 0
+    # documents with a score against the open sequence's first one, the best last
+    near: list[int] = []
     for _ in range(len(docs)):
         d = -1
-        if scores is not None and packer.used:
-            best = int(np.argmax(scores))
-            d = best if scores[best] > 0 else -1
+        while near and packer.used and d < 0:
+            d = near.pop()
+            d = d if free[d] else -1
         if d < 0:
             while not free[following]:
                 following += 1
             d = following
         free[d] = False
         if packer.place(docs[d], ids[d]):
-            scores = np.where(free, index.scores(d), 0.0)
-        elif scores is not None:
-            scores[d] = 0.0
+            scores = index.scores(d)
+            some = np.flatnonzero((scores > 0) & free)
+            near = some[np.lexsort((-some, scores[some]))].tolist()
 
 
 def with_slices(docs: DataFrame, slices: int, name: str = "slice") -> DataFrame:
