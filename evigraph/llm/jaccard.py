@@ -32,28 +32,45 @@ ship(__name__)
 
 WIDTH = 5
 #: Min-hashes of a class, the places that nodes choose from, and the share of nodes that choose two.
-PLACES, SECOND = 32, 4
+PLACES, SECOND = 64, 4
 #: Classes a node may have before it splits; classes, and shingles in all, of a block of a leaf that stays larger.
 LEAF, BLOCK, BLOCK_SHINGLES = 512, 2048, 1 << 20
 #: A node is not split further if one of its children has at least this share of it.
 AGREE = 0.8
 #: Pairs whose shingles are compared at a time, and shingles that are hashed at a time.
 PAIRS, HASHED = 1 << 14, 1 << 16
-#: Bits of a leaf's number below its run.
-RUN_BITS = 57
+#: Bits of a leaf's number below its run, and bits of the run.
+RUN_BITS, RUN_LIMIT = 57, 6
 
 
-def runs_needed(similarity: float, recall: float, depth: int) -> int:
-    """Runs after which a pair of this similarity is found with probability recall, were all leaves at the greatest depth.
+def lost_in_run(agreeing: float, depth: int) -> float:
+    """Probability that one run loses a pair of which this share of the places agrees, were all leaves at the greatest depth.
 
-    In one run the pair is lost with probability q(depth), where q(0) = 0 and q(k) is the chance that
-    no chosen place leads both sets to one child in which they are not lost later on.
+    q(0) = 0, and q(k) is the chance that no chosen place leads both sets to one child in which they
+    are not lost later on.
     """
     q = 0.0
     for _ in range(depth):
-        parted = 1 - similarity + similarity * q
+        parted = 1 - agreeing + agreeing * q
         q = ((SECOND - 1) * parted + parted**2) / SECOND
-    return math.ceil(math.log(1 - recall) / math.log(q))
+    return q
+
+
+def recall_of(similarity: float, runs: int, depth: int) -> float:
+    """Probability that any of some runs finds a pair of this similarity.
+
+    All runs choose from the same places, of which a number that is binomially distributed agrees.
+    """
+    chance = [math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) for k in range(PLACES + 1)]
+    return sum(c * (1 - lost_in_run(k / PLACES, depth) ** runs) for k, c in enumerate(chance))
+
+
+def runs_needed(similarity: float, recall: float, depth: int) -> int:
+    """Runs after which a pair of this similarity is found with probability recall, were all leaves at the greatest depth."""
+    for runs in range(1, 1 << RUN_LIMIT):
+        if recall_of(similarity, runs, depth) >= recall:
+            return runs
+    raise ValueError("a recall beyond what these places and runs can give")
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.llm import merkle, negatives, pii, suffix, votes
+from evigraph.llm import jaccard, merkle, negatives, packing, pii, suffix, votes
 from tests.llm.conftest import SCHEMA
 
 LETTERS = "abcdefghijklm nopqrst"
@@ -276,3 +276,50 @@ def test_coordinate_ranges_lose_no_vector():
             assert set(need) <= set(found.tolist())
             dropped += len(v) - len(found)
     assert dropped > 0.5 * 40 * 5 * len(v)
+
+
+# recall of the chosen-path join, and neighbours in packing
+
+
+def test_recall_in_deep_trees(spark, monkeypatch):
+    """Pairs of similarity 0.8 among texts that share near half of their shingles, so that nodes split again and again."""
+    monkeypatch.setattr(jaccard, "LEAF", 2)
+    shared, rows = [f"common{k}" for k in range(24)], []
+    for i in range(400):
+        own = [f"t{i}w{k}" for k in range(25)]
+        other = own[:12] + [f"changed{i}"] + own[13:]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + other))]
+    got = jaccard.join_near(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    found = sum(r.n_links == 1 for r in got) / len(got)
+    # 400 draws of at least 0.99
+    assert found >= 0.975 and all(r.n_links <= 1 for r in got)
+
+
+def test_recall_is_that_of_simulated_draws():
+    r = np.random.default_rng(2)
+    runs, depth, lost, n = 4, 3, 0, 4000
+    for _ in range(n):
+        agree = r.random(jaccard.PLACES) < 0.8
+
+        def missed(k):
+            if k == 0:
+                return False
+            places = r.integers(0, jaccard.PLACES, 2 if r.random() < 1 / jaccard.SECOND else 1)
+            return all(not agree[p] or missed(k - 1) for p in places)
+
+        lost += all(missed(depth) for _ in range(runs))
+    assert abs(1 - lost / n - jaccard.recall_of(0.8, runs, depth)) < 0.01
+    assert jaccard.recall_of(0.8, jaccard.runs_needed(0.8, 0.99, 6), 6) >= 0.99
+    with pytest.raises(ValueError):
+        jaccard.runs_needed(0.8, 0.9999999, 6)
+
+
+def test_a_shard_of_short_documents_takes_linear_time(monkeypatch):
+    """As many calls of the scorer as sequences, whatever the number of documents."""
+    calls, scores = [], packing.Index.scores
+    monkeypatch.setattr(packing.Index, "scores", lambda self, d: calls.append(d) or scores(self, d))
+    packer, texts = packing.Packer(1024, 0), [f"w{i % 500}" for i in range(20_000)]
+    packing.pack_shard(packer, list(range(len(texts))), texts, lambda t: b"\1\0\0\0", np.full(packing.BUCKETS, 3.0, np.float32), 1.0, 0)
+    packer.close()
+    assert len(calls) <= 2 * len(texts) // 1024 + 2
+    assert sorted(r[0] for r in packer.rows if r[1] == 0) == list(range(len(texts)))
