@@ -137,13 +137,6 @@ def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "key", "n", "places"])
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: text to key, shingles (64-bit, as bytes)."""
-    for batch in batches:
-        sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
-
-
 def bits(sets: list[np.ndarray]) -> np.ndarray:
     """Bit matrix, sets by those members that at least two of them have."""
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -200,7 +193,10 @@ class Cell:
 
 
 def comparer(similarity: float):
-    """For mapInArrow: rows sorted by leaf, left, right, key to key, links, root of each class with new links."""
+    """For mapInArrow: rows sorted by leaf, left, right, key to key, links, root of each class with new links.
+
+    Rows come with a text of the class, which takes less to ship than its shingles, which are made here.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
@@ -212,7 +208,10 @@ def comparer(similarity: float):
 
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                for row in batch.slice(k, 512).to_pylist():
+                part = batch.slice(k, 512)
+                sets = shingle_sets(part.column("text"))
+                for row, shingles in zip(part.drop_columns(["text"]).to_pylist(), sets):
+                    row["shingles"] = shingles.tobytes()
                     at = (row["leaf"], row["left"], row["right"])
                     if at != cell and rows:
                         yield done()
@@ -312,20 +311,20 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     fresh = fresh.filter(~F.exists("ends", lambda e: (e["low"] < F.col("leaf")) & (e["low"] == e["high"]) & (e["n"] == F.col("all")))).select("leaf")
     fresh = checkpointed(fresh)
     leaves = checkpointed(leaves.join(fresh, "leaf", "left_semi"))
-    wanted = small(checkpointed(leaves.select("key").distinct().join(classes, "key").select("low.*")), 1_000_000)
+    wanted = small(checkpointed(leaves.select("key").distinct().join(classes, "key").select("low.*", "key", "copies")), 1_000_000)
     del own, with_first, fresh
     release_shuffles(spark)
-    sets = base.join(wanted, ["doc_id", "text_hash"], "left_semi").select("text").mapInArrow(sets_of, "key binary, shingles binary")
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles")).join(classes.select("key", "copies"), "key")
+    # one text of each class; rows alike in id and text come several times
+    texts = base.join(wanted, ["doc_id", "text_hash"]).groupBy("key").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
 
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     cells = leaves.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    cells = cells.select("key", "leaf", "leaves", "block", "left", "right").join(sets, "key")
+    cells = cells.select("key", "leaf", "leaves", "block", "left", "right").join(texts, "key")
     ordered = cells.repartition("leaf", "left", "right").sortWithinPartitions("leaf", "left", "right", "key")
     found = checkpointed(ordered.mapInArrow(comparer(similarity), "key binary, links bigint, root binary"))
-    del sets, cells, ordered
+    del texts, cells, ordered
     release_shuffles(spark)
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
