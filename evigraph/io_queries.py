@@ -100,6 +100,29 @@ def counted_write(spark, sf):
     return kept.unionByName(spark.createDataFrame([("count", k, v) for k, v in counts.items()], "kind string, name string, n bigint"))
 
 
+CODE_SQL = "'C' || (o_custkey % 90 + 10) || '.' || (o_orderkey % 97 + 100) || '.' || (o_orderkey % 7 + 100)"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, {CODE_SQL} || '|D' || (o_custkey % 50 + 10) || '.' || (o_orderkey % 89 + 100) AS codes FROM orders),
+          b AS (SELECT DISTINCT branch FROM (SELECT 'C' || (c_custkey % 45 + 10) || '.' || (c_custkey % 97 + 100) || CASE WHEN c_custkey % 3 = 0 THEN '.' || (c_custkey % 7 + 100) ELSE '' END AS branch FROM customer UNION ALL SELECT 'D' || (c_custkey % 7 + 10) FROM customer))
+          SELECT o_orderkey, codes FROM c WHERE EXISTS (SELECT 1 FROM b WHERE '|' || codes || '|' LIKE '%|' || branch || '|%' OR '|' || codes LIKE '%|' || branch || '.%')""")
+def code_branches(spark, sf):
+    """Rows one of whose codes lies in one of very many branches."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    number = lambda x, m, d: (F.col(x) % m + d).cast("string")
+    codes = F.concat(F.lit("C"), number("o_custkey", 90, 10), F.lit("."), number("o_orderkey", 97, 100), F.lit("."), number("o_orderkey", 7, 100), F.lit("|D"), number("o_custkey", 50, 10), F.lit("."), number("o_orderkey", 89, 100))
+    deep = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("."), number("c_custkey", 7, 100))).otherwise("")
+    branches = c.select(F.concat(F.lit("C"), number("c_custkey", 45, 10), F.lit("."), number("c_custkey", 97, 100), deep).alias("branch")).unionByName(c.select(F.concat(F.lit("D"), number("c_custkey", 7, 10)).alias("branch")))
+    return relational.in_branches(o.select("o_orderkey", codes.alias("codes")), "codes", branches)
+
+
+@query("""SELECT n, name FROM (SELECT (row_number() OVER (ORDER BY name))::INTEGER AS n, name FROM (SELECT DISTINCT lower(p_type) || ' ' || p_name AS name FROM part)) WHERE n <= 300""")
+def first_names(spark, sf):
+    """The first three hundred distinct names in order."""
+    rows = table(spark, sf, "part").select(F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("name")).distinct().orderBy("name").limit(300)
+    return rows.agg(F.array_sort(F.collect_list("name")).alias("names")).select(F.posexplode("names").alias("n", "name")).select((F.col("n") + 1).alias("n"), "name")
+
+
 # ---- sources ----
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.checkpoint import checkpointed
 from evigraph.columns import own_names
 from evigraph.functions import text as T
 
@@ -101,6 +102,34 @@ def explode_synonyms(df: DataFrame, id_col: str, name_col: str, lists: Sequence[
     return base.select(F.col(id_col).alias("id"), F.inline(F.concat(*rows))).filter(F.col("key") != "").distinct()
 
 
+def in_branches(df: DataFrame, codes: str, branches: DataFrame, branch: str = "branch") -> DataFrame:
+    """Rows one of whose piped codes lies in one of the branches, each row once.
+
+    A code such as C18.452.394 lies in the branches C18, C18.452 and itself; a branch may also end
+    within the first part, as C1 does. A code's ancestors are told apart in its row and looked up by
+    one equi-join; rows are known by a number of their own, so that those alike stay apart. Null
+    codes and branches, and empty ones, match nothing.
+    """
+    (row, key) = own_names(df.columns, "row", "key")
+    known = branches.select(F.col(branch).alias(key)).filter(F.length(key) > 0).distinct()
+
+    def ancestors(code: Column) -> Column:
+        parts = F.split(code, r"\.")
+        first = F.transform(F.sequence(F.lit(1), F.length(parts[0])), lambda n: F.substring(parts[0], F.lit(1), n))
+        lower = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")))
+        return F.concat(first, F.coalesce(lower, F.array().cast("array<string>")))
+
+    tokens = F.filter(F.transform(T.list_tokens(F.col(f"`{codes}`")), T.strip), lambda c: F.length(F.split(c, r"\.")[0]) > 0)
+    keys = F.array_distinct(F.flatten(F.transform(tokens, ancestors)))
+    if is_small(known):
+        # only what hits leaves a row, and a row leaves once
+        rows = df.withColumn(row, F.monotonically_increasing_id())
+        return lookup_join(rows.withColumn(key, F.explode(keys)), known, key, "left_semi").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in df.columns])
+    stored = checkpointed(df.withColumn(row, F.monotonically_increasing_id()))
+    hit = stored.select(row, F.explode(keys).alias(key)).join(known, key, "left_semi").select(row).distinct()
+    return stored.join(hit, row, "left_semi").drop(row)
+
+
 def keep_matching_else_all(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet a condition; all rows if none does."""
     met = F.coalesce(condition, F.lit(False))

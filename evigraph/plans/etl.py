@@ -60,10 +60,11 @@ def clean_gene_diseases(df: DataFrame) -> DataFrame:
     )
 
 
-def metabolic_diseases(df: DataFrame) -> DataFrame:
-    """Diseases of the branches C18 and C19."""
+def metabolic_diseases(df: DataFrame, branches: DataFrame | None = None) -> DataFrame:
+    """Diseases of the branches C18 and C19, or of those given as (branch)."""
     IO.require(df, ("DiseaseID", "DiseaseName", "TreeNumbers"))
-    return df.filter(F.col("TreeNumbers").rlike(r"\bC1[89]")).select("DiseaseID", "DiseaseName", "TreeNumbers").distinct()
+    rows = df.filter(F.col("TreeNumbers").rlike(r"\bC1[89]")) if branches is None else relational.in_branches(df, "TreeNumbers", branches)
+    return rows.select("DiseaseID", "DiseaseName", "TreeNumbers").distinct()
 
 
 def chemical_map(food_rows: DataFrame, synonyms: DataFrame, overrides: DataFrame, threshold: float = 92.0) -> DataFrame:

@@ -143,3 +143,21 @@ def test_counts_come_from_the_job_of_the_write(spark, tmp_path):
 
 def test_small_tables_are_checked(spark):
     assert relational.is_small(spark.range(10)) and not relational.is_small(spark.range(relational.BROADCAST_ROWS + 1))
+
+
+# branches
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_branches_against_prefixes(spark, monkeypatch, small):
+    r = random.Random(4)
+    code = lambda: ".".join([r.choice("CD") + str(r.randint(10, 13)), *(str(r.randint(1, 4)) for _ in range(r.randint(0, 3)))])
+    rows = [("|".join(code() for _ in range(r.randint(1, 3))), i % 5) for i in range(200)] + [(None, 1), ("", 2), ("|", 3), (" C10.1 | D13", 4), ("C10.1", 7), ("C10.1", 7), (".5", 8)]
+    branches = [code() for _ in range(12)] + ["C1", "", None, "C10.1"]
+    monkeypatch.setattr(relational, "is_small", lambda df: small)
+    df = spark.createDataFrame(rows, "codes string, key int").repartition(3)
+    got = relational.in_branches(df, "codes", spark.createDataFrame([(b,) for b in branches], "branch string"))
+    inside = lambda c, b: c == b or c.startswith(b + ".") or ("." not in b and c.split(".")[0].startswith(b))
+    want = [x for x in rows if any(inside(c.strip(), b) for c in (x[0] or "").split("|") if c.strip() for b in branches if b)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == ["codes", "key"]
+    assert 10 < len(want) < len(rows)

@@ -129,12 +129,12 @@ def test_articles_to_effects(spark, tmp_path):
     (e,) = effects.collect()
     assert (e.effect, e.rule, e.path_confidence) == ("potentially_beneficial", "compose(downregulation,risk_factor) [Human] -> potentially_beneficial", 0.6)
     one = literature.result_stats(found, effects, papers).first()
-    assert (one.by_species, one.by_publication_type, one.alerts, one.filtered_out) == ({"Human": 1}, {"Journal Article": 1}, {"coffee_keyword": 1}, 0)
+    assert (one.by_species, one.by_publication_type, one.alerts, one.filtered_out) == ({"Human": 1}, {"Journal Article": 1}, None, 0)
     assert literature.top_findings(effects).count() == 1
     assert {tuple(x) for x in literature.compound_graph(found, links).collect()} == {("curcumin", "TNF", 3), ("TNF", "colitis", 1)}
     assert (one.interactions, one.strong, one.genes, one.diseases, one.by_kind) == (1, 1, 1, 1, {"downregulation": 1})
     (flat,) = literature.flat_rows(found, effects, papers).collect()
-    assert flat.snippets.startswith("11: ") and flat.tags == "downregulation:1" and "coffee_keyword" in flat.study_context
+    assert flat.snippets.startswith("11: ") and flat.tags == "downregulation:1" and flat.study_context == "pub:Journal Article"
     wide, _, _ = literature.analyze(papers, compounds, aliases, window=1)
     w = wide.filter("gene = 'TNF'").first()
     assert (w.score, w.direct_hits, w.strength, w.confidence) == (pytest.approx(3.12), 3, "strong", 0.78)
