@@ -129,7 +129,7 @@ def test_articles_to_effects(spark, tmp_path):
     (e,) = effects.collect()
     assert (e.effect, e.rule, e.path_confidence) == ("potentially_beneficial", "compose(downregulation,risk_factor) [Human] -> potentially_beneficial", 0.6)
     one = literature.result_stats(found, effects, papers).first()
-    assert (one.by_species, one.by_publication_type, one.alerts, one.filtered_out) == ({"Human": 1}, {"Journal Article": 1}, None, 0)
+    assert (one.by_species, one.by_publication_type, one.alerts, one.filtered_out) == ({"Human": 1}, {"Journal Article": 1}, {}, 0)
     assert literature.top_findings(effects).count() == 1
     assert {tuple(x) for x in literature.compound_graph(found, links).collect()} == {("curcumin", "TNF", 3), ("TNF", "colitis", 1)}
     assert (one.interactions, one.strong, one.genes, one.diseases, one.by_kind) == (1, 1, 1, 1, {"downregulation": 1})
