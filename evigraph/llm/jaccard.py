@@ -301,6 +301,9 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     spark = docs.sparkSession
 
     leaves = checkpointed(tree_leaves(classes, runs, depth))
+    # places have done their work; the tables that hold them may go
+    signed, classes = checkpointed(signed.select("doc_id", "text_hash", "key")), checkpointed(classes.drop("places"))
+    release_shuffles(spark)
     own = leaves.groupBy("key").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     leaves = leaves.join(own, "key")
     # a leaf whose members all share an earlier leaf holds no new pair
