@@ -199,22 +199,28 @@ def pack_shard(packer: Packer, docs: list, texts: list[str], encode, idf: np.nda
     ids = [known[t] for t in texts]
     index = Index(list(terms_of(pa.array(texts, pa.large_string()))), idf, mean)
     free, following = np.ones(len(docs), bool), 0
-    # documents with a score against the open sequence's first one, the best last
-    near: list[int] = []
+    # scores against the open sequence's first document; sorted, best last, once it takes more than two neighbours
+    scores, near, picked = None, None, 0
     for _ in range(len(docs)):
         d = -1
-        while near and packer.used and d < 0:
-            d = near.pop()
-            d = d if free[d] else -1
+        if scores is not None and packer.used:
+            if picked == 2 and near is None:
+                some = np.flatnonzero(scores > 0)
+                near = some[np.lexsort((-some, scores[some]))].tolist()
+            if near is None:
+                best = int(np.argmax(scores))
+                d = best if scores[best] > 0 else -1
+            elif near:
+                d = near.pop()
         if d < 0:
             while not free[following]:
                 following += 1
             d = following
         free[d] = False
         if packer.place(docs[d], ids[d]):
-            scores = index.scores(d)
-            some = np.flatnonzero((scores > 0) & free)
-            near = some[np.lexsort((-some, scores[some]))].tolist()
+            scores, near, picked = np.where(free, index.scores(d), 0.0), None, 0
+        elif scores is not None:
+            scores[d], picked = 0.0, picked + 1
 
 
 def with_slices(docs: DataFrame, slices: int, name: str = "slice") -> DataFrame:
