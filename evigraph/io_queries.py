@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
 from evigraph import queries as evidence
-from evigraph.checkpoint import checkpoint_folder
+from evigraph.checkpoint import checkpoint_folder, checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
-from evigraph.operators import mining, relational, stats
+from evigraph.operators import mining, relational, stats, summaries
 from evigraph.plans import etl, literature, pathways
 from evigraph.sources import articles, store
 from evigraph.sources import tables as IO
@@ -100,6 +102,37 @@ def counted_write(spark, sf):
     return kept.unionByName(spark.createDataFrame([("count", k, v) for k, v in counts.items()], "kind string, name string, n bigint"))
 
 
+@query("""WITH m AS (SELECT unnest([{'name': 'value', 'v': value}, {'name': 'user_id', 'v': user_id::DOUBLE}], recursive := true) FROM events)
+          SELECT name, count(*) AS n_rows, count(*) - count(v) AS nulls, min(v) AS least, max(v) AS greatest, round(sum(v), 2) AS total, true AS distinct_near, true AS quantiles_near FROM m GROUP BY name""")
+def merged_summaries(spark, sf):
+    """Days of events summarised apart, one of them stored wrongly first and replaced, then merged; sketches are held against the exact figures."""
+    e, path = table(spark, sf, "events"), scratch(spark, "summaries")
+    day, measures, points = F.to_date("ts"), {"value": F.col("value"), "user_id": F.col("user_id")}, [0.05, 0.25, 0.5, 0.75, 0.95]
+    early = F.dayofmonth("ts") <= 10
+    summaries.store_parts(summaries.summarize(e.filter(early).withColumn("value", F.when(F.dayofmonth("ts") == 10, 0.0).otherwise(F.col("value"))), day, measures), path)
+    summaries.store_parts(summaries.summarize(e.filter(~early | (F.dayofmonth("ts") == 10)), day, measures), path)
+    m = checkpointed(summaries.merge(summaries.load_parts(spark, path)).select("*", summaries.quantiles(points).alias("q"), summaries.distinct().alias("d")))
+    long = e.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in measures.items()])))
+    seen = long.join(F.broadcast(m.select("name", "q")), "name")  # two rows
+    ranks = [F.struct(F.count_if(F.col("v") < F.col("q")[i]).alias("below"), F.count_if(F.col("v") <= F.col("q")[i]).alias("upto")) for i in range(len(points))]
+    exact = seen.groupBy("name").agg(F.count("v").alias("n"), F.count_distinct("v").alias("true_d"), *[r.alias(f"r{i}") for i, r in enumerate(ranks)])
+    off = 2 * summaries.RANK_ERROR
+    near = [(F.col(f"r{i}.below") <= (p + off) * F.col("n")) & (F.col(f"r{i}.upto") >= (p - off) * F.col("n")) for i, p in enumerate(points)]
+    near_d = F.abs(F.col("d") - F.col("true_d")) <= 2 * summaries.DISTINCT_ERROR * F.col("true_d")
+    return m.join(exact, "name").select("name", F.col("rows").alias("n_rows"), "nulls", "least", "greatest", F.round("total", 2).alias("total"), near_d.alias("distinct_near"), reduce(and_, near).alias("quantiles_near"))
+
+
+@query("""SELECT c_nationkey::VARCHAR AS part, c_mktsegment AS item, count(*) AS n FROM customer GROUP BY ALL""")
+def frequent_by_part(spark, sf):
+    """The five most frequent values of each part (there are five in all), read from stored summaries; two writes of half the customers each, by part and half."""
+    c, path = table(spark, sf, "customer"), scratch(spark, "frequent")
+    for half in (0, 1):
+        rows = c.filter(F.col("c_custkey") % 2 == half)
+        summaries.store_parts(summaries.summarize(rows, F.concat_ws("-", "c_nationkey", F.lit(half)), values={"segment": F.col("c_mktsegment")}), path)
+    parts = summaries.load_parts(spark, path).withColumn("nation", F.split_part("part", F.lit("-"), F.lit(1)))
+    return summaries.merge(parts, "nation").select(F.col("nation").alias("part"), F.inline(summaries.frequent(5))).select("part", "item", F.col("count").alias("n"))
+
+
 CODE_SQL = "'C' || (o_custkey % 90 + 10) || '.' || (o_orderkey % 97 + 100) || '.' || (o_orderkey % 7 + 100)"
 
 
@@ -247,6 +280,19 @@ def sorted_csv(spark, sf):
     return rows.select("match_method", F.col("fuzzy_score").cast("double").alias("fuzzy_score"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
 
 
+@query("""SELECT l_suppkey, count(*) AS n, count(*) AS in_order, sum(l_linenumber)::BIGINT AS line_numbers, 1::BIGINT AS documents FROM lineitem GROUP BY l_suppkey""")
+def streamed_documents(spark, sf):
+    """One JSON document a supplier, written line by line over all files, and read back: its items, those that stand after the one before, and openings."""
+    li, path = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), scratch(spark, "documents")
+    IO.write_documents(li, path, "l_suppkey", "l_orderkey", "l_linenumber")
+    items = IO.read_documents(spark, path, "l_suppkey bigint, l_orderkey bigint, l_linenumber bigint")
+    at = F.col("_at")
+    before = F.lag(F.struct("l_orderkey", "l_linenumber")).over(Window.partitionBy("l_suppkey").orderBy(at))
+    rows = items.select("*", F.coalesce(F.struct("l_orderkey", "l_linenumber") >= before, F.lit(True)).alias("ok")).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("in_order"), F.sum("l_linenumber").alias("line_numbers"))
+    opened = spark.read.text(path).select(F.regexp_extract("value", r'^\{"l_suppkey":(\d+),"items":\[$', 1).alias("k")).filter("k <> ''").groupBy(F.col("k").cast("bigint").alias("l_suppkey")).agg(F.count(F.lit(1)).alias("documents"))
+    return rows.join(opened, "l_suppkey", "left")
+
+
 @query("SELECT n_regionkey, len(list(n_name))::INTEGER AS n, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
 def nested_json(spark, sf):
     """Rows of a key as one JSON object, and read back."""

@@ -1,11 +1,29 @@
-"""Article XML to rows, with XPath expressions on the JVM."""
+"""Article XML to rows: records are cut by Spark's text source, each is parsed once in Arrow batches, and its fields are finished by column functions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructType
 
 from evigraph.functions import text as T
+from evigraph.workers import ship
+
+ship(__name__)
+
+TEXT = pa.string()
+DATE = pa.struct({"year": TEXT, "month": TEXT, "day": TEXT})
+HEADING = pa.struct({"name": TEXT, "ui": TEXT, "is_major": pa.bool_()})
+ARROW_RECORD = pa.struct({
+    "pmid": TEXT, "title": TEXT, "journal": TEXT, "parts": pa.list_(pa.struct({"label": TEXT, "body": TEXT})), "article_date": DATE, "pub_date": DATE, "medline_date": TEXT,
+    "mesh_detail": pa.list_(HEADING), "publication_types": pa.list_(TEXT), "keywords": pa.list_(TEXT),
+})
+RECORD = from_arrow_type(ARROW_RECORD)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -15,38 +33,69 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_articles(articles: DataFrame, xml: str = "xml") -> DataFrame:
-    """pmid, title, abstract, journal, pub_date, mesh_terms, mesh_detail, publication_types, keywords, primary_species, species_tags.
+def _text(node: ET.Element | None) -> str:
+    """All text of an element, marked-up parts included; nothing for none."""
+    return "" if node is None else "".join(node.itertext())
 
-    Mixed content is joined; labelled abstract parts read "LABEL: text". Articles without an id are dropped.
-    """
-    x = F.col(xml)
 
-    def one(path: str) -> Column:
-        return T.strip(F.xpath_string(x, F.lit(path)))
+def record_of(xml: str) -> dict | None:
+    """What an article's XML says, as ARROW_RECORD; None where it is no XML."""
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return None
+
+    def date(node: ET.Element | None) -> dict | None:
+        return None if node is None else {k: _text(node.find(k.title())) for k in ("year", "month", "day")}
 
-    def many(path: str) -> Column:
-        return F.coalesce(F.xpath(x, F.lit(path)), F.array().cast("array<string>"))
+    published = next(root.iter("PubDate"), None)
+    return {
+        "pmid": _text(next(root.iter("PMID"), None)), "title": _text(next(root.iter("ArticleTitle"), None)), "journal": _text(root.find(".//Journal/Title")),
+        "parts": [{"label": p.get("Label") or "", "body": _text(p)} for p in root.iterfind(".//Abstract/AbstractText")],
+        "article_date": date(next(root.iter("ArticleDate"), None)), "pub_date": date(published), "medline_date": "" if published is None else _text(published.find("MedlineDate")),
+        "mesh_detail": [{"name": _text(h), "ui": h.get("UI") or None, "is_major": h.get("MajorTopicYN") == "Y"} for h in root.iter("DescriptorName")],
+        "publication_types": [t for t in map(_text, root.iter("PublicationType")) if t], "keywords": [t for t in map(_text, root.iter("Keyword")) if t],
+    }
 
-    part_count = F.xpath_int(x, F.lit("count(//Abstract/AbstractText)"))
-    raw = F.regexp_extract_all(x, F.lit(r"(?s)<AbstractText\b[^>]*>.*?</AbstractText>"), F.lit(0))
 
-    def section(p):
-        label, body = F.xpath_string(p, F.lit("/AbstractText/@Label")), T.strip(F.xpath_string(p, F.lit("/AbstractText")))
-        return F.when(label != "", F.concat(label, F.lit(": "), body)).otherwise(body)
+def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (record) from batches of XML; each article is parsed once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            found = [None if x is None else record_of(x) for x in batch.column(0).slice(k, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, ARROW_RECORD)], names=["record"])
 
-    abstract = F.when(part_count > 0, F.array_join(F.transform(raw, section), " ")).otherwise("")
-    heads = F.regexp_extract_all(x, F.lit(r"(?s)<DescriptorName\b[^>]*>.*?</DescriptorName>"), F.lit(0))
-    detail = F.transform(heads, lambda h: F.struct(F.xpath_string(h, F.lit("/DescriptorName")).alias("name"), F.nullif(F.xpath_string(h, F.lit("/DescriptorName/@UI")), F.lit("")).alias("ui"), (F.xpath_string(h, F.lit("/DescriptorName/@MajorTopicYN")) == "Y").alias("is_major")))
+
+def parse_articles(articles: DataFrame, xml: str = "xml") -> DataFrame:
+    """pmid, title, abstract, journal, pub_date, mesh_terms, mesh_detail, publication_types, keywords, primary_species, species_tags.
+
+    Mixed content is joined; labelled abstract parts read "LABEL: text". Articles without an id are
+    dropped, as are nulls and what is not well-formed XML (malformed() gives those). Empty keywords
+    and types are left out. Other columns are not read. Empty table: no rows.
+    """
+    # Spark's own XML functions parse a record once for each field, or lose the text around marked-up parts
+    r = F.col("record")
+    rows = articles.select(F.col(f"`{xml}`")).mapInArrow(parse_records, StructType().add("record", RECORD)).filter(r.isNotNull() & (T.strip(r["pmid"]) != ""))
 
     def date(where: str) -> Column:
-        return T.partial_date(one(f"{where}/Year"), F.nullif(one(f"{where}/Month"), F.lit("")), F.nullif(one(f"{where}/Day"), F.lit("")))
-
-    medline = T.partial_date(F.regexp_extract(one("//PubDate/MedlineDate"), r"\d{4}", 0), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    pub_date = F.coalesce(F.nullif(date("//ArticleDate"), F.lit("")), F.nullif(date("//PubDate"), F.lit("")), F.nullif(medline, F.lit("")), F.lit(""))
-    rows = articles.select(
-        F.nullif(one("//PMID"), F.lit("")).alias("pmid"), one("//ArticleTitle").alias("title"), abstract.alias("abstract"), one("//Journal/Title").alias("journal"), pub_date.alias("pub_date"),
-        F.transform(detail, lambda d: d["name"]).alias("mesh_terms"), detail.alias("mesh_detail"), many("//PublicationType/text()").alias("publication_types"), many("//Keyword/text()").alias("keywords"),
-    ).filter(F.col("pmid").isNotNull())
+        return T.partial_date(T.strip(r[where]["year"]), F.nullif(T.strip(r[where]["month"]), F.lit("")), F.nullif(T.strip(r[where]["day"]), F.lit("")))
+
+    nothing = F.lit(None).cast("string")
+    dates = date("article_date"), date("pub_date"), T.partial_date(F.regexp_extract(r["medline_date"], r"\d{4}", 0), nothing, nothing)
+    abstract = F.array_join(F.transform(r["parts"], lambda p: F.concat(F.when(p["label"] != "", F.concat(p["label"], F.lit(": "))).otherwise(""), T.strip(p["body"]))), " ")
+    rows = rows.select(
+        T.strip(r["pmid"]).alias("pmid"), T.strip(r["title"]).alias("title"), abstract.alias("abstract"), T.strip(r["journal"]).alias("journal"), F.coalesce(*[F.nullif(d, F.lit("")) for d in dates], F.lit("")).alias("pub_date"),
+        F.transform(r["mesh_detail"], lambda d: d["name"]).alias("mesh_terms"), r["mesh_detail"].alias("mesh_detail"), r["publication_types"].alias("publication_types"), r["keywords"].alias("keywords"),
+    )
     tags = T.species_tags(F.col("mesh_terms"))
     return rows.withColumn("primary_species", T.primary_species(tags)).withColumn("species_tags", tags)
+
+
+def malformed(articles: DataFrame, xml: str = "xml") -> DataFrame:
+    """Rows of articles whose XML is not well-formed: rejects, as text."""
+
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in batch.column(0).to_pylist() if x is not None and record_of(x) is None], pa.string())], names=["xml"])
+
+    return articles.select(F.col(f"`{xml}`")).mapInArrow(bad, "xml string")

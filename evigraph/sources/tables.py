@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from evigraph.checkpoint import checkpointed
 from evigraph.columns import own_names
+from evigraph.workers import ship
 
 #: Column that receives a row that does not fit the header.
 CORRUPT = "_corrupt"
@@ -219,6 +223,52 @@ def write_nested_json(df: DataFrame, path: str, key: str, name: str = "items") -
     df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)).write.mode("overwrite").json(path)
 
 
+def glue_documents(batches: Iterator[pa.RecordBatch], edges: Mapping[int, tuple[bool, bool]]) -> Iterator[pa.RecordBatch]:
+    """Lines of the documents of one range, from (range, head, item) in order; edges tells whether its first document began before it and whether its last goes on after it."""
+    last = last_range = None
+    for batch in batches:
+        out = []
+        for part, head, item in zip(*(c.to_pylist() for c in batch.columns)):
+            if head == last:
+                out[-1:] = [out[-1] + ","] if out else [","]
+            else:
+                out += ["]}"] if last is not None else []
+                out += [head] if last is not None or not edges[part][0] else [","]
+            out.append(item)
+            last, last_range = head, part
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+    if last is not None and not edges[last_range][1]:
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"], pa.string())], names=["value"])
+
+
+def write_documents(df: DataFrame, path: str, key: str, *order: str, name: str = "items") -> None:
+    """One JSON document a key, {"key": ..., "items": [rows in order]}, each row on a line, with its key; files in order of their names are a stream of documents.
+
+    Rows are dealt out by range of key and order, so a key of any size passes from one file into the
+    next and no task gathers one. The driver sees the first and last key of each range alone. A null
+    key is a document of its own; rows alike in key and order stand in any order, in one range.
+    Empty table: no documents.
+    """
+    ship(__name__)
+    opening = F.to_json(F.struct(F.col(f"`{key}`").alias(key)), {"ignoreNullFields": "false"})
+    head = F.concat(F.left(opening, F.length(opening) - 1), F.lit(f",{json.dumps(name)}:["))
+    place = [F.col(f"`{c}`") for c in (key, *order)]
+    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    # stored, since a second run might cut the ranges elsewhere
+    rows = checkpointed(df.repartitionByRange(*place).sortWithinPartitions(*place).select(F.spark_partition_id().alias("range"), head.alias("head"), item.alias("item"), F.monotonically_increasing_id().alias("at")))
+    ends = rows.groupBy("range").agg(F.min_by("head", "at").alias("first"), F.max_by("head", "at").alias("last")).orderBy("range").collect()
+    firsts, lasts = [e["first"] for e in ends], [e["last"] for e in ends]
+    edges = {e["range"]: (k > 0 and lasts[k - 1] == e["first"], k + 1 < len(ends) and firsts[k + 1] == e["last"]) for k, e in enumerate(ends)}
+    rows.select("range", "head", "item").mapInArrow(lambda batches: glue_documents(batches, edges), "value string").write.mode("overwrite").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of write_documents(), by `schema`, with _at, in whose order they were written."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_at"))
+    rows = lines.filter(F.col("value").rlike(r"^\{.*\},?$"))
+    return rows.select(F.from_json(F.rtrim("value", F.lit(",")), schema).alias("r"), "_at").select("r.*", "_at")
+
+
 def append_records(df: DataFrame, path: str, saved_at: str = "saved_at") -> None:
     """Adds records to a store, stamped with the time."""
     (df if saved_at in df.columns else df.withColumn(saved_at, F.current_timestamp())).write.mode("append").parquet(path)
