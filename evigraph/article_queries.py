@@ -9,13 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph import lexicons as L
 from evigraph.checkpoint import checkpoint_folder, checkpointed
 from evigraph.functions import text as T
 from evigraph.plans import literature
+from evigraph.sources import tables as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,6 +191,18 @@ def complete_result(spark, sf):
     return rows.select("compound", "pmid", "gene", "kind", "confidence", F.size("study.mesh_terms").alias("headings"), F.size("study.keywords").alias("keywords"), F.array_join("study.doses", ",").alias("doses"), F.array_join("study.times", ",").alias("times"))
 
 
+@query(articles_sql() + """ SELECT compound, gene, disease, pmid, kind, effect, confidence, (row_number() OVER (PARTITION BY compound ORDER BY section, confidence DESC, gene, pmid, disease))::INTEGER AS place FROM
+          (SELECT compound, 1 AS section, gene, NULL AS disease, pmid, kind, NULL AS effect, confidence FROM v UNION ALL SELECT compound, 2, gene, disease, NULL, NULL, effect, path_confidence FROM ef)""")
+def compound_documents(spark, sf):
+    """The document of each compound, as the plan writes it, read back in its order: interactions and then effects, the surest first."""
+    out = f"{checkpoint_folder(spark)}/articles-{uuid.uuid4().hex}"
+    literature.write_results(*result(spark, sf), papers(spark, sf), out)
+    schema = "compound string, gene string, disease string, pmid string, interaction struct<kind: string, confidence: double>, effect struct<effect: string, path_confidence: double>"
+    rows = IO.read_documents(spark, f"{out}/documents", schema)
+    place = F.row_number().over(Window.partitionBy("compound").orderBy("_at"))
+    return rows.select("compound", "gene", "disease", "pmid", "interaction.kind", "effect.effect", F.coalesce("interaction.confidence", "effect.path_confidence").alias("confidence"), place.alias("place"))
+
+
 @query(articles_sql() + rf""" SELECT compound, gene, effect, path_confidence AS confidence, coalesce(studies, '') AS studies, snippets FROM ef JOIN
           (SELECT compound, gene, disease, string_agg(pm || CASE WHEN coalesce(context, '') = '' THEN '' ELSE ': ' || context END, ' || ' ORDER BY place) AS snippets, array_to_string(list_sort(list_distinct(list(study))), ' ; ') AS studies FROM
             (SELECT e.compound, e.gene, e.disease, place, pm, CASE WHEN length(context) > 160 THEN context[1:160] || '...' ELSE context END AS context,

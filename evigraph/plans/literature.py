@@ -256,14 +256,28 @@ def ranked(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.orderBy(F.desc("confidence"), "compound", "pmid", "gene"), links.orderBy(F.desc("evidence_count"), F.desc(decided), "gene", "disease")
 
 
+#: Columns by which documents of compounds and their items are written.
+DOCUMENT_ORDER = ("compound", "section", "doubt", "gene", "pmid", "disease")
+
+
+def by_compound(found: DataFrame, effects: DataFrame) -> DataFrame:
+    """DOCUMENT_ORDER and interaction or effect: a compound's interactions (section 1), then its effects (section 2), the surest first."""
+    def part(rows: DataFrame, section: int, sure: str, name: str) -> DataFrame:
+        ids = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("gene", "pmid", "disease")]
+        return rows.select("compound", F.lit(section).alias("section"), (1 - F.col(sure)).alias("doubt"), *ids, F.struct(*[c for c in rows.columns if c != "compound"]).alias(name))
+
+    return part(found, 1, "confidence", "interaction").unionByName(part(effects, 2, "path_confidence", "effect"), allowMissingColumns=True)
+
+
 def write_results(found: DataFrame, links: DataFrame, effects: DataFrame, papers: DataFrame, out: str) -> None:
-    """The complete result: interactions with their studies, links and effects as JSON, an object a line, and the evidence as CSV.
+    """The complete result: interactions with their studies, links and effects as JSON, an object a line, a JSON document of each compound, and the evidence as CSV.
 
-    All in the order of reports. Lines are nested, but no object gathers a whole compound.
+    All in the order of reports.
     """
     with_study = found.join(nested_context(papers), "pmid", "left")
     first, second = ranked(with_study, links)
     first.write.mode("overwrite").json(f"{out}/interactions")
     second.write.mode("overwrite").json(f"{out}/links")
     effects.orderBy(F.desc("path_confidence"), "compound", "gene", "disease").write.mode("overwrite").json(f"{out}/effects")
+    IO.write_documents(by_compound(with_study, effects), f"{out}/documents", *DOCUMENT_ORDER)
     IO.write_sorted_csv(evidence_rows(found, effects, papers), f"{out}/evidence_csv", F.desc("Confidence"), *[F.col(f"`{c}`") for c in EVIDENCE_COLUMNS[:4]])
