@@ -172,7 +172,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     # bounded in bytes, and enough cells for all cores
     cell = min(max(1, CELL // width), max(BLOCK, math.ceil(n["n"] / spark.sparkContext.defaultParallelism)))
     cells, groups = max(1, math.ceil(n["n"] / cell)), max(1, math.ceil(n["q"] / max(1, GROUP // width)))
-    in_cell = F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell")
+    # by id and vector, so that an id with very many vectors fills no cell alone
+    in_cell = F.pmod(F.xxhash64("id", "v"), F.lit(cells)).alias("cell")
     in_group = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).alias("group")
     size = F.size("v").alias("width")
     queries = rows.filter(is_query(F.col("id"))).select("id", "v", size, in_group)
