@@ -154,21 +154,28 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, longest: int = 1 << 17, landmarks: int = 64, ridge: float = 1e-4, loss: float | None = None) -> Classifier:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 300, longest: int = 1 << 17, languages: int = 256, characters: int = 1 << 27, landmarks: int = 64, ridge: float = 1e-4, loss: float | None = None) -> Classifier:
     """A classifier from at most per_language texts of each language, of at most `longest` characters, those with the least hash of the id.
 
-    These whole texts are gathered on the driver; both bounds hold for any size of docs. Rows with a null language, or a null text or one without a letter, and held-out rows teach
-    nothing. A language's rows are thinned by hash to about four times the number wanted before they
-    are ranked, so that a large language is not one task's work. With loss, texts that are not sure
-    to be in a language of the sample become "und", at the cost of about that share of those that are.
+    The `languages` with most texts are learned, ties by name, and a language's texts end once they
+    have its even share of `characters`, so that at most that many, and `longest` for each language,
+    are gathered on the driver, for any size of docs and any number of values of lang_col. Rows with
+    a null language, or a null text or one without a letter, and held-out rows teach nothing. A
+    language's rows are thinned by hash to about four times the number wanted before they are
+    ranked, so that a large language is not one task's work. With loss, texts that are not sure to
+    be in a language of the sample become "und", at the cost of about that share of those that are.
     """
     named = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) <= longest))
     counts = named.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     rows = named.filter(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(8), F.col(id_col), F.col(text_col)).alias("h"))
-    counts = small(checkpointed(counts))
+    counts = checkpointed(counts.orderBy(F.desc("n"), "lang").limit(languages))
+    share = max(1, characters // max(1, counts.count()))
+    counts = F.broadcast(counts)
     near = F.shiftrightunsigned("h", 32).cast("double") * F.col("n") <= 4.0 * (1 << 32) * per_language
-    picked = rows.select("lang", "h").join(counts, "lang").filter(near).select("lang", "h").distinct()
-    picked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h"))).filter(F.col("r") <= per_language)
+    picked = rows.select("lang", "h", F.length("text").alias("chars")).join(counts, "lang").filter(near).select("lang", "h", "chars").distinct()
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h")
+    before = F.coalesce(F.sum("chars").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = picked.withColumn("r", F.row_number().over(first)).withColumn("before", before).filter((F.col("r") <= per_language) & (F.col("before") < share))
     picked = small(checkpointed(picked.select("lang", "h")))
     got: pd.DataFrame = rows.join(picked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).toPandas().sort_values(["lang", "h"])
     sample = got["text"].tolist(), got["lang"].tolist()
