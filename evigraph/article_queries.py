@@ -44,7 +44,7 @@ MIN_CONFIDENCE = 0.2
 
 
 def papers(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = IO.spread(spark.read.parquet(f"{sf}/documents.parquet"))
     known = F.create_map(*[F.lit(x) for kv in STANDS_FOR.items() for x in kv])
     words = F.transform(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", ""), " "), lambda w: F.coalesce(known[w], w))
     headings = F.array().cast("array<string>")

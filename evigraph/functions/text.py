@@ -9,6 +9,10 @@ from evigraph import lexicons as L
 
 #: Spans of letters and digits that hyphens may link.
 LINKED = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+#: Those of LINKED that begin with a capital.
+CAPITAL_LINKED = r"(?=[A-Z])(?<![A-Za-z0-9])(?<![A-Za-z0-9]-)" + LINKED
+#: What strip() takes away.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body) -> Column:
@@ -17,8 +21,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without ASCII white space of any kind at either end."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_key(c: Column) -> Column:
@@ -182,8 +186,12 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
 
 def polarity(text: Column, positive: str | None = None, negative: str | None = None) -> Column:
     """positive, negative or neutral: one of the first two kinds of cue without the other; else neutral."""
-    pos, neg = text.rlike(positive or L.cue("positive")), text.rlike(negative or L.cue("negative"))
-    return F.when(pos & ~neg, "positive").when(neg & ~pos, "negative").otherwise("neutral")
+    return one_sided(text.rlike(positive or L.cue("positive")), text.rlike(negative or L.cue("negative")))
+
+
+def one_sided(positive: Column, negative: Column) -> Column:
+    """positive or negative if one flag is set without the other; else neutral."""
+    return F.when(positive & ~negative, "positive").when(negative & ~positive, "negative").otherwise("neutral")
 
 
 def species_label(gene: Column, species: Column, known: Column) -> Column:

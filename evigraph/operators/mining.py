@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.checkpoint import checkpointed
 from evigraph.columns import own_names
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
@@ -132,9 +133,10 @@ def links(pairs: DataFrame, doc: str, left: str, right: str, polarity: str = "po
 
     pairs: a row for each sentence that names both. Sentences are summed by document first, and of a
     pair's documents each task keeps three, so that a pair in a third of all documents gathers nowhere.
+    The sums by document are stored, so that pairs are worked out once.
     """
     votes = [F.count_if(F.col(polarity) == x).alias(f"n_{x}") for x in ("positive", "negative")]
-    by_doc = pairs.groupBy(left, right, F.col(doc).alias("doc")).agg(*votes)
+    by_doc = checkpointed(pairs.groupBy(left, right, F.col(doc).alias("doc")).agg(*votes))
     g = by_doc.groupBy(left, right).agg(F.count("doc").alias("evidence_count"), F.sum("n_positive").alias("n_positive"), F.sum("n_negative").alias("n_negative"))
     named = by_doc.select(left, right, F.col("doc").cast("string").alias("doc")).filter(F.col("doc").isNotNull())
     docs = top_k(named, [left, right], [F.col("doc")], 3).groupBy(left, right).agg(F.array_sort(F.collect_list("doc")).alias("docs"))

@@ -15,6 +15,7 @@ from evigraph.checkpoint import checkpointed
 from evigraph.functions import scoring as S
 from evigraph.functions import text as T
 from evigraph.operators import matching, mining, paths, phrases, relational, stats, weighted
+from evigraph.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -408,19 +409,25 @@ def compound_graph(spark, sf):
 
 # ---- texts ----
 
-#: Words that stand for cues in the invented language of the documents.
-UP_CUE, DOWN_CUE, BIND_CUE, NEUTRAL_CUE = (rf"(^|[^A-Za-z0-9_]){w}" for w in ("[Tt]hat[a-z]*", "[Ww]ith([^A-Za-z0-9_]|$)", "[Tt]his[a-z]+", "[Ff]rom([^A-Za-z0-9_]|$)"))
-DIRECT_CUE = r"(^|[^A-Za-z0-9_])[Ww]as([^A-Za-z0-9_]|$)"
-CUE_PATTERNS = {"up": UP_CUE, "down": DOWN_CUE, "bind": BIND_CUE, "neutral": NEUTRAL_CUE, "direct": DIRECT_CUE}
+#: Words, or beginnings of words, that stand for cues in the invented language of the documents.
+CUE_WORDS = {"up": "[Tt]hat", "down": "[Ww]ith", "bind": "[Tt]his[a-z]", "neutral": "[Ff]rom", "direct": "[Ww]as"}
+BEGINNINGS = ("up", "bind")
+#: Spark looks around a word, which takes a tenth of the time of matching its neighbours; SQL's patterns cannot.
+CUE_PATTERNS = {n: rf"(?<![A-Za-z0-9_]){w}" + ("" if n in BEGINNINGS else r"(?![A-Za-z0-9_])") for n, w in CUE_WORDS.items()}
+SQL_PATTERNS = {n: rf"(^|[^A-Za-z0-9_]){w}" + ("" if n in BEGINNINGS else r"([^A-Za-z0-9_]|$)") for n, w in CUE_WORDS.items()}
 LEXICON = ("THE", "OF", "AND", "DE", "ER", "EN", "IN", "LA", "CI", "TO", "WAS")
 
 SENT_SQL = r"""WITH s0 AS (SELECT doc_id, list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '([.?!])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: length(x) > 2) AS ss FROM documents),
           s AS (SELECT doc_id, (i - 1)::INTEGER AS idx, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s0))"""
-CUE_SQL = SENT_SQL + ", c AS (SELECT doc_id, idx, sentence, " + ", ".join(f"regexp_matches(sentence, '{p}') AS \"{n}\"" for n, p in CUE_PATTERNS.items()) + " FROM s)"
+CUE_SQL = SENT_SQL + ", c AS (SELECT doc_id, idx, sentence, " + ", ".join(f"regexp_matches(sentence, '{p}') AS \"{n}\"" for n, p in SQL_PATTERNS.items()) + " FROM s)"
+
+
+def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return mining.split_sentences(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return mining.split_sentences(doc_texts(spark, sf), "doc_id", F.col("text"))
 
 
 def cue_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,7 +447,7 @@ TERM_SQL = """, k AS (SELECT DISTINCT doc_id, idx, upper(token) AS term FROM (SE
 def term_hits(sentences: DataFrame, *others: str) -> DataFrame:
     """(doc_id, idx, others, term): lexicon terms that begin with a capital; others are columns of the sentence."""
     lexicon = sentences.sparkSession.createDataFrame([(x, x) for x in LEXICON], "form string, term string")
-    tokens = F.filter(F.array_distinct(F.regexp_extract_all("sentence", F.lit(T.LINKED), F.lit(0))), lambda t: t.rlike("^[A-Z]"))
+    tokens = F.regexp_extract_all("sentence", F.lit(T.CAPITAL_LINKED), F.lit(0))
     keys = ["doc_id", "idx", *others]
     # a sentence is one row, so its terms are told apart within it; the lexicon has none with a hyphen
     forms = F.array_distinct(F.transform(tokens, lambda t: F.replace(F.upper(t), F.lit("-"), F.lit(""))))
@@ -486,7 +493,7 @@ def dictionary_support(spark, sf):
 @query(CUE_SQL + """ SELECT doc_id, idx, up, down, bind, neutral, direct, CASE WHEN up AND NOT down THEN 'positive' WHEN down AND NOT up THEN 'negative' ELSE 'neutral' END AS polarity FROM c""")
 def cue_flags(spark, sf):
     """Cue families and polarity of each sentence."""
-    pol = T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE)
+    pol = T.polarity(F.col("sentence"), CUE_PATTERNS["up"], CUE_PATTERNS["down"])
     return cue_sentences(spark, sf).withColumn("polarity", pol).drop("sentence")
 
 
@@ -508,10 +515,16 @@ VOTE_SQL = CUE_SQL + TERM_SQL + """, w AS (SELECT *, min(CASE WHEN neutral THEN
           votes AS (SELECT doc_id, term, kind, score, direct_hits::BIGINT AS direct_hits, strength, CASE strength WHEN 'strong' THEN least(1.0, score / 4) WHEN 'moderate' THEN least(1.0, score / 3) ELSE 0.4 END AS confidence FROM b)"""
 
 
+def banded(spark: SparkSession, sf: str) -> DataFrame:
+    return mining.banded_sentences(doc_texts(spark, sf), "doc_id", F.col("text"), CUE_PATTERNS["neutral"], CUE_PATTERNS["direct"], 1)
+
+
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    s = mining.banded_sentences(table(spark, sf, "documents"), "doc_id", F.col("text"), NEUTRAL_CUE, DIRECT_CUE, 1).filter("near is not null")
-    s = mining.flag_cues(s, {n: CUE_PATTERNS[n] for n in ("up", "down", "bind")})
-    hits = term_hits(s, "near", "direct_near", "up", "down", "bind")
+    s = mining.flag_cues(banded(spark, sf).filter("near is not null"), {n: CUE_PATTERNS[n] for n in ("up", "down", "bind")})
+    return term_votes(term_hits(s, "near", "direct_near", "up", "down", "bind"))
+
+
+def term_votes(hits: DataFrame) -> DataFrame:
     return mining.vote(hits, ["doc_id", "term"], cues={"upregulation": "up", "downregulation": "down", "binding": "bind"})
 
 
@@ -522,6 +535,8 @@ def cue_votes(spark, sf):
 
 
 STOP = ("ning", "thing", "inging")
+#: Words of at least four letters that end in -tion or -ing.
+SUFFIXED = r"(?<![A-Za-z])[A-Za-z]*(?:[Tt][Ii][Oo][Nn]|[A-Za-z][Ii][Nn][Gg])(?![A-Za-z])"
 SUFFIX_SQL = SENT_SQL + r""", tok AS (SELECT doc_id, idx, unnest(regexp_extract_all(sentence, '[A-Za-z]{4,}')) AS token FROM s),
           m0 AS (SELECT doc_id, idx, lower(token) AS mention, 0 AS prio, 'term' AS source FROM tok WHERE lower(token) IN ('that', 'nation', 'with') UNION ALL
                  SELECT doc_id, idx, lower(token), 1, 'suffix' FROM tok WHERE regexp_matches(lower(token), '(tion|ing)$')),
@@ -553,13 +568,21 @@ CO_SQL = CUE_SQL + TERM_SQL + r""", pol AS (SELECT doc_id, idx, CASE WHEN up AND
                         CASE WHEN n_positive > n_negative THEN 'risk_factor' WHEN n_negative > n_positive THEN 'protective' ELSE 'associated' END AS relationship FROM co0)"""
 
 
+def suffixed(sentence: str) -> Column:
+    """Distinct mentions by suffix in a sentence."""
+    words = F.transform(F.regexp_extract_all(sentence, F.lit(SUFFIXED), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP)))
+
+
 def relations(spark: SparkSession, sf: str) -> DataFrame:
-    s = doc_sentences(spark, sf)
-    words = F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower))
-    s = s.select("doc_id", "idx", "sentence", F.filter(words, lambda w: w.rlike("(tion|ing)$") & ~w.isin(*STOP)).alias("mentions")).filter(F.size("mentions") > 0)
-    s = s.withColumn("polarity", T.polarity(F.col("sentence"), UP_CUE, DOWN_CUE))
-    pairs = term_hits(s, "polarity", "mentions").select("doc_id", "term", "polarity", F.explode("mentions").alias("mention"))
-    return mining.links(pairs, "doc_id", "term", "mention")
+    s = mining.flag_cues(doc_sentences(spark, sf), {n: CUE_PATTERNS[n] for n in ("up", "down")})
+    return term_links(term_hits(s.withColumn("mentions", suffixed("sentence")), "up", "down", "mentions"))
+
+
+def term_links(hits: DataFrame) -> DataFrame:
+    # an outer explode, since an inner one would look for mentions once more beforehand, to drop rows without
+    pairs = hits.select("doc_id", "term", T.one_sided(F.col("up"), F.col("down")).alias("polarity"), F.explode_outer("mentions").alias("mention"))
+    return mining.links(pairs.filter("mention IS NOT NULL"), "doc_id", "term", "mention")
 
 
 @query(CO_SQL + " SELECT * FROM co")
@@ -578,7 +601,10 @@ COMPOSE_SQL = VOTE_SQL + CO_SQL[len(CUE_SQL + TERM_SQL) :] + """, mk AS (SELECT
           round(CASE WHEN effect IN ('context_specific', 'association_only') THEN round((conf + least(1.0, evidence_count / 5)) / 2, 3) * 0.8 ELSE (conf + least(1.0, evidence_count / 5)) / 2 END, 2) AS confidence FROM fx""")
 def compose_effects(spark, sf):
     """Effects composed of the main interaction of a term and its links to mentions."""
-    rows = mining.compose(votes(spark, sf), relations(spark, sf), ["term"], "term", "mention")
+    s = mining.flag_cues(banded(spark, sf), {n: CUE_PATTERNS[n] for n in ("up", "down", "bind")}).withColumn("mentions", suffixed("sentence"))
+    # what votes and links are made of is worked out once, and stored without the texts
+    hits = checkpointed(term_hits(s, "near", "direct_near", "up", "down", "bind", "mentions"))
+    rows = mining.compose(term_votes(hits), term_links(hits), ["term"], "term", "mention")
     return rows.select("term", "mention", "main", "relationship", "effect", "rule", F.round("path_confidence", 2).alias("confidence"))
 
 

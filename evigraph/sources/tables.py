@@ -20,6 +20,12 @@ from evigraph.workers import ship
 CORRUPT = "_corrupt"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores if it comes in fewer parts than these; one of more parts stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 @dataclass(frozen=True)
 class Spec:
     """What a table must look like: wanted columns, other names for them, types, defaults, keys that may not be null."""
