@@ -165,3 +165,23 @@ def test_votes_break_ties_by_first_vote(spark):
     hits = spark.createDataFrame(rows, "d int, g string, idx int, near int, up boolean, down boolean, x boolean, direct_near boolean")
     r = mining.vote(hits, ["d", "g"], cues={"upregulation": "up", "downregulation": "down"}).first()
     assert (r.kind, r.score, r.strength, r.confidence) == ("upregulation", pytest.approx(1.8), "moderate", 0.6)
+
+
+def test_capital_tokens(spark):
+    """Those of the linked tokens that begin with a capital, found without the others."""
+    texts = ["The Il-6 and il-IL6 x-Y-Z", "A-b -C c-D 9A A9--B", "(TNF), tNF", "", None, "é-Cé ZéZ"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    every = F.regexp_extract_all("t", F.lit(T.LINKED), F.lit(0))
+    want = F.filter(every, lambda x: x.rlike("^[A-Z]"))
+    for row in df.select(F.regexp_extract_all("t", F.lit(T.CAPITAL_LINKED), F.lit(0)).alias("got"), want.alias("want")).collect():
+        assert row.got == row.want
+
+
+def test_strip_takes_all_white_space(spark):
+    df = spark.createDataFrame([(" \t\n\x0b\x0c\r a b \r\n",), ("",), (" \n",), (None,), (" x",)], "t string")
+    assert [r[0] for r in df.select(T.strip(F.col("t"))).collect()] == ["a b", "", "", None, " x"]
+
+
+def test_one_sided(spark):
+    df = spark.createDataFrame([(True, False), (False, True), (True, True), (False, False), (None, True)], "p boolean, n boolean")
+    assert [r[0] for r in df.select(T.one_sided(F.col("p"), F.col("n"))).collect()] == ["positive", "negative", "neutral", "neutral", "neutral"]

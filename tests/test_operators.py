@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evigraph.columns import own_names
 from evigraph.operators import mining, relational, stats
 from evigraph.plans import literature
+from evigraph.sources import tables
 
 
 def test_names_clash_with_nothing():
@@ -82,3 +83,14 @@ def test_lists_of_studies_are_capped(spark):
     papers = spark.createDataFrame(rows, "pmid string, title string, abstract string, mesh_terms array<string>, publication_types array<string>, keywords array<string>, species_tags array<string>")
     s = literature.nested_context(papers).first().study
     assert s.mesh_terms == [f"h{i}" for i in range(15)] and s.keywords == [f"k{i}" for i in range(12)] and s.doses == ["5 mg"] and s.times == ["2 weeks"]
+
+
+def test_spread(spark, tmp_path):
+    """A table in few parts is dealt out over all cores, one in more parts stays as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    assert tables.spread(few).rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in tables.spread(few).collect()) == list(range(100))
+    many = spark.range(100, numPartitions=cores + 3)
+    assert tables.spread(many) is many
