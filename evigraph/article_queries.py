@@ -46,7 +46,7 @@ MIN_CONFIDENCE = 0.2
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     d = IO.spread(spark.read.parquet(f"{sf}/documents.parquet"))
     known = F.create_map(*[F.lit(x) for kv in STANDS_FOR.items() for x in kv])
-    words = F.transform(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", ""), " "), lambda w: F.coalesce(known[w], w))
+    words = F.transform(F.split(F.regexp_replace("text", r"[^\x00-\x7F]", ""), " "), lambda w: F.when(w.isin(*STANDS_FOR), known[w]).otherwise(w))
     headings = F.array().cast("array<string>")
     for lang, names in HEADINGS.items():
         headings = F.when(F.col("lang") == lang, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(headings)
@@ -61,9 +61,13 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     return checkpointed(rows.withColumn("keywords", F.when(F.col("title").rlike(r"[02468]\.$"), F.col("keywords")).otherwise(F.slice("keywords", 2, 14))).withColumn("primary_species", T.primary_species(tags)).withColumn("species_tags", tags))
 
 
-def result(spark: SparkSession, sf: str, human_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    aliases = spark.createDataFrame(list(ALIASES.items()), "form string, symbol string")
-    return literature.analyze(papers(spark, sf), L.compound_lexicon(spark, COMPOUNDS), aliases, window=1, min_evidence=2, min_confidence=MIN_CONFIDENCE, human_only=human_only)
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ALIASES.items()), "form string, symbol string")
+
+
+def result(spark: SparkSession, p: DataFrame, **given) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The analysis of papers()."""
+    return literature.analyze(p, L.compound_lexicon(spark, COMPOUNDS), aliases(spark), window=1, min_evidence=2, min_confidence=MIN_CONFIDENCE, **given)
 
 
 def flag(name: str) -> str:
@@ -138,7 +142,7 @@ def articles_sql(human_only: bool = False) -> str:
 @query(articles_sql(human_only=True) + " SELECT compound, pmid, gene, kind, round(score, 6) AS score, direct_hits, strength, confidence, md5(context) AS context FROM v JOIN cx USING (compound, pmid, gene)")
 def article_interactions(spark, sf):
     """Interactions in articles about humans that are sure enough, genes by aliases, a sentence's neighbours counted in."""
-    found = result(spark, sf, human_only=True)[0]
+    found = result(spark, papers(spark, sf), human_only=True)[0]
     return found.select("compound", "pmid", "gene", "kind", F.round("score", 6).alias("score"), "direct_hits", "strength", "confidence", F.md5("context").alias("context"))
 
 
@@ -146,7 +150,7 @@ def article_interactions(spark, sf):
           FROM (SELECT *, (row_number() OVER (ORDER BY evidence_count DESC, CASE WHEN direction = 'neutral' THEN 1 ELSE 2 END DESC, gene, disease))::INTEGER AS place FROM lk) WHERE place <= 40""")
 def article_links(spark, sf):
     """The first forty links of genes and diseases, in the order of reports."""
-    links = literature.ranked(*result(spark, sf)[:2])[1].limit(40)
+    links = literature.ranked(*result(spark, papers(spark, sf))[:2])[1].limit(40)
     kept = links.select(F.collect_list(F.struct("gene", "disease", "evidence_count", F.array_join("docs", ",").alias("docs"), "direction", "relationship", "species")).alias("rows"))
     return kept.select(F.posexplode("rows").alias("place", "r")).select((F.col("place") + 1).alias("place"), "r.*")
 
@@ -154,13 +158,13 @@ def article_links(spark, sf):
 @query(articles_sql() + " SELECT compound, gene, disease, main, relationship, effect, rule, path_confidence FROM ef")
 def article_effects(spark, sf):
     """Effects of compounds on diseases, by rules that mind species and conflicts."""
-    return result(spark, sf)[2].select("compound", "gene", "disease", "main", "relationship", "effect", "rule", "path_confidence")
+    return result(spark, papers(spark, sf))[2].select("compound", "gene", "disease", "main", "relationship", "effect", "rule", "path_confidence")
 
 
 @query(articles_sql() + " SELECT compound, gene, disease, effect, path_confidence FROM ef ORDER BY path_confidence DESC, compound, gene, disease LIMIT 12")
 def top_findings(spark, sf):
     """The twelve surest effects."""
-    return literature.top_findings(result(spark, sf)[2]).select("compound", "gene", "disease", "effect", "path_confidence")
+    return literature.top_findings(result(spark, papers(spark, sf))[2]).select("compound", "gene", "disease", "effect", "path_confidence")
 
 
 @query(articles_sql() + f""" SELECT (SELECT count(*) FROM v) AS interactions, (SELECT count(*) FROM v WHERE strength = 'strong') AS strong, (SELECT count(DISTINCT gene) FROM v) AS genes, (SELECT count(*) FROM ef) AS effects, (SELECT count(DISTINCT disease) FROM ef) AS diseases,
@@ -170,9 +174,9 @@ def top_findings(spark, sf):
 def article_stats(spark, sf):
     """Totals and counters of a result, of what the filter by confidence dropped among them."""
     p = papers(spark, sf)
-    found, _, effects = result(spark, sf)
-    aliases = spark.createDataFrame(list(ALIASES.items()), "form string, symbol string")
-    before = literature.interactions(p, L.compound_lexicon(spark, COMPOUNDS), aliases, 1)
+    sentences = checkpointed(literature.article_sentences(p))
+    before = checkpointed(literature.interactions(p, L.compound_lexicon(spark, COMPOUNDS), aliases(spark), 1, sentences=sentences))
+    found, _, effects = result(spark, p, sentences=sentences, before=before)
     one = literature.result_stats(found, effects, p, before)
     text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",")
     return one.select("interactions", "strong", "genes", "effects", "diseases", "filtered_out", text("by_kind").alias("kinds"), text("by_species").alias("species"), text("alerts").alias("alerts"))
@@ -185,7 +189,8 @@ DOSES_SQL, TIMES_SQL = (f"array_to_string(list_sort(list_distinct([trim(x) FOR x
 def complete_result(spark, sf):
     """The complete result written as JSON with an object for each interaction and its study, read back; lists in it end after 15 headings and 12 keywords."""
     out = f"{checkpoint_folder(spark)}/articles-{uuid.uuid4().hex}"
-    literature.write_results(*result(spark, sf), papers(spark, sf), out)
+    p = papers(spark, sf)
+    literature.write_results(*result(spark, p), p, out)
     study = "struct<mesh_terms: array<string>, keywords: array<string>, doses: array<string>, times: array<string>>"
     rows = spark.read.schema(f"compound string, pmid string, gene string, kind string, confidence double, study {study}").json(f"{out}/interactions")
     return rows.select("compound", "pmid", "gene", "kind", "confidence", F.size("study.mesh_terms").alias("headings"), F.size("study.keywords").alias("keywords"), F.array_join("study.doses", ",").alias("doses"), F.array_join("study.times", ",").alias("times"))
@@ -196,7 +201,8 @@ def complete_result(spark, sf):
 def compound_documents(spark, sf):
     """The document of each compound, as the plan writes it, read back in its order: interactions and then effects, the surest first."""
     out = f"{checkpoint_folder(spark)}/articles-{uuid.uuid4().hex}"
-    literature.write_results(*result(spark, sf), papers(spark, sf), out)
+    p = papers(spark, sf)
+    literature.write_results(*result(spark, p), p, out)
     schema = "compound string, gene string, disease string, pmid string, interaction struct<kind: string, confidence: double>, effect struct<effect: string, path_confidence: double>"
     rows = IO.read_documents(spark, f"{out}/documents", schema)
     place = F.row_number().over(Window.partitionBy("compound").orderBy("_at"))
@@ -210,5 +216,7 @@ def compound_documents(spark, sf):
              FROM (SELECT compound, gene, disease, unnest(docs) AS pm, unnest(range(len(docs))) AS place FROM ef) e LEFT JOIN (SELECT v.compound, v.gene, v.pmid, context FROM v JOIN cx USING (compound, pmid, gene)) c ON c.compound = e.compound AND c.gene = e.gene AND c.pmid = pm JOIN d ON d.pmid = pm) GROUP BY ALL) USING (compound, gene, disease)""")
 def article_evidence(spark, sf):
     """The evidence of each effect: the studies that link gene and disease, alerts of caffeine's among them, and snippets."""
-    rows = literature.evidence_rows(*[result(spark, sf)[i] for i in (0, 2)], papers(spark, sf))
+    p = papers(spark, sf)
+    found, _, effects = result(spark, p)
+    rows = literature.evidence_rows(found, effects, p)
     return rows.select(F.col("Compound").alias("compound"), F.split(F.col("Gene (species)"), " ")[0].alias("gene"), F.col("Drug->Disease (predicted)").alias("effect"), F.col("Confidence").alias("confidence"), F.col("Study context").alias("studies"), F.col("Evidence snippets").alias("snippets"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +123,43 @@ def word_phrases(text: Column, longest: int = 4) -> Column:
     return let(phrase_words(text), lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(phrases(w))))
 
 
+def names_in(text: Column, names: Column, name=lambda x: x, longest: int = 4) -> Column:
+    """Those of an array of names, in lower case with single blanks, that are among the linked_spans() of a text or, with `longest`, its word_phrases(text, longest).
+
+    name: an entry of the array to its text. The text is told apart once, and no phrase of it is made:
+    a span lies between signs that are no letters or digits, a phrase between words.
+    """
+    low = F.lower(text)
+    blank = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9-]", " "), F.lit(" "))
+    words = F.concat(F.lit(" "), F.array_join(phrase_words(text), " "), F.lit(" "))
+
+    def held(told: Column):
+        def holds(x: Column) -> Column:
+            n = name(x)
+            # beside a span, a hyphen is a border too
+            beside = [F.contains(told["blank"], F.concat(F.lit(a), n, F.lit(b))) for a in " -" for b in " -"]
+            span = (beside[0] | beside[1] | beside[2] | beside[3]) & n.rlike(rf"^{LINKED}\z")
+            return span | (F.contains(told["words"], F.concat(F.lit(" "), n, F.lit(" "))) & (F.size(F.split(n, " ")) <= longest)) if longest else span
+
+        return F.filter(names, holds)
+
+    return let(F.struct(blank.alias("blank"), *([words.alias("words")] if longest else [])), held)
+
+
+def word_parts(text: Column, wanted: Sequence[str]) -> Column:
+    """Those of some lower-case names of one or two words that are among the word_phrases(text, 2), or their parts at - ' , and :, distinct."""
+    one, two = [w for w in wanted if " " not in w], [w for w in wanted if w.count(" ") == 1]
+    none = F.array().cast("array<string>")
+
+    def found(t: Column) -> Column:
+        single = F.array_intersect(F.split(t, r"[\n ]"), F.array(*map(F.lit, one))) if one else none
+        # a blank parts two words, a line end their parts
+        pairs = [F.when(F.contains(t, F.lit(a + w + b)), w) for w in two for a in " \n" for b in " \n"]
+        return F.array_distinct(F.concat(single, F.array_compact(F.array(*pairs)))) if pairs else single
+
+    return let(F.concat(F.lit(" "), F.translate(F.array_join(phrase_words(text), " "), "-',:", "\n\n\n\n"), F.lit(" ")), found)
+
+
 def phrase_pattern(phrase: Column) -> Column:
     """Pattern that finds a phrase as whole words, case ignored, any white space between its words."""
     escaped = F.regexp_replace(F.lower(strip(phrase)), r"([\\.\[\]{}()*+?^$|/:,-])", r"\\$1")

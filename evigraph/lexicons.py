@@ -132,8 +132,13 @@ def either(words) -> str:
 
 
 def cue(name: str) -> str:
-    """Pattern of a cue family: case ignored, word characters and borders of all scripts."""
-    return "(?iU)" + "|".join(CUES[name])
+    """Pattern of a cue family: case ignored, word characters and borders of all scripts.
+
+    The border that nearly all begin with stands in front of them all, so that it is looked for once a place.
+    """
+    bordered = [p for p in CUES[name] if p.startswith(r"\b") and ("|" not in p or "(" in p)]
+    rest = [p for p in CUES[name] if p not in bordered]
+    return "(?iU)" + "|".join([rf"\b(?:{'|'.join(p[2:] for p in bordered)})", *rest])
 
 
 def daily_values(spark: SparkSession) -> DataFrame:

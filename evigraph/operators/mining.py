@@ -52,9 +52,9 @@ def alias_index(genes: DataFrame, symbol: str, aliases: Sequence[str], order: st
     return forms.groupBy("form").agg(F.min_by("symbol", F.struct(order, "symbol")).alias("symbol"))
 
 
-def band(sentences: DataFrame, doc: str, flag: str, width: int, name: str = "near", prefer_same: bool = False) -> DataFrame:
+def band(sentences: DataFrame, doc: str | Sequence[str], flag: str, width: int, name: str = "near", prefer_same: bool = False) -> DataFrame:
     """The least idx of a flagged sentence within `width` sentences, null for none; the sentence's own first if prefer_same."""
-    w = Window.partitionBy(doc).orderBy("idx").rangeBetween(-width, width)
+    w = Window.partitionBy(*([doc] if isinstance(doc, str) else doc)).orderBy("idx").rangeBetween(-width, width)
     first = F.min(F.when(F.col(flag), F.col("idx"))).over(w)
     return sentences.withColumn(name, F.when(F.col(flag), F.col("idx")).otherwise(first) if prefer_same else first)
 

@@ -8,6 +8,8 @@ is no shuffle of phrases. Lexicons too large for that are joined with all phrase
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ ship(__name__)
 
 #: Marks the end of a phrase in the trie; a word is a text.
 END = None
+#: So many first words of phrases are looked for in the whole text, before its words are told apart.
+FIRST_WORDS = 64
 
 
 def trie(phrases: Iterable[str]) -> dict:
@@ -80,6 +84,10 @@ def phrase_hits(rows: DataFrame, keys: Sequence[str], text: Column, lexicon: Dat
         return spans.join(lexicon, phrase).select(*keys, *lexicon.columns)
     known = [r[0] for r in lexicon.select(phrase).distinct().collect()]
     known = sorted(p for p in known if p and p.count(" ") < longest)
+    firsts = sorted({p.split(" ")[0] for p in known})
+    if len(firsts) <= FIRST_WORDS:
+        # what holds no first word of a phrase needs no worker
+        rows = rows.filter(reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in firsts], F.lit(False)))
     given = rows.select(*keys, F.coalesce(T.phrase_words(text), F.array().cast("array<string>")).alias(words))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != words)
     found = given.mapInArrow(walker(known, words, phrase), f"{schema}, `{phrase}` string")

@@ -32,10 +32,11 @@ def compound_sentences(sentences: DataFrame, compounds: DataFrame, require_inter
 
     longest: words that a synonym has at most.
     """
-    hits = phrases.phrase_hits(sentences.filter(~F.col("enzyme")), ["pmid", "idx", "sentence", "intervention", "coffee"], F.col("sentence"), compounds, "synonym", longest)
-    proxy = (F.col("compound") == "caffeine") & F.col("coffee") & ~F.col("sentence").rlike(r"\bcaffein")
-    hits = hits.filter(~proxy)
-    return (hits.filter("intervention") if require_intervention else hits).select("compound", "pmid", "idx").distinct()
+    rows = sentences.filter(~F.col("enzyme"))
+    rows = rows.filter("intervention") if require_intervention else rows
+    proxy = F.col("coffee") & ~F.col("sentence").rlike(r"\bcaffein")
+    hits = phrases.phrase_hits(rows.withColumn("proxy", proxy), ["pmid", "idx", "proxy"], F.col("sentence"), compounds, "synonym", longest)
+    return hits.filter((F.col("compound") != "caffeine") | ~F.col("proxy")).select("compound", "pmid", "idx").distinct()
 
 
 def gene_mentions(papers: DataFrame, aliases: DataFrame | None) -> DataFrame:
@@ -49,24 +50,33 @@ def gene_mentions(papers: DataFrame, aliases: DataFrame | None) -> DataFrame:
 def interactions(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, require_intervention: bool = True, sentences: DataFrame | None = None) -> DataFrame:
     """compound, pmid, gene, gene_display, kind, score, direct_hits, strength, confidence, context, species: votes of sentences about both. sentences: article_sentences(), stored, if at hand."""
     sentences = checkpointed(article_sentences(papers)) if sentences is None else sentences
-    genes = gene_mentions(papers, aliases)
-    named = sentences.select("pmid", "idx", F.explode(T.word_phrases(F.col("sentence"), 1)).alias("word")).select("pmid", "idx", F.explode(T.linked_spans(F.col("word"))).alias("word"))
-    in_sentence = genes.withColumn("word", F.lower("gene")).join(named, ["pmid", "word"]).select("pmid", "idx", "gene").distinct()
-    in_compound = compound_sentences(sentences, compounds, require_intervention)
+    in_compound = checkpointed(compound_sentences(sentences, compounds, require_intervention))
     pairs = in_compound.select("compound", "pmid").distinct()
-    s = sentences.join(pairs, "pmid").join(in_compound.withColumn("is_compound", F.lit(True)), ["compound", "pmid", "idx"], "left")
-    s = s.withColumn("is_compound", F.coalesce("is_compound", F.lit(False))).withColumn("doc", F.concat_ws("\n", "compound", "pmid"))
-    s = mining.band(s, "doc", "is_compound", window)
+    # an article's few genes, in its own row; its sentences are told apart there, so no word of them is shuffled
+    genes = gene_mentions(papers, aliases).join(pairs, "pmid", "left_semi").groupBy("pmid").agg(F.collect_set("gene").alias("genes"))
+    s = sentences.select("pmid", "idx", "up", "down", "bind", "modulate", "direct", "genetic", "gene_context", "beverage", "sentence").join(genes, "pmid")
     for flag in ("direct", "beverage"):
-        s = mining.any_in_band(s, "doc", flag, window, f"{flag}_near")
-    hits = s.join(in_sentence, ["pmid", "idx"]).filter(F.col("near").isNotNull() & (F.col("gene_context") | F.col("gene").isin(*NO_CONTEXT)))
+        s = mining.any_in_band(s, "pmid", flag, window, f"{flag}_near")
+    told = F.filter("genes", lambda g: (F.col("gene_context") | g.isin(*NO_CONTEXT)) & F.contains("sentence", F.lower(g)))
+    s = s.withColumn("genes", told).filter(F.size("genes") > 0)
+    flags = ("up", "down", "bind", "modulate", "genetic", "direct_near", "beverage_near")
+    s = checkpointed(s.select("pmid", "idx", *flags, F.explode(T.names_in(F.col("sentence"), F.col("genes"), F.lower, longest=0)).alias("gene")))
+    # the band is found on ids alone
+    places = s.select("pmid", "idx").distinct().join(pairs, "pmid").select("compound", "pmid", "idx", F.lit(False).alias("is_compound"))
+    places = places.unionByName(in_compound.withColumn("is_compound", F.lit(True)))
+    places = mining.band(places, ["compound", "pmid"], "is_compound", window).filter(~F.col("is_compound") & F.col("near").isNotNull())
     keys = ["compound", "pmid", "gene"]
+    hits = checkpointed(places.drop("is_compound").join(s, ["pmid", "idx"]))
     ruled_out = hits.filter((F.col("gene") == BEVERAGE_GENE) & F.col("beverage_near")).select(*keys).distinct()
     hits = hits.join(ruled_out, keys, "left_anti")
     cues = {"upregulation": "up", "downregulation": "down", "binding": "bind", "modulation": "modulate"}
     votes = mining.vote(hits, keys, cues=cues, genetic="genetic")
-    near = sentences.select("pmid", F.col("idx").alias("near"), F.col("sentence").alias("near_sentence"))
-    context = mining.contexts(hits.join(near, ["pmid", "near"]), keys, "sentence", "near_sentence")
+    # texts join only what is told of each key
+    first = relational.top_k(hits.select(*keys, "idx", "near"), keys, [F.col("idx")], 3).select(*keys, "idx", "near", F.explode(F.array_distinct(F.array("idx", "near"))).alias("place"))
+    said = first.join(sentences.select("pmid", F.col("idx").alias("place"), "sentence"), ["pmid", "place"])
+    own = F.col("place") == F.col("idx")
+    said = said.groupBy(*keys, "idx", "near").agg(F.max(F.when(own, F.col("sentence"))).alias("sentence"), F.max(F.when(~own, F.col("sentence"))).alias("near_sentence"))
+    context = mining.contexts(said, keys, "sentence", "near_sentence")
     rows = votes.join(context, keys, "left").join(papers.select("pmid", F.col("primary_species").alias("species"), "species_tags"), "pmid")
     return rows.withColumn("gene_display", T.species_label(F.col("gene"), F.col("species"), F.lit(aliases is not None)))
 
@@ -78,11 +88,11 @@ def disease_mentions(papers: DataFrame) -> DataFrame:
     head = papers.select("pmid", F.explode("mesh_detail").alias("m")).select("pmid", T.strip(F.col("m.name")).alias("name"), F.col("m.ui").alias("ui"))
     low = F.lower("name")
     head = head.filter((F.col("name") != "") & (low.rlike(L.either(L.HEADING_TERMS)) | low.rlike("(?U)" + L.DISEASE_SUFFIX))).withColumn("source", F.lit("mesh"))
-    lexicon = spark.createDataFrame([(t,) for t in L.DISEASE_TERMS], "name string")
-    words = papers.select("pmid", F.explode(T.word_phrases(text, 2)).alias("phrase")).select("pmid", F.explode(F.array_union(F.array("phrase"), F.split("phrase", r"[-',:]"))).alias("name")).distinct()
-    terms = relational.lookup_join(words, lexicon, "name", "left_semi").select("pmid", "name", F.lit(None).cast("string").alias("ui"), F.lit("text").alias("source"))
-    tokens = papers.select("pmid", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z\-]{3,}\b"), F.lit(0)))).alias("name"))
-    suffix = tokens.filter(F.lower("name").rlike("(?U)" + L.DISEASE_SUFFIX)).select("pmid", "name", F.lit(None).cast("string").alias("ui"), F.lit("suffix").alias("source"))
+    nothing = F.lit(None).cast("string").alias("ui")
+    terms = papers.select("pmid", F.explode(T.word_parts(text, L.DISEASE_TERMS)).alias("name"), nothing, F.lit("text").alias("source"))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z\-]{3,}\b"), F.lit(0)))
+    named = F.filter(tokens, lambda t: F.lower(t).rlike("(?U)" + L.DISEASE_SUFFIX))
+    suffix = papers.select("pmid", F.explode(named).alias("name"), nothing, F.lit("suffix").alias("source"))
     stop = spark.createDataFrame([(x,) for x in L.NOT_DISEASES], "stop string")
     norm = [d.withColumn("normalized", T.token(F.col("name"))) for d in (head, terms, suffix)]
     rows = relational.priority_union(*norm, keys=["pmid", "normalized"], order=[F.col("name")])
@@ -92,8 +102,8 @@ def disease_mentions(papers: DataFrame) -> DataFrame:
 def gene_disease_links(papers: DataFrame, found: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
     """gene, disease, evidence_count, docs, votes, direction, relationship, species: genes of interactions and diseases in one sentence.
 
-    Only articles with an interaction are looked at, and only what may name a gene or disease of the
-    article leaves a sentence. sentences: article_sentences(), stored, if at hand.
+    Only articles with an interaction are looked at, and only genes and diseases of the article leave
+    a sentence. sentences: article_sentences(), stored, if at hand.
     """
     s = checkpointed(article_sentences(papers)) if sentences is None else sentences
     found = found.select("pmid", "gene").distinct()
@@ -101,11 +111,10 @@ def gene_disease_links(papers: DataFrame, found: DataFrame, sentences: DataFrame
     named = named.unionByName(disease_mentions(papers.join(found, "pmid", "left_semi")).select("pmid", T.normalize_key(F.col("name")).alias("phrase"), F.lit(None).cast("string").alias("gene"), F.col("normalized").alias("disease")))
     # an article's few names, in its own row
     named = named.groupBy("pmid").agg(F.collect_list(F.struct("phrase", "gene", "disease")).alias("names"))
-    spans = T.let(T.word_phrases(F.col("sentence"), 4), lambda p: F.array_distinct(F.flatten(F.transform(p, lambda x: F.array_union(F.array(x), T.linked_spans(x))))))
     hits = s.select("pmid", "idx", "polarity", "sentence").join(named, "pmid")
     # words are told apart only in sentences that hold the first word of a name
     hits = hits.withColumn("names", F.filter("names", lambda x: F.contains("sentence", F.split(x["phrase"], " ")[0]))).filter(F.size("names") > 0)
-    hits = checkpointed(hits.select("pmid", "idx", "polarity", F.inline(T.let(spans, lambda w: F.filter("names", lambda x: F.array_contains(w, x["phrase"]))))))
+    hits = checkpointed(hits.select("pmid", "idx", "polarity", F.inline(T.names_in(F.col("sentence"), F.col("names"), lambda x: x["phrase"]))))
     genes = hits.filter("gene IS NOT NULL").select("pmid", "idx", "gene", "polarity").distinct()
     diseases = hits.filter("disease IS NOT NULL").select("pmid", "idx", "disease").distinct()
     links = mining.co_mentions(genes, diseases, "pmid", "gene", "disease")
@@ -115,12 +124,16 @@ def gene_disease_links(papers: DataFrame, found: DataFrame, sentences: DataFrame
     return links.join(common, ["gene", "disease"])
 
 
-def analyze(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, min_evidence: int = 1, min_confidence: float = 0.0, human_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(interactions, gene-disease links, effects of compounds on diseases)."""
+def analyze(papers: DataFrame, compounds: DataFrame, aliases: DataFrame | None = None, window: int = 0, min_evidence: int = 1, min_confidence: float = 0.0, human_only: bool = False, sentences: DataFrame | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(interactions, gene-disease links, effects of compounds on diseases).
+
+    sentences, before: article_sentences() and interactions() of all these papers, stored, if at hand.
+    """
     if human_only:
         papers = papers.filter(F.array_contains("mesh_terms", "Humans"))
-    sentences = checkpointed(article_sentences(papers))
-    found = checkpointed(interactions(papers, compounds, aliases, window, sentences=sentences).filter(F.col("confidence") >= min_confidence))
+    sentences = checkpointed(article_sentences(papers)) if sentences is None else sentences
+    rows = interactions(papers, compounds, aliases, window, sentences=sentences) if before is None else before
+    found = checkpointed(rows.filter(F.col("confidence") >= min_confidence))
     links = checkpointed(gene_disease_links(papers, found, sentences))
     counts = found.groupBy("compound", "gene", "species").agg(F.count(F.lit(1)).alias("n"))
     own = counts.groupBy("compound", "gene").agg(F.max_by("species", F.struct("n", "species")).alias("gene_species"))
@@ -239,7 +252,9 @@ def evidence_rows(found: DataFrame, effects: DataFrame, papers: DataFrame) -> Da
     surest = found.groupBy(*pair).agg(F.max_by("strength", S.choose(F.col("strength"), {"strong": 2, "moderate": 1}, 0)).alias("main_strength"), F.max("gene_display").alias("label"))
     cited = effects.select(*pair, "disease", F.posexplode("docs").alias("place", "pmid"))
     said = cited.join(found.select(*pair, F.col("pmid").cast("string").alias("pmid"), "context"), [*pair, "pmid"], "left")
-    said = said.join(study_context(papers).select(F.col("pmid").cast("string").alias("pmid"), F.col("context").alias("study"), "coffee"), "pmid", "left")
+    # effects share articles, three each: only those that are cited are read
+    cited_papers = papers.withColumn("pmid", F.col("pmid").cast("string")).join(cited.select("pmid").distinct(), "pmid", "left_semi")
+    said = said.join(study_context(cited_papers).withColumnRenamed("context", "study"), "pmid", "left")
     snippet = F.concat_ws(": ", "pmid", F.nullif(T.clip_label(F.col("context"), 160, dots=True), F.lit("")))
     per = said.groupBy(*pair, "disease").agg(F.array_sort(F.collect_list(F.struct("place", snippet.alias("snippet")))).alias("snippets"), F.array_sort(F.collect_set(F.nullif(with_alert(F.col("compound")), F.lit("")))).alias("studies"))
     rows = effects.join(surest, pair).join(per, [*pair, "disease"], "left").join(kind_tags(found), pair, "left")
@@ -274,10 +289,12 @@ def write_results(found: DataFrame, links: DataFrame, effects: DataFrame, papers
 
     All in the order of reports.
     """
-    with_study = found.join(nested_context(papers), "pmid", "left")
+    # stored, since each sort reads its rows twice, and studies are read out of whole texts
+    with_study = checkpointed(found.join(nested_context(papers), "pmid", "left"))
+    evidence = checkpointed(evidence_rows(found, effects, papers))
     first, second = ranked(with_study, links)
     first.write.mode("overwrite").json(f"{out}/interactions")
     second.write.mode("overwrite").json(f"{out}/links")
     effects.orderBy(F.desc("path_confidence"), "compound", "gene", "disease").write.mode("overwrite").json(f"{out}/effects")
     IO.write_documents(by_compound(with_study, effects), f"{out}/documents", *DOCUMENT_ORDER)
-    IO.write_sorted_csv(evidence_rows(found, effects, papers), f"{out}/evidence_csv", F.desc("Confidence"), *[F.col(f"`{c}`") for c in EVIDENCE_COLUMNS[:4]])
+    IO.write_sorted_csv(evidence, f"{out}/evidence_csv", F.desc("Confidence"), *[F.col(f"`{c}`") for c in EVIDENCE_COLUMNS[:4]])
