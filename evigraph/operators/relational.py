@@ -74,8 +74,14 @@ def restrict(df: DataFrame, subset: DataFrame | None, key: str) -> DataFrame:
 
 
 def split_by_store(requested: DataFrame, store: DataFrame, key: str, saved_at: str, since) -> tuple[DataFrame, DataFrame]:
-    """(found in the store and saved at or after since, remaining)."""
-    fresh = store.filter(F.col(saved_at) >= since).select(key)
+    """(found in the store and saved at or after since, remaining).
+
+    Records are dealt out over all shuffle partitions by key, and are one row a key before they are
+    joined: Spark would merge partitions by their compressed bytes, of which sorted ids have few, and
+    then sort very many rows in one task.
+    """
+    parts = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fresh = store.filter(F.col(saved_at) >= since).select(key).repartition(parts, key).distinct()
     return requested.join(fresh, key, "left_semi"), requested.join(fresh, key, "left_anti")
 
 
