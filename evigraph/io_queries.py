@@ -518,11 +518,12 @@ TOLD_SQL = f"""told(i, compound, gene, kind, score, hits, strength, confidence,
 
 
 def papers(spark: SparkSession, sf: str) -> DataFrame:
+    customers = IO.spread(table(spark, sf, "customer"))
     title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("c_custkey") % len(TITLES) + 1).cast("int"))
     none, human = F.array().cast("array<string>"), F.array(F.lit("Humans"))
     detail = F.array().cast("array<struct<name: string, ui: string, is_major: boolean>>")
     tags = T.species_tags(human)
-    return table(spark, sf, "customer").select(
+    return customers.select(
         F.col("c_custkey").cast("string").alias("pmid"), title.alias("title"), F.lit("").alias("abstract"), human.alias("mesh_terms"), detail.alias("mesh_detail"), F.array(F.lit("Review")).alias("publication_types"), none.alias("keywords"),
         T.primary_species(tags).alias("primary_species"), tags.alias("species_tags"),
     )
