@@ -208,8 +208,11 @@ def species_tags(headings: Column) -> Column:
 
 def primary_species(tags: Column) -> Column:
     """The species that leads; "unspecified" for none."""
-    ranked = F.filter(F.array(*[F.lit(s) for s in L.SPECIES_ORDER]), lambda s: F.array_contains(tags, s))
-    return F.coalesce(F.get(ranked, F.lit(0)), F.get(tags, F.lit(0)), F.lit("unspecified"))
+    def lead(given: Column) -> Column:
+        ranked = F.filter(F.array(*[F.lit(s) for s in L.SPECIES_ORDER]), lambda s: F.array_contains(given, s))
+        return F.coalesce(F.get(ranked, F.lit(0)), F.get(given, F.lit(0)), F.lit("unspecified"))
+
+    return let(tags, lead)
 
 
 def partial_date(year: Column, month: Column, day: Column) -> Column:

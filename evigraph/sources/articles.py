@@ -35,7 +35,9 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def _text(node: ET.Element | None) -> str:
     """All text of an element, marked-up parts included; nothing for none."""
-    return "" if node is None else "".join(node.itertext())
+    if node is None or not len(node):
+        return "" if node is None else node.text or ""
+    return "".join(node.itertext())
 
 
 def record_of(xml: str) -> dict | None:
@@ -48,13 +50,27 @@ def record_of(xml: str) -> dict | None:
     def date(node: ET.Element | None) -> dict | None:
         return None if node is None else {k: _text(node.find(k.title())) for k in ("year", "month", "day")}
 
-    published = next(root.iter("PubDate"), None)
+    # the tree is walked once
+    tags: dict[str, list[ET.Element]] = {}
+    for node in root.iter():
+        tags.setdefault(node.tag, []).append(node)
+
+    def every(tag: str) -> list[ET.Element]:
+        return tags.get(tag, [])
+
+    def below(parent: str, child: str) -> list[ET.Element]:
+        return [c for p in every(parent) if p is not root for c in p if c.tag == child]
+
+    def first(nodes: list[ET.Element]) -> ET.Element | None:
+        return nodes[0] if nodes else None
+
+    published = first(every("PubDate"))
     return {
-        "pmid": _text(next(root.iter("PMID"), None)), "title": _text(next(root.iter("ArticleTitle"), None)), "journal": _text(root.find(".//Journal/Title")),
-        "parts": [{"label": p.get("Label") or "", "body": _text(p)} for p in root.iterfind(".//Abstract/AbstractText")],
-        "article_date": date(next(root.iter("ArticleDate"), None)), "pub_date": date(published), "medline_date": "" if published is None else _text(published.find("MedlineDate")),
-        "mesh_detail": [{"name": _text(h), "ui": h.get("UI") or None, "is_major": h.get("MajorTopicYN") == "Y"} for h in root.iter("DescriptorName")],
-        "publication_types": [t for t in map(_text, root.iter("PublicationType")) if t], "keywords": [t for t in map(_text, root.iter("Keyword")) if t],
+        "pmid": _text(first(every("PMID"))), "title": _text(first(every("ArticleTitle"))), "journal": _text(first(below("Journal", "Title"))),
+        "parts": [{"label": p.get("Label") or "", "body": _text(p)} for p in below("Abstract", "AbstractText")],
+        "article_date": date(first(every("ArticleDate"))), "pub_date": date(published), "medline_date": "" if published is None else _text(published.find("MedlineDate")),
+        "mesh_detail": [{"name": _text(h), "ui": h.get("UI") or None, "is_major": h.get("MajorTopicYN") == "Y"} for h in every("DescriptorName")],
+        "publication_types": [t for t in map(_text, every("PublicationType")) if t], "keywords": [t for t in map(_text, every("Keyword")) if t],
     }
 
 
